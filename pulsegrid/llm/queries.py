@@ -51,3 +51,10 @@ def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digests
 
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_hyperminhash_near_dedup")
+def op4_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_dup_classes
+
+    return near_dup_classes(table(spark, sf_dir, "documents"), width=4, threshold=80)
