@@ -58,3 +58,17 @@ def op4_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_dup_classes
 
     return near_dup_classes(table(spark, sf_dir, "documents"), width=4, threshold=80)
+
+
+@query("op8_language_spans")
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_held_out
+
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secret_battery")
+def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
