@@ -72,3 +72,10 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity_weak_supervision")
+def op9_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_held_out
+
+    return score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
