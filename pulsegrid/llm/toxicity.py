@@ -32,6 +32,7 @@ from .sampling import bounded_sample
 SAMPLE_ROWS = 20_000  # bound on the labelled rows that the lexicon and the classifier are fitted on
 VOCABULARY = 2_000  # bound on mined words
 LEXICON_VOTERS = 6
+LEXICON_GAIN, LEXICON_PURITY = 18.0, 0.5  # a mined word joins the lexicon from here on
 # fixed values: insults and threats that need no mining
 SEED_WORDS = (
     "idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "garbage", "pathetic",
@@ -40,10 +41,10 @@ SEED_WORDS = (
 )
 SEEDS = frozenset(SEED_WORDS)
 WORDS = re.compile(r"[^\W\d_]+")
-#: Vote bits in order: lexicon groups, two seed words, seed density, second-person insult, shouting, exclamations.
+#: Vote bits in order: lexicon groups, two lexicon words, their density, second-person insult, shouting, exclamations.
 N_VOTERS = LEXICON_VOTERS + 5
 INSULT = re.compile(r"\b(?:you|your|u|ur)\b[^.!?\n]{0,20}\b(?:" + "|".join(SEED_WORDS) + r")\b")
-STYLE = ("capitals", "exclamations", "repeats", "length", "seed_density")
+STYLE = ("capitals", "exclamations", "repeats", "length", "lexicon_density", "lexicon_words")
 
 
 def word_lists(texts: list[str | None]) -> list[list[str]]:
@@ -66,47 +67,46 @@ def _sample_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def mine_vocabulary(sample: DataFrame, size: int = VOCABULARY) -> pd.DataFrame:
-    """The words whose log-odds between toxic and other texts are furthest from zero: word, weight (a z-score)."""
+    """The words that tell most: word, weight (signed likelihood-ratio statistic), purity (toxic share of its texts)."""
     counts = materialize(
         sample.mapInPandas(_sample_counts, "word string, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")),
         "tox-words",
     )
     total = counts.where("word = ''").first()
     if total is None or not total["toxic"] or total["toxic"] == total["n"]:
-        return pd.DataFrame({"word": [], "weight": []})
-    t, c = float(total["toxic"]), float(total["n"] - total["toxic"])
-    x, y = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
-    odds = F.log(x / (t - F.col("toxic") + 0.5)) - F.log(y / (c - F.col("n") + F.col("toxic") + 0.5))
-    spread = F.sqrt(1 / x + 1 / y)
-    ranked = counts.where((F.col("word") != "") & (F.col("n") >= 5)).select("word", (odds / spread).alias("weight"))
+        return pd.DataFrame({"word": [], "weight": [], "purity": []})
+    share = float(total["toxic"]) / float(total["n"])
+    a, n = F.col("toxic").cast("double"), F.col("n").cast("double")
+    gain = 2 * (F.coalesce(a * F.log(a / (n * share)), F.lit(0.0)) + F.coalesce((n - a) * F.log((n - a) / (n * (1 - share))), F.lit(0.0)))
+    ranked = counts.where((F.col("word") != "") & (F.col("n") >= 4)).select("word", F.when(a < n * share, -gain).otherwise(gain).alias("weight"), (a / n).alias("purity"))
     return ranked.orderBy(F.abs("weight").desc(), "word").limit(size).toPandas()
 
 
 class Voters:
     """Votes (a bit each) and features of texts, for a mined vocabulary."""
 
-    def __init__(self, words: list[str], weights: list[float]):
+    def __init__(self, words: list[str], weights: list[float], purities: list[float]):
         self.column = {w: i for i, w in enumerate(words)}
-        strong = {w for w, z in zip(words, weights, strict=True) if z >= 4.0}
+        strong = {w for w, g, p in zip(words, weights, purities, strict=True) if g >= LEXICON_GAIN and p >= LEXICON_PURITY}
         self.group = {w: zlib.crc32(w.encode()) % LEXICON_VOTERS for w in strong | SEEDS}
 
     def look(self, text: str, words: list[str]) -> tuple[int, list[int], list[float]]:
         counts = Counter(words)
         present = counts.keys()
-        votes, hits, seeds = 0, 0, 0
-        for w in present & self.group.keys():
+        votes, hits = 0, 0
+        found = present & self.group.keys()
+        for w in found:
             votes |= 1 << self.group[w]
             hits += counts[w]
-            seeds += w in SEEDS
         n = max(len(words), 1)
         capitals = sum(1 for _ in re.finditer(r"[A-Z]{3,}", text)) / n
         marks = text.count("!") / n
         repeats = 1 - len(present) / n
-        extra = (seeds >= 2, hits / n >= 0.02, bool(seeds) and INSULT.search(text.lower()) is not None, capitals > 0.5, marks > 0.5)
+        extra = (len(found) >= 2, hits / n >= 0.02, bool(found) and INSULT.search(text.lower()) is not None, capitals > 0.5, marks > 0.5)
         for i, on in enumerate(extra):
             votes |= on << (LEXICON_VOTERS + i)
         at = sorted(self.column[w] for w in present & self.column.keys())
-        return votes, at, [min(capitals, 1.0), min(marks, 1.0), repeats, min(math.log1p(n) / 10, 1.0), min(hits / n * 10, 1.0)]
+        return votes, at, [min(capitals, 1.0), min(marks, 1.0), repeats, min(math.log1p(n) / 10, 1.0), min(hits / n * 10, 1.0), min(len(found), 4) / 4]
 
 
 def _look(voters: Voters):
@@ -192,7 +192,7 @@ def score_toxicity(
     chosen = materialize(bounded_sample(known, "doc_id", sample_rows), "tox-chosen")  # at most sample_rows ids
     sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     mined = mine_vocabulary(sample)
-    voters = Voters(mined["word"].tolist(), mined["weight"].tolist())
+    voters = Voters(mined["word"].tolist(), mined["weight"].tolist(), mined["purity"].tolist())
     looked = materialize(rows.mapInPandas(_look(voters), "doc_id long, votes int, words array<int>, style array<double>"), "tox-votes")
 
     patterns = (
@@ -202,10 +202,9 @@ def score_toxicity(
 
     fit = looked.join(F.broadcast(chosen), "doc_id").select("votes", "words", "style", "toxic").toPandas()  # at most sample_rows texts' word numbers
     believed = posterior[fit["votes"].to_numpy(int)]
-    target = 0.5 * believed + 0.5 * fit["toxic"].to_numpy(float)  # the posterior, given the known label as one more voter
     n_words = len(mined)
     style = np.array(fit["style"].tolist(), float).reshape(len(fit), len(STYLE))
-    w = fit_linear([np.asarray(x, np.int64) for x in fit["words"]], style, target, n_words) if len(fit) else None
+    w = fit_linear([np.asarray(x, np.int64) for x in fit["words"]], style, believed, n_words) if len(fit) else None
 
     if w is None:  # nothing was labelled: the label model alone decides
         table = F.array(*[F.lit(float(p)) for p in posterior])
