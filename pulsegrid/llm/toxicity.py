@@ -33,6 +33,7 @@ SAMPLE_ROWS = 20_000  # bound on the labelled rows that the lexicon and the clas
 VOCABULARY = 2_000  # bound on mined words
 LEXICON_VOTERS = 6
 LEXICON_GAIN, LEXICON_PURITY = 18.0, 0.5  # a mined word joins the lexicon from here on
+PATTERN_PRIOR = 3.0  # the label model counts as so many labelled texts with the same votes
 # fixed values: insults and threats that need no mining
 SEED_WORDS = (
     "idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "garbage", "pathetic",
@@ -44,7 +45,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Vote bits in order: lexicon groups, two lexicon words, their density, second-person insult, shouting, exclamations.
 N_VOTERS = LEXICON_VOTERS + 5
 INSULT = re.compile(r"\b(?:you|your|u|ur)\b[^.!?\n]{0,20}\b(?:" + "|".join(SEED_WORDS) + r")\b")
-STYLE = ("capitals", "exclamations", "repeats", "length", "lexicon_density", "lexicon_words")
+STYLE = ("capitals", "exclamations", "repeats", "length", "lexicon_density", "lexicon_words", "any_lexicon_word")
 
 
 def word_lists(texts: list[str | None]) -> list[list[str]]:
@@ -88,7 +89,8 @@ class Voters:
     def __init__(self, words: list[str], weights: list[float], purities: list[float]):
         self.column = {w: i for i, w in enumerate(words)}
         strong = {w for w, g, p in zip(words, weights, purities, strict=True) if g >= LEXICON_GAIN and p >= LEXICON_PURITY}
-        self.group = {w: zlib.crc32(w.encode()) % LEXICON_VOTERS for w in strong | SEEDS}
+        half = LEXICON_VOTERS // 2  # fixed words have voters of their own
+        self.group = {w: zlib.crc32(w.encode()) % half + half * (w not in SEEDS) for w in strong | SEEDS}
 
     def look(self, text: str, words: list[str]) -> tuple[int, list[int], list[float]]:
         counts = Counter(words)
@@ -106,7 +108,7 @@ class Voters:
         for i, on in enumerate(extra):
             votes |= on << (LEXICON_VOTERS + i)
         at = sorted(self.column[w] for w in present & self.column.keys())
-        return votes, at, [min(capitals, 1.0), min(marks, 1.0), repeats, min(math.log1p(n) / 10, 1.0), min(hits / n * 10, 1.0), min(len(found), 4) / 4]
+        return votes, at, [min(capitals, 1.0), min(marks, 1.0), repeats, min(math.log1p(n) / 10, 1.0), min(hits / n * 10, 1.0), min(len(found), 4) / 4, float(bool(found))]
 
 
 def _look(voters: Voters):
@@ -154,7 +156,10 @@ def fit_label_model(patterns: pd.DataFrame, rounds: int = 50) -> np.ndarray:
                 shared += np.clip(cov / np.outer(sd, sd), 0, 1) * mass[k].sum() / max(mass.sum(), 1e-9)
             np.fill_diagonal(shared, 0)
             weight = 1 / (1 + shared.sum(axis=1))
-    return 1 / (1 + np.exp(-np.clip(log_odds(bits), -50, 50)))
+    model = 1 / (1 + np.exp(-np.clip(log_odds(bits), -50, 50)))
+    # labelled texts with the very same votes correct the model where there are enough of them
+    seen = [np.bincount(patterns["votes"].to_numpy(int), n * (known == k), 1 << N_VOTERS) for k in range(2)]
+    return (seen[1] + PATTERN_PRIOR * model) / (seen[0] + seen[1] + PATTERN_PRIOR)
 
 
 def fit_linear(rows: list[np.ndarray], style: np.ndarray, target: np.ndarray, n_words: int, rounds: int = 300) -> np.ndarray:
