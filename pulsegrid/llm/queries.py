@@ -79,3 +79,79 @@ def op9_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame
     from .toxicity import score_held_out
 
     return score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op2_chat_tool_calls",
+    """
+    WITH m AS (
+        SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, lower(role) AS role, text, count(*) AS copies
+        FROM conversations GROUP BY ALL),
+    o AS (
+        SELECT *, role NOT IN ('assistant', 'tool') AS is_call,
+               turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island
+        FROM m),
+    p AS (
+        SELECT *, turn - min(turn) OVER (PARTITION BY conv_id, island) AS position,
+               CASE WHEN role = 'system' THEN 'configure' WHEN is_call THEN 'reply' END AS tool,
+               CASE WHEN is_call THEN turn ELSE turn - 1 END AS call_turn
+        FROM o),
+    l AS (
+        SELECT p.*, c.tool AS call_tool, c.turn IS NOT NULL AS has_call,
+               EXISTS (SELECT 1 FROM p r WHERE NOT r.is_call AND r.conv_id = p.conv_id AND r.call_turn = p.call_turn) AS answered
+        FROM p LEFT JOIN p c ON c.is_call AND c.conv_id = p.conv_id AND c.turn = p.call_turn)
+    SELECT conv_id, CAST(turn AS VARCHAR) AS message_id, CASE WHEN is_call THEN 'call' ELSE 'result' END AS kind,
+           CAST(call_turn AS VARCHAR) AS call_id, position,
+           CASE WHEN is_call THEN CASE WHEN answered THEN 'linked' ELSE 'unanswered' END
+                ELSE CASE WHEN has_call THEN 'linked' ELSE 'orphan' END END AS status,
+           CASE WHEN is_call THEN length(text) BETWEEN 1 AND CASE WHEN role = 'system' THEN 4000 ELSE 1000 END END AS valid,
+           CASE WHEN is_call THEN CASE WHEN length(text) < 1 THEN 'prompt: below 1'
+                WHEN length(text) > CASE WHEN role = 'system' THEN 4000 ELSE 1000 END
+                THEN 'prompt: above ' || CASE WHEN role = 'system' THEN '4000' ELSE '1000' END ELSE '' END END AS errors,
+           CAST(CASE WHEN is_call
+                THEN json_object('arguments', json_object('prompt', text, 'turn', turn), 'id', CAST(call_turn AS VARCHAR), 'name', coalesce(tool, call_tool), 'type', 'call')
+                ELSE json_object('content', json_object('text', text), 'id', CAST(call_turn AS VARCHAR), 'name', coalesce(tool, call_tool), 'type', 'result')
+                END AS VARCHAR) AS canonical,
+           copies
+    FROM l
+    """,
+)
+def op2_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_tools import Argument, link_tool_calls, messages_of_turns
+
+    turn = Argument("turn", "integer", at_least=0)
+    schemas = {
+        "reply": (Argument("prompt", "string", at_least=1, at_most=1000), turn),
+        "configure": (Argument("prompt", "string", at_least=1, at_most=4000), turn),
+    }
+    return link_tool_calls(messages_of_turns(table(spark, sf_dir, "conversations")), schemas)
+
+
+#: Fixed values of the contract.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+#: Seeds of the propagation: hosts with such a label.
+BLOCKED_LABELS = ("spam-farm", "casino-win", "adult-x", "ads-track", "free-bets")
+TRUSTED_LABELS = ("www",)
+
+
+@query("op6_url_link_graph")
+def op6_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .url_filter import any_label, filter_urls
+
+    host = F.col("host")
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, any_label(host, TRUSTED_LABELS), any_label(host, BLOCKED_LABELS))
