@@ -1,6 +1,85 @@
-STAGES = []
+"""From raw documents to encoded training text, in five stages.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads
+again as the next stage's docs. All but the last return the columns of documents, whatever they are; the
+columns doc_id and text are used. Rows without a doc_id cannot be named by a decision and stay. No row is
+sampled, capped or looked at in part.
+
+Empty tables pass through. A null text is empty: not toxic unless the classifier says so, equal to other
+empty texts, near nothing, leaked from nothing, and encoded to no tokens.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.llm.bpe import bpe_digests
+from pulsegrid.llm.common import materialize, shared_dir, table
+from pulsegrid.llm.decontaminate import drop_leaked, find_leaks
+from pulsegrid.llm.exact_dedup import exact_dedup
+from pulsegrid.llm.minhash import near_dup_classes
+from pulsegrid.llm.toxicity import score_held_out
+
+
+def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """The rows whose doc_id is not among the ids. The ids are a written table, so Spark knows their size when it plans the join."""
+    out = materialize(ids.select(F.col("doc_id").cast("long").alias("_dropped")).where("_dropped is not null").distinct(), label)
+    return docs.join(out, docs["doc_id"].cast("long") == out["_dropped"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    scores = score_held_out(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scores.where("predicted = 1"), "stage-toxic")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays; rows that repeat it leave one."""
+    decided = materialize(exact_dedup(docs).select("doc_id", "kept"), "stage-exact")
+    out = _without(docs, decided.where("not kept"), "stage-copies")
+    again = materialize(decided.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "stage-again")
+    if not again.limit(1).count():
+        return out
+    repeats = out["doc_id"].cast("long") == again["_again"]
+    return out.join(again, repeats, "left_anti").unionByName(out.join(again, repeats, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies (five words, similarity 0.8) the document with the smallest id stays."""
+    return _without(docs, near_dup_classes(docs, width=5, threshold=80).where("not kept"), "stage-near")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a test item, whole or edited, go."""
+    return drop_leaked(docs, materialize(find_leaks(docs, table(spark, sf_dir, "benchmark")), "stage-leaks"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: No SQL: a classifier, alignments and BPE are beyond it; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
