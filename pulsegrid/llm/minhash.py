@@ -11,10 +11,10 @@ Jobs:
    estimated from the registers with the collision correction, and those that may reach the threshold
    within five standard errors are confirmed on full shingle sets.
 3. Links that no star shows can only join different classes inside one band key. Keys whose rows
-   already are one class are settled. In the others, canopies over the registers gather rows that could be
-   linked into clusters (keys with many rows are one cluster without looking), and each cluster that
-   spans several classes is compared on full sets in blocks of bounded size; it returns a spanning
-   forest of links, not all pairs.
+   already are one class are settled. In the others, rows of different classes whose registers leave a link
+   possible are tied into clusters (keys with many rows are one cluster without looking); a cluster is a
+   forest of such ties, never all pairs. Clusters are then compared on full sets, in blocks of bounded size,
+   and return a forest of links between classes.
 4. Classes are connected components of the confirmed links, found by joins.
 
 Recall: a pair at the threshold of 0.8 misses all 32 bands of four registers with probability
@@ -38,7 +38,7 @@ BUCKET_BITS = 7  # 128 registers
 MANTISSA_BITS = 10
 BAND_ROWS = 4
 EMPTY = 0xFFFF
-CANOPY_ROWS = 512  # larger band keys become clusters as they are
+PAIR_ROWS = 512  # larger band keys become clusters as they are
 BLOCK = 256  # rows of one side of a block comparison
 
 
@@ -135,104 +135,119 @@ def _linked(width: int, threshold: int):
     return run
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Batches of rows that arrive sorted by key, cut so that no group is split, with each group's row range."""
+    held: list[pd.DataFrame] = []
 
+    def ranges(f: pd.DataFrame) -> list[tuple[int, int]]:
+        k = f[key].to_numpy()
+        edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(f)]
+        return list(zip(edges[:-1], edges[1:], strict=True))
 
-def _groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that arrive sorted by key, across batch borders."""
-    held: list[pd.DataFrame] = []
     for f in frames:
         if not len(f):
             continue
-        k = f[key].to_numpy()
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        edges = [0, *cuts.tolist(), len(f)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            part = f.iloc[a:b]
-            if held and held[-1][key].iloc[-1] != k[a]:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
+        if held and held[-1][key].iloc[-1] == f[key].iloc[0] == f[key].iloc[-1]:
+            held.append(f)  # one group goes on and on
+            continue
+        whole = pd.concat([*held, f], ignore_index=True)
+        cut = ranges(whole)
+        held = [whole.iloc[cut[-1][0] :]]
+        if len(cut) > 1:
+            yield whole.iloc[: cut[-1][0]], cut[:-1]
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, ranges(whole)
+
+
+class _Forest:
+    """Edges that join what was apart, over all that one task has seen since the last flush."""
 
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
 
-def _canopies(threshold: int):
-    """Within a band key: pivots take the rows near them out; rows within reach of those are tied to the pivot.
+    def _root(self, x: int) -> int:
+        parent = self.parent
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
 
-    A row leaves when its distance to a pivot is `tight` at most; anything linked to it is then within
-    tight + (1 - threshold), and a generous error, so it is tied to the same pivot. No possible link is cut.
+    def join(self, x: int, y: int, edge: tuple[int, int] | None = None) -> None:
+        a, b = self._root(x), self._root(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.edges.append(edge or (x, y))
+
+    def flush(self, at_least: int = 0) -> Iterator[pd.DataFrame]:
+        if len(self.edges) >= at_least:
+            yield pd.DataFrame(self.edges, columns=["src", "dst"], dtype="int64")
+            self.parent.clear()
+            self.edges = []
+
+
+def _open_pairs(threshold: int):
+    """Within a band key, rows of different classes that may be linked, as a forest.
+
+    Pairs with the key's hub are left out: the star has settled them.
     """
-    tight = 0.3
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        src, dst = [], []
-        for g in _groups(frames, "band"):
-            if g["component"].nunique() < 2:
-                continue
-            ids, n = g["doc_id"].to_numpy(), g["n_shingles"].to_numpy()
-            sketch = _as_registers(g["sketch"])
-            open_ = np.ones(len(g), bool)
-            while open_.any():
-                p = int(np.argmax(open_))
-                j, error = estimate(sketch, sketch[p][None, :], n, n[p : p + 1])
-                distance, slack = 1 - j, 5 * error
-                reach = distance <= tight + (1 - threshold / 100) + 2 * slack
-                open_ &= distance > tight
-                open_[p] = False
-                reach[p] = False
-                src += [int(ids[p])] * int(reach.sum())
-                dst += ids[reach].tolist()
-            if len(src) > 10_000:
-                yield pd.DataFrame({"src": src, "dst": dst}).drop_duplicates()
-                src, dst = [], []
-        yield pd.DataFrame({"src": src, "dst": dst}, dtype="int64").drop_duplicates()
+        forest = _Forest()
+        for whole, cut in _whole_groups(frames, "band"):
+            ids, hub, component, n = (whole[c].to_numpy() for c in ("doc_id", "hub", "component", "n_shingles"))
+            sketch = _as_registers(whole["sketch"])
+            for a, b in cut:
+                at = np.arange(a, b)[ids[a:b] != hub[a:b]]
+                if len(at) < 2 or (component[at] == component[at[0]]).all():
+                    continue
+                for i, p in enumerate(at[:-1]):
+                    q = at[i + 1 :]
+                    q = q[(component[q] != component[p]) & (100 * np.minimum(n[q], n[p]) >= threshold * np.maximum(n[q], n[p]))]
+                    if len(q):
+                        j, error = estimate(sketch[q], sketch[p][None, :], n[q], n[p : p + 1])
+                        for r in q[j >= threshold / 100 - 5 * error].tolist():
+                            forest.join(int(ids[p]), int(ids[r]))
+            yield from forest.flush(100_000)
+        yield from forest.flush()
 
     return run
 
 
 def _blocks(width: int, threshold: int):
-    """Exact links between different classes in one block comparison, as a spanning forest."""
+    """Exact links between different classes in one block comparison, as a forest over classes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int]] = []
-        for g in _groups(frames, "cell"):
-            if g["component"].nunique() < 2:
-                continue
-            ids, component, side = g["doc_id"].tolist(), g["component"].tolist(), g["side"].tolist()
-            sets = shingle_sets(g["text"].tolist(), width)
-            size = np.array([len(s) for s in sets])
-            values = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), size)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            root = {c: i for i, c in enumerate(dict.fromkeys(component))}
-            where = np.array([root[c] for c in component])
-            parent = list(range(len(root)))
-            two_sided = len(set(side)) > 1
-            sides = np.array(side)
-            for i, s in enumerate(sets):
-                if two_sided and side[i] == 1:
+        forest = _Forest()
+        for whole, cut in _whole_groups(frames, "cell"):
+            for first, last in cut:
+                g = whole.iloc[first:last]
+                component = g["component"].to_numpy()
+                if (component == component[0]).all():
                     continue
-                a, b = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                n = b - a
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(sets))
-                linked = (100 * both >= threshold * (size + len(s) - both)) & (where != where[i])
-                linked &= (sides == 1) if two_sided else (np.arange(len(sets)) > i)
-                for k in np.flatnonzero(linked).tolist():
-                    x, y = _find(parent, int(where[i])), _find(parent, int(where[k]))
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        out.append((ids[i], ids[k]))
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
-                out = []
-        yield pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+                ids, side = g["doc_id"].to_numpy(), g["side"].to_numpy()
+                sets = shingle_sets(g["text"].tolist(), width)
+                size = np.array([len(s) for s in sets])
+                values = np.concatenate(sets)
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], np.repeat(np.arange(len(sets)), size)[order]
+                two_sided = len(set(side.tolist())) > 1
+                for i, s in enumerate(sets):
+                    if two_sided and side[i] == 1:
+                        continue
+                    a, b = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                    n = b - a
+                    at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(sets))
+                    linked = (100 * both >= threshold * (size + len(s) - both)) & (component != component[i])
+                    linked &= (side == 1) if two_sided else (np.arange(len(sets)) > i)
+                    for k in np.flatnonzero(linked).tolist():
+                        forest.join(int(component[i]), int(component[k]), (int(ids[i]), int(ids[k])))
+            yield from forest.flush(100_000)
+        yield from forest.flush()
 
     return run
 
@@ -304,14 +319,14 @@ def near_dup_classes(
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     unsettled = materialize(labelled.join(materialize(mixed, "near-mixed"), "band", "left_semi"), "near-unsettled")
     small = (
-        unsettled.where(F.col("rows") <= CANOPY_ROWS)
-        .select("band", "doc_id", "component")
+        unsettled.where(F.col("rows") <= PAIR_ROWS)
+        .select("band", "doc_id", "hub", "component")
         .join(sketches.withColumnRenamed("id", "doc_id"), "doc_id")
         .repartition("band")
         .sortWithinPartitions("band")
-        .mapInPandas(_canopies(threshold), LINKS)
+        .mapInPandas(_open_pairs(threshold), LINKS)
     )
-    big = unsettled.where((F.col("rows") > CANOPY_ROWS) & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
+    big = unsettled.where((F.col("rows") > PAIR_ROWS) & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
     clusters = connected_components(small.unionByName(big)).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
     clustered = (
         clusters.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
