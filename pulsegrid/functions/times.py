@@ -30,7 +30,7 @@ def period_to_date(period: Column) -> Column:
 
 def hours_between(start: Column, end: Column) -> Column:
     """Hours from start to end as a double; negative if end comes first."""
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(3.6e9)
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(3.6e9)
 
 
 def month_label(ts: Column) -> Column:
