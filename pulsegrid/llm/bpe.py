@@ -7,7 +7,7 @@ pairs change. This equals merging each word on its own, as a word's lowest activ
 applied before any higher one.
 
 Texts are then a lookup of words. The worker's memory is bounded: the word table is emptied when it
-reaches `CACHE_WORDS`, and a batch holds about 4 MB of text.
+reaches `CACHE_WORDS`, and a batch holds about 2 MB of text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ship
 from .hashing import chunks
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: The tokenizer's split for texts within Latin letters, where the standard module can do it faster.
 _LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ\u0100-\u017f", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 LATIN = re.compile("[\\x00-\u017f]*")
@@ -194,7 +194,7 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _batches(frames: Iterator[pd.DataFrame], size: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def _batches(frames: Iterator[pd.DataFrame], size: int = 2 << 20) -> Iterator[tuple[list, list]]:
     """Consecutive (ids, texts) of about `size` characters, so that a worker holds few texts at once."""
     for f in frames:
         ids, texts = f["doc_id"].tolist(), f["text"].tolist()

@@ -37,8 +37,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once a session, for the tasks that run Python."""
+    """Give executors this package, once a session, for the tasks that run Python, and keep their batches small.
+
+    Arrow batches default to 10,000 rows, which may be gigabytes of text: unless the session says otherwise they are
+    bounded by 1,000 rows and 8 MB.
+    """
     context = spark.sparkContext
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
     if getattr(context, "_pulsegrid_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
