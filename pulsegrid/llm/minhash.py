@@ -39,7 +39,7 @@ MANTISSA_BITS = 10
 BAND_ROWS = 4
 EMPTY = 0xFFFF
 PAIR_ROWS = 512  # larger band keys become clusters as they are
-BLOCK = 256  # rows of one side of a block comparison
+BLOCK = 512  # rows of one side of a block comparison
 
 
 def registers(shingles: np.ndarray, bits: int = BUCKET_BITS, mantissa: int = MANTISSA_BITS) -> np.ndarray:
