@@ -69,14 +69,16 @@ def chain_depths(nodes: DataFrame, node: str = "node", parent: str = "parent", m
     known = nodes.select(F.col(node).alias("up"))
     state = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")).join(known, "up", "left_semi")
     roots = nodes.select(F.col(node).alias("node")).join(state.select("node"), "node", "left_anti").select("node", F.lit(None).cast(nodes.schema[node].dataType).alias("up"), F.lit(0).cast("long").alias("depth"))
-    state = materialize(state.select("node", "up", F.lit(1).cast("long").alias("depth")).unionByName(roots), "chat-depth")
+    roots = materialize(roots, "chat-roots")
+    running = materialize(state.select("node", "up", F.lit(1).cast("long").alias("depth")), "chat-depth")
+    done = roots
     for _ in range(max_rounds):
-        if not state.where("up is not null").limit(1).count():
-            return state.select("node", "depth")
-        far = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = materialize(
-            state.join(far, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "chat-depth"
-        )
+        if not running.limit(1).count():
+            return done.select("node", "depth")
+        # only nodes that still have ancestors to count move; they land on any node
+        far = done.unionByName(running).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        moved = materialize(running.join(far, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")), "chat-depth")
+        running, done = moved.where("up is not null"), done.unionByName(moved.where("up is null"))
     raise ValueError("messages answer each other in a circle")
 
 
