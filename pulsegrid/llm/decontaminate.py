@@ -4,9 +4,9 @@ Test items come in blocks of bounded size (by their n-grams), so what tasks rece
 large the benchmark is; each block is held against the whole corpus.
 
 1. One pass over the texts counts, for every n-gram of the block, the documents that hold it.
-2. Seeds of an item are its rare n-grams: held by at most `RARE_SHARE` of all documents, or at most
-   twice as often as the item's own lower quartile, so that an item keeps seeds even if a third of
-   the corpus copies it.
+2. Seeds of an item are its rare n-grams: held by at most `RARE_SHARE` of all documents or by `RARE_DOCS`,
+   or at most four times as often as the item's own median, so that an item keeps its seeds even if a
+   third of the corpus copies it.
 3. A second pass looks seeds up, gathers the diagonals they suggest into windows, aligns each window with
    the item's words, and keeps the best score. No text is shuffled, so no key can be hot.
 
@@ -29,7 +29,7 @@ from .hashing import _PLACE, chunks, hash_words, mix
 
 N = 3
 THRESHOLD = 0.5
-RARE_SHARE = 0.001
+RARE_SHARE, RARE_DOCS = 0.001, 50
 BLOCK_WORDS = 1_000_000  # words of test items per block
 _PUNCTUATION = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
@@ -182,8 +182,8 @@ def find_leaks(
         df = np.zeros(len(grams))
         df[held["gram"].to_numpy(int)] = held["n"]
         own = pd.DataFrame({"item": owner, "df": df[place]})
-        quartile = own.groupby("item")["df"].transform(lambda x: x.quantile(0.25)).to_numpy()
-        rare = own["df"].to_numpy() <= np.maximum(RARE_SHARE * n_docs, np.maximum(2 * quartile, 2))
+        median = own.groupby("item")["df"].transform("median").to_numpy()
+        rare = own["df"].to_numpy() <= np.maximum(max(RARE_SHARE * n_docs, RARE_DOCS), 4 * median)
         order = np.flatnonzero(rare)[np.argsort(place[rare], kind="stable")]
         seeds, first = np.unique(place[order], return_index=True)
         first = np.append(first, len(order))

@@ -2,7 +2,7 @@
 
 Hosts are nodes. Edges are absolute links between hosts, weighted by the number of pages, and a host's own
 subdomain chain (m.site.example.org hangs on site.example.org). Trust starts at trusted hosts and follows links
-(personalised PageRank); distrust starts at blocked hosts and follows links backwards, to those who link
+(personalised PageRank), but not out of blocked hosts; distrust starts at blocked hosts and follows links backwards, to those who link
 there. A host is blocked when its distrust, in units of an even share, reaches `block_at` and exceeds its trust.
 """
 
@@ -80,7 +80,8 @@ def judge_hosts(pages: DataFrame, trusted: Column, blocked: Column, url_col: str
     marked = materialize(hosts.select("host", blocked.alias("bad"), (trusted & ~blocked).alias("good")), "url-hosts")
     counts = marked.agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.count_if("good").alias("n_good")).first()
     seeds = lambda flag, n: marked.select("host", F.when(F.col(flag), 1.0 / max(n, 1)).otherwise(0.0).alias("seed"))
-    trust = propagate(seeds("good", counts["n_good"]), edges, rounds=rounds).withColumnRenamed("score", "trust")
+    passing = edges.withColumn("host", F.col("src")).where(~blocked).drop("host")  # a blocked host passes no trust on
+    trust = propagate(seeds("good", counts["n_good"]), passing, rounds=rounds).withColumnRenamed("score", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = propagate(seeds("bad", counts["n_bad"]), back, rounds=rounds).withColumnRenamed("score", "distrust")
     blocks = (F.col("distrust") * counts["n"] >= block_at) & (F.col("distrust") > F.col("trust"))
