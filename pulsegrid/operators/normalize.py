@@ -251,7 +251,7 @@ def identity_rules(users: DataFrame, reason: Column) -> DataFrame:
 
 def envelope_schema(data: T.DataType | str) -> T.StructType:
     """The record envelope around a payload type."""
-    payload = T._parse_datatype_string(data) if isinstance(data, str) else data
+    payload = T.DataType.fromDDL(data) if isinstance(data, str) else data
     return T.StructType(
         [T.StructField(n, T.StringType()) for n in ("timestamp", "source", "endpoint", "request_id")] + [T.StructField("page", T.IntegerType()), T.StructField("data", payload)]
     )

@@ -14,8 +14,14 @@ from .star import TREE_PATHS, Star, oracle
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 YEAR = 1997
-AS_OF = F.lit("2024-12-31 00:00:00").cast("timestamp")
-END = F.lit("1998-01-01 00:00:00").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2024-12-31 00:00:00").cast("timestamp")
+
+
+def end():
+    return F.lit("1998-01-01 00:00:00").cast("timestamp")
 
 
 def q(name: str, sql: str, dates: tuple[str, ...] = (), doubles: tuple[str, ...] = ()):
@@ -224,8 +230,8 @@ q(
     "d4_active_within",
     """SELECT repo_id, count(DISTINCT login) FILTER (ts >= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS active_contributors_30d, count(DISTINCT login) FILTER (ts >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY) AS active_contributors_90d,
     count(DISTINCT login) AS active_contributors_365d FROM events_long WHERE ts < TIMESTAMP '1998-01-01' AND ts >= TIMESTAMP '1998-01-01' - INTERVAL 365 DAY GROUP BY repo_id""",
-)(lambda s: metrics.active_within(s.events_long, END))
-q("d5_stale_prs", "SELECT repo_id, count(*) FILTER (state = 'open' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS stale FROM prs GROUP BY repo_id")(lambda s: metrics.stale_counts(s.prs, END))
+)(lambda s: metrics.active_within(s.events_long, end()))
+q("d5_stale_prs", "SELECT repo_id, count(*) FILTER (state = 'open' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS stale FROM prs GROUP BY repo_id")(lambda s: metrics.stale_counts(s.prs, end()))
 q("w10_k12_visible_rank", "SELECT repo_id, pr_count, CAST(row_number() OVER (ORDER BY pr_count DESC, repo_id) AS INTEGER) AS position FROM health")(
     lambda s: ranking.visible_rank(metrics.repo_counters(s.events_long, s.repos).select("repo_id", "pr_count"), "pr_count", "repo_id")
 )
@@ -249,7 +255,7 @@ q("a33_a34_i10_review_facts", """SELECT r / p AS reviews_per_pr, least(round(100
 q("a44_health_signals", """SELECT avg(review_coverage) AS avg_coverage, format('{:.1f} days', avg(median_time_to_merge) FILTER (median_time_to_merge > 0) / 24) AS merge_time,
     CAST(coalesce(sum(stale), 0) AS BIGINT) AS stale_prs, avg(contributor_count) AS avg_contributors FROM health
     LEFT JOIN (SELECT repo_id, count(*) FILTER (state = 'open' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS stale FROM prs GROUP BY 1) USING (repo_id)""")(
-    lambda s: insights.health_signals(health(s).join(metrics.stale_counts(s.prs, END).withColumnRenamed("stale", "stale_pr_count"), "repo_id", "left"))
+    lambda s: insights.health_signals(health(s).join(metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count"), "repo_id", "left"))
 )
 q("a55_f21_summary_from_metrics", """SELECT CAST(sum(value) FILTER (metric_key = 'prs_merged') AS BIGINT) AS prs_merged, CAST(sum(value) FILTER (metric_key = 'reviews_submitted') AS BIGINT) AS total_reviews,
     count(DISTINCT login) AS total_contributors, any_value((SELECT count(DISTINCT repo_id) FROM events_long)) AS total_repos FROM counts""")(lambda s: insights.summary_from_metrics(metrics.scoped_leaderboards(s.events_long)))
@@ -313,16 +319,16 @@ C = filters.RepoFilters
 _simple("f1_fork", lambda: filters.fork_ok(C()), "NOT fork")
 _simple("f2_archive", lambda: filters.archive_ok(C()), "NOT archived")
 _simple("f3_visibility", lambda: filters.visibility_ok(C(visibility="private")), "coalesce(visibility, CASE WHEN private THEN 'private' ELSE 'public' END) = 'private'")
-_simple("f4_i1_activity", lambda: filters.activity_ok(C(pushed_within_days=100), AS_OF), "coalesce(try_cast(pushed_at AS TIMESTAMP) >= TIMESTAMP '2024-12-31' - INTERVAL 100 DAY, false)")
+_simple("f4_i1_activity", lambda: filters.activity_ok(C(pushed_within_days=100), as_of()), "coalesce(try_cast(pushed_at AS TIMESTAMP) >= TIMESTAMP '2024-12-31' - INTERVAL 100 DAY, false)")
 _simple("f5_size", lambda: filters.size_ok(C(min_kb=1000, max_kb=2000)), "size_kb BETWEEN 1000 AND 2000")
 _simple("f6_language", lambda: filters.language_ok(C(include_languages=("Brand#1", "Brand#2"), exclude_languages=("Brand#2",))), "language = 'Brand#1'")
 _simple("f7_u3_topics", lambda: filters.topics_ok(C(require_all_topics=("red",), exclude_topics=("gear",))), "list_contains(topics, 'red') AND NOT list_contains(topics, 'gear')")
 _simple("f8_name_pattern", lambda: filters.name_ok(C(include_names=(r"9$", r"^repo1"), exclude_names=(r"repo\d$",))), "(regexp_matches(name, '9$') OR regexp_matches(name, '^repo1')) AND NOT regexp_matches(name, 'repo\\d$')")
-q("f9_filter_chain", f"SELECT repo_id, {_FIRST} AS reject_filter FROM repos")(lambda s: filters.apply_filter_chain(s.repos, CHAIN, AS_OF).select("repo_id", "reject_filter"))
+q("f9_filter_chain", f"SELECT repo_id, {_FIRST} AS reject_filter FROM repos")(lambda s: filters.apply_filter_chain(s.repos, CHAIN, as_of()).select("repo_id", "reject_filter"))
 q("f10_rejection_stats", f"""SELECT f AS filter, count(*) AS rejected, any_value(d) AS discovered, any_value(p) AS passed FROM (SELECT f, count(*) OVER () AS d, count(*) FILTER (f IS NULL) OVER () AS p
-    FROM (SELECT {_FIRST} AS f FROM repos)) WHERE f IS NOT NULL GROUP BY f""")(lambda s: filters.rejection_stats(filters.apply_filter_chain(s.repos, CHAIN, AS_OF)))
-q("f11_created_within", "SELECT number FROM prs WHERE created_at >= TIMESTAMP '1997-01-01' AND created_at < TIMESTAMP '1998-01-01'")(lambda s: filters.created_within(s.prs, F.lit("1997-01-01").cast("timestamp"), END).select("number"))
-q("f12_updated_within", "SELECT number FROM prs WHERE updated_at >= TIMESTAMP '1997-01-01' AND updated_at < TIMESTAMP '1998-01-01'")(lambda s: filters.updated_within(s.prs, F.lit("1997-01-01").cast("timestamp"), END).select("number"))
+    FROM (SELECT {_FIRST} AS f FROM repos)) WHERE f IS NOT NULL GROUP BY f""")(lambda s: filters.rejection_stats(filters.apply_filter_chain(s.repos, CHAIN, as_of())))
+q("f11_created_within", "SELECT number FROM prs WHERE created_at >= TIMESTAMP '1997-01-01' AND created_at < TIMESTAMP '1998-01-01'")(lambda s: filters.created_within(s.prs, F.lit("1997-01-01").cast("timestamp"), end()).select("number"))
+q("f12_updated_within", "SELECT number FROM prs WHERE updated_at >= TIMESTAMP '1997-01-01' AND updated_at < TIMESTAMP '1998-01-01'")(lambda s: filters.updated_within(s.prs, F.lit("1997-01-01").cast("timestamp"), end()).select("number"))
 q("f13_page_all_older", "SELECT number // 100 AS page, bool_and(updated_at < TIMESTAMP '2001-08-01') AS all_older FROM prs GROUP BY 1")(
     lambda s: filters.page_all_older(s.prs.withColumn("page", F.floor(F.col("number") / 100)), "page", "updated_at", F.lit("2001-08-01").cast("timestamp"))
 )
@@ -402,7 +408,7 @@ _VIEW = """SELECT repo_id, m AS prs_merged, a AS active_contributors_365d, CASE
 
 def view(s: Star) -> DataFrame:
     merged = s.events_long.where("metric_key = 'prs_merged'").groupBy("repo_id").agg(F.count("*").alias("prs_merged"))
-    active = metrics.active_within(s.events_long, END).select("repo_id", "active_contributors_365d")
+    active = metrics.active_within(s.events_long, end()).select("repo_id", "active_contributors_365d")
     base = s.repos.select("repo_id").distinct().join(merged, "repo_id", "left").join(active, "repo_id", "left")
     return hygiene.with_status(base, scored(s))
 
@@ -453,8 +459,8 @@ _RISK_SQL = " UNION ALL ".join(
 
 
 def risk_health(s: Star) -> DataFrame:
-    stale = metrics.stale_counts(s.prs, END).withColumnRenamed("stale", "stale_pr_count")
-    return health(s).join(stale, "repo_id", "left").join(metrics.active_within(s.events_long, END), "repo_id", "left")
+    stale = metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count")
+    return health(s).join(stale, "repo_id", "left").join(metrics.active_within(s.events_long, end()), "repo_id", "left")
 
 
 q("i21_risk_rows", _RISK_SQL)(lambda s: hygiene.risk_rows(scored(s), risk_health(s)))

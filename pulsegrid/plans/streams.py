@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def fresh_folder(spark: SparkSession) -> str:
     """A fresh folder in the shared place the session names; a local one only where it names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -37,7 +37,7 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     """Work the stream off and return the last state of every key (all rows for append)."""
-    root = _folder(spark)
+    root = fresh_folder(spark)
     counters.run_available(stream, counters.parquet_per_batch(f"{root}/out"), f"{root}/state", mode).awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     if mode == "append":

@@ -24,6 +24,10 @@ PAYLOADS = {
 REJECT = "_corrupt_record"
 
 
+def payload(name: str) -> T.StructType:
+    return T.DataType.fromDDL(PAYLOADS[name])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path can be listed by Spark's own file systems."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
