@@ -69,3 +69,21 @@ def text_or_empty(name: str) -> Column:
 def crc_bucket(name: str, n: int) -> Column:
     """crc32 of the decimal text of a key, modulo n (null keys count as the empty text)."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, key: str, bits: int = 25) -> DataFrame:
+    """The rows whose key is among the ids, and a few others: no shuffle of the rows.
+
+    The ids' hashes become one bitmap of 2**bits bits in pieces of 4 KB, so what is broadcast is 4 MB at most, at any size.
+    The share of others is the share of set bits. Follow with an exact join; rows with a null key go.
+    """
+
+    def places(name: str):
+        spot = F.pmod(F.xxhash64(name), F.lit(1 << bits))
+        return F.shiftright(spot, 15).alias("_piece"), spot.bitwiseAND(F.lit(32767)).alias("_bit")
+
+    pieces = ids.where(F.col(key).isNotNull()).select(*places(key)).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    placed = rows.where(F.col(key).isNotNull()).select("*", *places(key))
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    hit = F.getbit(byte, F.col("_bit").bitwiseAND(F.lit(7)).cast("int")) == 1
+    return placed.join(F.broadcast(pieces), "_piece").where(hit).select(*rows.columns)

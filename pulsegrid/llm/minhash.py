@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, maybe_among, ship
 from .components import connected_components
 from .hashing import chunks, shingle_sets
 
@@ -300,7 +300,8 @@ def near_dup_classes(
     )
     scored = materialize(scored, "near-scored")
     ids = scored.select(F.col("src").alias("doc_id")).unionByName(scored.select(F.col("dst").alias("doc_id"))).distinct()
-    texts = rows.join(ids, "doc_id", "left_semi").distinct()
+    ids = materialize(ids, "near-ids")
+    texts = maybe_among(rows, ids, "doc_id").join(ids, "doc_id", "left_semi").distinct()
     confirmed = (
         scored.join(texts.toDF("dst", "dst_text"), "dst")
         .join(texts.toDF("src", "src_text"), "src")
@@ -349,7 +350,8 @@ def near_dup_classes(
     # cells of one class alone need no texts
     open_cells = cells.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
     cells = materialize(cells.join(open_cells, "cell", "left_semi"), "near-open-cells")
-    cell_texts = rows.join(cells.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    cell_ids = cells.select("doc_id").distinct()
+    cell_texts = maybe_among(rows, cell_ids, "doc_id").join(cell_ids, "doc_id", "left_semi").distinct()
     rest = cells.join(cell_texts, "doc_id").repartition("cell").sortWithinPartitions("cell").mapInPandas(_blocks(width, threshold), LINKS)
     rest = materialize(rest, "near-rest")
     labels = connected_components(confirmed.unionByName(rest))
