@@ -33,9 +33,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _prefix(key, depth):
-    """The top `depth` bits of a pseudo key (0 for depth 0: Spark shifts by the amount modulo 64)."""
-    return F.when(F.lit(depth) == 0, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(key, 64 - depth if depth else 0))
+def _prefix(key, depth: int):
+    """The top `depth` bits of a pseudo key."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
 def build_directory(entries: DataFrame, capacity: int = 4096, max_depth: int = 14) -> DataFrame:
