@@ -116,8 +116,9 @@ def rejection_stats(chained: DataFrame) -> DataFrame:
 
 
 def created_within(df: DataFrame, since: Column, until: Column, column: str = "created_at") -> DataFrame:
-    """Rows of the half-open window; rows without a time go."""
-    return df.where((F.col(column) >= since) & (F.col(column) < until))
+    """Rows of the half-open window; rows without a time go. Bounds take the column's own type, so that they reach the scan."""
+    kind = df.schema[column].dataType
+    return df.where((F.col(column) >= since.cast(kind)) & (F.col(column) < until.cast(kind)))
 
 
 def updated_within(df: DataFrame, since: Column, until: Column, column: str = "updated_at") -> DataFrame:
@@ -138,7 +139,7 @@ def split_issues(issues: DataFrame, marker: str = "is_pull_request") -> tuple[Da
 
 
 def updated_before(issues: DataFrame, until: Column, column: str = "updated_at") -> DataFrame:
-    return issues.where(F.col(column) < until)
+    return issues.where(F.col(column) < until.cast(issues.schema[column].dataType))
 
 
 def commit_window(commits: DataFrame, until: Column, since: Column | None = None, since_days: int | None = None, column: str = "committed_at") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.people import is_bot
 from ..functions.times import hours_between, iso_week_key, month_key
+from .filters import created_within, in_year
 
 #: The metrics of a leaderboard, in the order of reports.
 METRICS = ("prs_opened", "prs_merged", "issues_opened", "issues_closed", "reviews_submitted", "approvals", "changes_requested", "comments_total", "review_comments_total")
@@ -77,8 +78,7 @@ def top_n(rows: DataFrame, n: int) -> DataFrame:
 def time_series(events: DataFrame, year: int, period_type: str = "week", *extra: str) -> DataFrame:
     """metric_key, period, login (and extra keys), count in the calendar year; weeks carry their ISO year."""
     key = iso_week_key if period_type == "week" else month_key
-    inside = events.where((F.col("ts") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("ts") < F.lit(f"{year + 1}-01-01").cast("timestamp")))
-    kept = inside.where(F.col("metric_key").isin(*SERIES))
+    kept = in_year(events, year, "ts").where(F.col("metric_key").isin(*SERIES))
     return kept.groupBy("metric_key", key(F.col("ts")).alias("period"), *extra, "login").agg(F.count("*").alias("count"))
 
 
@@ -177,7 +177,7 @@ def active_weeks(events: DataFrame, year: int) -> DataFrame:
 
 def active_within(events: DataFrame, end: Column, days: tuple[int, ...] = (30, 90, 365)) -> DataFrame:
     """Per repository, distinct people in the last n days before end."""
-    recent = events.where((F.col("ts") < end) & (F.col("ts") >= end - F.expr(f"INTERVAL {max(days)} DAYS"))).groupBy("repo_id", "login").agg(F.max("ts").alias("last"))
+    recent = created_within(events, end - F.expr(f"INTERVAL {max(days)} DAYS"), end, "ts").groupBy("repo_id", "login").agg(F.max("ts").alias("last"))
     return recent.groupBy("repo_id").agg(*[F.count_if(F.col("last") >= end - F.expr(f"INTERVAL {d} DAYS")).alias(f"active_contributors_{d}d") for d in days])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import iso_week_key
+from ..operators import filters
 
 
 def read_events(spark: SparkSession, path: str, schema: str, max_files: int = 1000) -> DataFrame:
@@ -39,7 +40,7 @@ def totals(events: DataFrame) -> DataFrame:
 
 def in_year(events: DataFrame, year: int) -> DataFrame:
     """The gate of the windowed branch only; totals take every row."""
-    return events.where((F.col("ts") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("ts") < F.lit(f"{year + 1}-01-01").cast("timestamp")))
+    return filters.in_year(events, year, "ts")
 
 
 def first_seen_users(events: DataFrame, late: str | None = None) -> DataFrame:
