@@ -53,7 +53,25 @@ def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op4_hyperminhash_near_dedup")
+@query(
+    "op4_hyperminhash_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+    n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+    e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+    b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.reach = b.x)
+    SELECT doc_id, n AS n_shingles, min(reach) AS component_id, doc_id = min(reach) AS kept
+    FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
+    """,
+)
 def op4_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_dup_classes
 
@@ -147,7 +165,49 @@ BLOCKED_LABELS = ("spam-farm", "casino-win", "adult-x", "ads-track", "free-bets"
 TRUSTED_LABELS = ("www",)
 
 
-@query("op6_url_link_graph")
+
+
+def _url_oracle(rounds: int = 20) -> str:
+    """The same rules and propagation with one materialised step per round."""
+    az, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    has = lambda labels: f"list_has_any(string_split(host, '.'), [{', '.join(repr(x) for x in labels)}])"
+    cases = {"rule": "", "verdict": ""}
+    for verdict, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        h, _, p = rule.partition("/")
+        fits = f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN"
+        cases["rule"] += f" {fits} '{rule}'"
+        cases["verdict"] += f" {fits} '{verdict}'"
+    steps = []
+    for name, seed, edges in (("t", "good", "walk_t"), ("d", "bad", "walk_d")):
+        steps.append(f"{name}0 AS MATERIALIZED (SELECT host, seed, seed AS score FROM (SELECT host, CASE WHEN {seed} THEN 1.0::DOUBLE / (SELECT count(*) FILTER ({seed}) FROM mk) ELSE 0.0::DOUBLE END AS seed FROM mk))")
+        for k in range(rounds):
+            steps.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT host, seed, 0.85 * coalesce(came, 0) + 0.15 * seed AS score FROM {name}{k} "
+                f"LEFT JOIN (SELECT dst AS host, sum(score * share) AS came FROM {name}{k} JOIN {edges} ON host = src GROUP BY 1) USING (host))"
+            )
+        steps.append(f"{name} AS (SELECT host, coalesce(score / nullif((SELECT sum(score) FROM {name}{rounds}), 0), 0) AS score FROM {name}{rounds})")
+    return rf"""
+    WITH pg AS (
+        SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{az}', '{low}') AS host,
+               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    lk AS (SELECT host AS src, lower(unnest(list_distinct(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1)))) AS dst FROM pg),
+    fam AS (SELECT DISTINCT host AS src, regexp_extract(host, '^[^.]+\.([^.]+\.[^.]+\..+)$', 1) AS dst FROM pg),
+    ed AS MATERIALIZED (
+        SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT * FROM lk UNION ALL SELECT src, dst FROM fam UNION ALL SELECT dst, src FROM fam)
+        WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+    hs AS (SELECT host FROM pg WHERE host <> '' UNION SELECT src FROM ed UNION SELECT dst FROM ed),
+    mk AS MATERIALIZED (SELECT host, {has(BLOCKED_LABELS)} AS bad, NOT {has(BLOCKED_LABELS)} AND {has(TRUSTED_LABELS)} AS good FROM hs),
+    et AS (SELECT ed.* FROM ed JOIN mk ON host = src WHERE NOT bad),
+    walk_t AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM et),
+    walk_d AS MATERIALIZED (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM ed),
+    {", ".join(steps)},
+    v AS (SELECT host, CASE WHEN d.score * (SELECT count(*) FROM mk) >= 1 AND d.score > t.score THEN 'block' ELSE 'allow' END AS host_verdict FROM t JOIN d USING (host)),
+    j AS (SELECT page_id, host, path, CASE {cases["rule"]} END AS rule, CASE {cases["verdict"]} END AS rule_verdict FROM pg)
+    SELECT page_id, host, path, rule, coalesce(rule_verdict, host_verdict, 'allow') AS verdict FROM j LEFT JOIN v USING (host)
+    """
+
+
+@query("op6_url_link_graph", _url_oracle())
 def op6_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
