@@ -106,6 +106,24 @@ def test_random_strings_are_told_from_structured_ones(spark, messy, empty):
     assert scan_secrets(messy).count() == len(MESSY) and scan_secrets(empty).count() == 0
 
 
+def test_keys_survive_a_mostly_structured_corpus(spark):
+    import random
+
+    rng = random.Random(3)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    alphabet = lower + lower.upper() + "0123456789"
+    keys = ["".join(rng.choices(alphabet, k=n)) for n in (22, 32, 40, 60) for _ in range(100)] + ["".join(rng.choices(lower, k=24)) for _ in range(100)]
+    words = "account settings report invoice handler session default profile network production request order".split()
+    slugs = ["-".join(rng.choices(words, k=4)) + f"-{i}" for i in range(9 * len(keys))]
+    rows = list(enumerate(keys + slugs))
+    got = {r["doc_id"]: r["spans"] for r in scan_secrets(documents(spark, rows)).collect()}
+    found = [got[i] == f"random:0:{len(k)}" for i, k in enumerate(keys)]
+    assert all(sum(found[i : i + 100]) >= 96 for i in range(0, 500, 100))  # of every length and case
+    assert sum(got[len(keys) + i] != "" for i in range(len(slugs))) <= 0.01 * len(slugs)
+    alone = {r["doc_id"]: r["spans"] for r in scan_secrets(documents(spark, rows[: len(keys)])).collect()}
+    assert all(alone[i] == got[i] for i in alone)  # other rows do not change a verdict
+
+
 def test_encodings_are_inferred():
     name = lambda s: (secret_scan.infer_encoding(s) or [None])[0]
     assert [name(x * 10) for x in ("12", "1a", "1A", "A2Z", "1z", "aB1", "aB+", "aB_", "ab")] == ["dec", "hex", "HEX", "base32", "base36", "base62", "base64", "base64url", None]
