@@ -3,7 +3,10 @@
 Hosts are nodes. Edges are absolute links between hosts, weighted by the number of pages, and a host's own
 subdomain chain (m.site.example.org hangs on site.example.org). Trust starts at trusted hosts and follows links
 (personalised PageRank), but not out of blocked hosts; distrust starts at blocked hosts and follows links backwards, to those who link
-there. A host is blocked when its distrust, in units of an even share, reaches `block_at` and exceeds its trust.
+there. Blocked seeds are blocked; another host is blocked when its distrust exceeds `block_at` times its trust. For this both
+are taken as masses that start with one unit at every seed: neither the number of hosts nor that of seeds is in
+them, so rows that have no path to a host cannot change its verdict. Links into blocked hosts take no share of
+that trust: what they took would be lost there.
 """
 
 from __future__ import annotations
@@ -56,7 +59,10 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Personalised PageRank: nodes (host, seed share), edges (src, dst, weight) -> (host, score); scores sum to 1.
+    """Personalised PageRank: nodes (host, seed), edges (src, dst, weight) -> (host, mass, score); scores sum to 1.
+
+    The mass is what arrives of the seeds given, before scaling: it adds up over seeds and does not depend on hosts that
+    have no path here.
 
     What reaches a node without links goes back to the seeds. The number of rounds is fixed: the error left is below
     damping**rounds. A node with many links meets them in map-side sums. Without seeds every score is 0.
@@ -70,7 +76,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         if r % 4 == 3 or r == rounds - 1:
             state = materialize(state, "url-rank")
     total = state.agg(F.sum("score").alias("total"))  # lost at dead ends: spread over the seeds by scaling
-    return state.crossJoin(F.broadcast(total)).select("host", F.coalesce(F.col("score") / F.nullif("total", F.lit(0.0)), F.lit(0.0)).alias("score"))
+    return state.crossJoin(F.broadcast(total)).select("host", F.col("score").alias("mass"), F.coalesce(F.col("score") / F.nullif("total", F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
 def judge_hosts(pages: DataFrame, trusted: Column, blocked: Column, url_col: str = "url", html_col: str = "html", block_at: float = 1.0, rounds: int = 20) -> DataFrame:
@@ -78,14 +84,15 @@ def judge_hosts(pages: DataFrame, trusted: Column, blocked: Column, url_col: str
     edges = materialize(host_edges(pages, url_col, html_col), "url-edges")
     hosts = pages.select(url_host(F.col(url_col)).alias("host")).unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).where("host <> ''").distinct()
     marked = materialize(hosts.select("host", blocked.alias("bad"), (trusted & ~blocked).alias("good")), "url-hosts")
-    counts = marked.agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.count_if("good").alias("n_good")).first()
-    seeds = lambda flag, n: marked.select("host", F.when(F.col(flag), 1.0 / max(n, 1)).otherwise(0.0).alias("seed"))
+    seeds = lambda flag: marked.select("host", F.col(flag).cast("double").alias("seed"))
     passing = edges.withColumn("host", F.col("src")).where(~blocked).drop("host")  # a blocked host passes no trust on
-    trust = propagate(seeds("good", counts["n_good"]), passing, rounds=rounds).withColumnRenamed("score", "trust")
+    trust = propagate(seeds("good"), passing, rounds=rounds).select("host", F.col("score").alias("trust"))
+    kept = passing.withColumn("host", F.col("dst")).where(~blocked).drop("host")
+    support = propagate(seeds("good"), kept, rounds=rounds).select("host", F.col("mass").alias("for"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(seeds("bad", counts["n_bad"]), back, rounds=rounds).withColumnRenamed("score", "distrust")
-    blocks = (F.col("distrust") * counts["n"] >= block_at) & (F.col("distrust") > F.col("trust"))
-    return trust.join(distrust, "host").select("host", "trust", "distrust", F.when(blocks, "block").otherwise("allow").alias("verdict"))
+    distrust = propagate(seeds("bad"), back, rounds=rounds).select("host", F.col("mass").alias("against"), F.col("score").alias("distrust"))
+    blocks = blocked | (F.col("against") > block_at * F.col("for"))
+    return trust.join(support, "host").join(distrust, "host").select("host", "trust", "distrust", F.when(blocks, "block").otherwise("allow").alias("verdict"))
 
 
 def filter_urls(

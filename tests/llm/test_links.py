@@ -180,6 +180,25 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.filter_urls(df.where("false"), URL_RULES, F.lit(False), F.lit(False)).count() == 0
 
 
+def test_a_farm_of_a_third_of_all_hosts_changes_no_other_verdict(spark):
+    link = lambda *hosts: " ".join(f'<a href="https://{h}/x">' for h in hosts)
+    farm = [f"s{i}.spam-farm.example.com" for i in range(60)]
+    ring = [f"ring{i}.example.net" for i in range(12)]  # no seeds, but all link to one
+    small = [("free-bets.example.com", None), *((h, link("casino-win.example.net")) for h in ring), ("casino-win.example.net", link(*ring))]
+    small += [("www.good.example.org", link("friend.example.org")), ("friend.example.org", link("www.good.example.org", "casino-win.example.net")), ("plain.example.org", None)]
+    large = small + [(h, link("spam-farm.example.com")) for h in farm] + [(f"www.other{i}.example.org", None) for i in range(100)]
+    host = F.col("host")
+
+    def judge(rows):
+        pages = spark.createDataFrame([(i, f"https://{h}/a", html) for i, (h, html) in enumerate(rows)], "page_id long, url string, html string")
+        return {r["host"]: r["verdict"] for r in url_filter.judge_hosts(pages, url_filter.any_label(host, TRUSTED_LABELS), url_filter.any_label(host, BLOCKED_LABELS)).collect()}
+
+    a, b = judge(small), judge(large)
+    assert {h: b[h] for h in a} == a
+    assert all(b[h] == "block" for h in [*farm, *ring, "free-bets.example.com", "casino-win.example.net", "spam-farm.example.com"])
+    assert b["www.good.example.org"] == b["friend.example.org"] == b["plain.example.org"] == "allow"
+
+
 def test_url_query_over_all_pages(spark, sf):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = QUERIES["op6_url_link_graph"](spark, sf).collect()
