@@ -33,7 +33,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more (frames derived from them are passed over)."""
+    for t in tables:
+        if path := getattr(t, "_folder", None):
+            spark = t.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -75,7 +86,8 @@ def maybe_among(rows: DataFrame, ids: DataFrame, key: str, bits: int = 25) -> Da
     """The rows whose key is among the ids, and a few others: no shuffle of the rows.
 
     The ids' hashes become one bitmap of 2**bits bits in pieces of 4 KB, so what is broadcast is 4 MB at most, at any size.
-    The share of others is the share of set bits. Follow with an exact join; rows with a null key go.
+    The share of others is the share of set bits. Follow with an exact inner join (a semi join would be planned before
+    this filter); rows with a null key go.
     """
 
     def places(name: str):

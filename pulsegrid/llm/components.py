@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -15,19 +15,22 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     at the smallest node of its neighbourhood, and the rounds grow with the logarithm of the
     longest chain. Every round is written to the shared folder. A node with many links meets them in
     an aggregate that map tasks combine first, and in a join of two plain shuffles, which adaptive
-    execution splits. Only a count and a hash of the links of a round reach the driver. Self links and repeats are harmless.
+    execution splits. A round replaces the table of the round before. Only a count and a hash of the links of a round reach the driver. Self links and repeats are harmless.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     edges = links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = materialize(edges, "cc-links")
 
+    def lowest(e: DataFrame) -> DataFrame:
+        # grouped by -u, so that the join's two sides are shuffles of their own and a hub's links can be split
+        return e.groupBy((-F.col("u")).alias("minus")).agg(F.min("v").alias("low")).select((-F.col("minus")).alias("u"), "low")
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:  # larger neighbours go to the smallest of the whole neighbourhood
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.min("v").alias("low"))
-            out = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
+            out = both.where("v > u").join(lowest(both), "u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
         else:  # smaller neighbours, and the node, go to the smallest
-            low = e.groupBy("u").agg(F.min("v").alias("low"))
+            low = lowest(e)
             met = e.join(low, "u")
             out = met.where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
         return out.distinct()
@@ -37,12 +40,15 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
 
     seen = digest(edges)
     for _ in range(max_rounds):
-        edges = materialize(star(star(edges, True), False), "cc-round")
+        last, edges = edges, materialize(star(star(edges, True), False), "cc-round")
+        discard(last)
         before, seen = seen, digest(edges)
         if before == seen:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+    out._folder = edges._folder  # for discard()
+    return out

@@ -11,10 +11,10 @@ Jobs:
    estimated from the registers with the collision correction, and those that may reach the threshold
    within five standard errors are confirmed on full shingle sets.
 3. Links that no star shows can only join different classes inside one band key. Keys whose rows
-   already are one class are settled. In the others, rows of different classes whose registers leave a link
-   possible are tied into clusters (keys with many rows are one cluster without looking); a cluster is a
-   forest of such ties, never all pairs. Clusters are then compared on full sets, in blocks of bounded size,
-   and return a forest of links between classes.
+   already are one class are settled. In the others, registers are compared in cells of bounded size: rows
+   outside the hub's class meet each other and the hub's class, which does not meet itself. Rows of different
+   classes whose registers leave a link possible are tied into clusters by forests, never by all pairs. Clusters
+   are then compared on full sets, again in cells of bounded size, and return a forest of links between classes.
 4. Classes are connected components of the confirmed links, found by joins.
 
 Recall: a pair at the threshold of 0.8 misses all 32 bands of four registers with probability
@@ -23,14 +23,15 @@ Recall: a pair at the threshold of 0.8 misses all 32 bands of four registers wit
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_among, ship
+from .common import discard, materialize, maybe_among, ship
 from .components import connected_components
 from .hashing import chunks, shingle_sets
 
@@ -38,8 +39,7 @@ BUCKET_BITS = 7  # 128 registers
 MANTISSA_BITS = 10
 BAND_ROWS = 4
 EMPTY = 0xFFFF
-PAIR_ROWS = 512  # larger band keys become clusters as they are
-BLOCK = 512  # rows of one side of a block comparison
+BLOCK = 512  # rows of one side of a cell, on average
 
 
 def registers(shingles: np.ndarray, bits: int = BUCKET_BITS, mantissa: int = MANTISSA_BITS) -> np.ndarray:
@@ -85,8 +85,7 @@ def _sketch(width: int):
                     {
                         "doc_id": pd.array(ids[a:b], "Int64"),
                         "n_shingles": [len(s) for s in sets],
-                        "print_a": [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets],
-                        "print_b": [int((s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64).astype(np.int64)) for s in sets],
+                        "print": [hashlib.sha256(s.tobytes()).digest() for s in sets],  # sets are sorted: equal sets, equal digests
                         "sketch": [registers(s).astype(">u2").tobytes() for s in sets],
                     }
                 )
@@ -94,7 +93,7 @@ def _sketch(width: int):
     return run
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, print_a long, print_b long, sketch binary"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, print binary, sketch binary"
 
 
 def _may_link(threshold: int):
@@ -121,12 +120,11 @@ def _linked(width: int, threshold: int):
             rows = f[["src", "dst", "src_text", "dst_text"]].values.tolist()
             for a, b in chunks([x[2] + x[3] for x in rows]):
                 part = rows[a:b]
-                texts = list({x[0]: x[2] for x in part}.items()) + list({x[1]: x[3] for x in part}.items())
-                texts = list(dict(texts).items())
-                sets = dict(zip([i for i, _ in texts], shingle_sets([t for _, t in texts], width), strict=True))
+                texts = list(dict.fromkeys(t for x in part for t in x[2:]))
+                sets = dict(zip(texts, shingle_sets(texts, width), strict=True))
                 out = []
-                for s, d, _, _ in part:
-                    x, y = sets[s], sets[d]
+                for s, d, s_text, d_text in part:
+                    x, y = sets[s_text], sets[d_text]
                     both = _shared(x, y)
                     if 100 * both >= threshold * (len(x) + len(y) - both):
                         out.append((s, d))
@@ -190,22 +188,23 @@ class _Forest:
 
 
 def _open_pairs(threshold: int):
-    """Within a band key, rows of different classes that may be linked, as a forest.
+    """In a cell of registers, rows of different classes that may be linked, as a forest.
 
-    Pairs with the key's hub are left out: the star has settled them.
+    A cell with two sides compares one with the other, a cell with one side its rows with each other.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest = _Forest()
-        for whole, cut in _whole_groups(frames, "band"):
-            ids, hub, component, n = (whole[c].to_numpy() for c in ("doc_id", "hub", "component", "n_shingles"))
+        for whole, cut in _whole_groups(frames, "cell"):
+            ids, side, component, n = (whole[c].to_numpy() for c in ("doc_id", "side", "component", "n_shingles"))
             sketch = _as_registers(whole["sketch"])
             for a, b in cut:
-                at = np.arange(a, b)[ids[a:b] != hub[a:b]]
-                if len(at) < 2 or (component[at] == component[at[0]]).all():
+                if (component[a:b] == component[a]).all():
                     continue
-                for i, p in enumerate(at[:-1]):
-                    q = at[i + 1 :]
+                at, sided = np.arange(a, b), side[a:b]
+                few, many = sorted((at[sided == 0], at[sided == 1]), key=len)
+                for i, p in enumerate(few if len(few) else many):
+                    q = many if len(few) else many[i + 1 :]
                     q = q[(component[q] != component[p]) & (100 * np.minimum(n[q], n[p]) >= threshold * np.maximum(n[q], n[p]))]
                     if len(q):
                         j, error = estimate(sketch[q], sketch[p][None, :], n[q], n[p : p + 1])
@@ -255,6 +254,35 @@ def _blocks(width: int, threshold: int):
 LINKS = "src long, dst long"
 
 
+def _cells(key: str, own: Column, n_own: Column, n_other: Column) -> list[Column]:
+    """Columns cell and side of rows that are to be compared within `key` in blocks of about BLOCK rows.
+
+    Own rows fill the first blocks and are compared with those of others only; others are compared with all. A key
+    with few rows is one cell.
+    """
+    one = n_own + n_other <= BLOCK
+    first = F.when(one, 0).otherwise(F.ceil(n_own / BLOCK)).cast("int")  # blocks of own rows
+    rest = F.when(one, 1).otherwise(F.ceil(n_other / BLOCK)).cast("int")
+    at = F.pmod(F.xxhash64("doc_id"), F.when(own & ~one, first).otherwise(rest)).cast("int")
+    block = F.when(own & ~one, at).otherwise(at + first)
+    other = F.explode(F.sequence(F.when(own, first).otherwise(F.lit(0)), first + rest - 1))
+    return [key, "doc_id", "component", block.alias("_block"), other.alias("_other")]
+
+
+def _celled(rows: DataFrame, key: str, *keep: str) -> DataFrame:
+    return rows.select(
+        *keep, F.xxhash64(key, F.least("_block", "_other"), F.greatest("_block", "_other")).alias("cell"), (F.col("_block") > F.col("_other")).cast("int").alias("side")
+    )
+
+
+def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The distinct rows (doc_id, text) of unique ids, moved once, by doc_id.
+
+    An inner join, since a semi join would be pushed below the bitmap and move all texts.
+    """
+    return maybe_among(rows, ids, "doc_id").join(ids, "doc_id").repartition("doc_id").distinct()
+
+
 def near_dup_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80
 ) -> DataFrame:
@@ -266,16 +294,13 @@ def near_dup_classes(
     Rows with a null id are given back with their n_shingles, a null component_id and kept = true.
     Repeated rows are copies of each other; an id with several texts stands for each of them. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(rows.mapInPandas(_sketch(width), SKETCH_SCHEMA), "near-sketches")
 
     # equal sets: one representative each
     reps = materialize(
-        signed.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("print_a", "print_b", "n_shingles", "sketch")
-        .agg(F.min("doc_id").alias("rep")),
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("print", "n_shingles", "sketch").agg(F.min("doc_id").alias("rep")),
         "near-reps",
     )
     bands = (1 << BUCKET_BITS) // BAND_ROWS
@@ -298,10 +323,9 @@ def near_dup_classes(
         .where(_may_link(threshold)("sa", "sb", "na", "nb"))
         .select("src", "dst")
     )
-    scored = materialize(scored, "near-scored")
-    ids = scored.select(F.col("src").alias("doc_id")).unionByName(scored.select(F.col("dst").alias("doc_id"))).distinct()
-    ids = materialize(ids, "near-ids")
-    texts = maybe_among(rows, ids, "doc_id").join(ids, "doc_id", "left_semi").distinct()
+    scored = materialize(scored.distinct(), "near-scored")
+    ids = materialize(scored.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "near-ids")
+    texts = _texts_of(rows, ids)
     confirmed = (
         scored.join(texts.toDF("dst", "dst_text"), "dst")
         .join(texts.toDF("src", "src_text"), "src")
@@ -310,65 +334,51 @@ def near_dup_classes(
     )
     confirmed = materialize(confirmed, "near-confirmed")
     first = connected_components(confirmed)
+    class_of = first.withColumnRenamed("id", "doc_id")
 
-    # band keys that still hold several classes
+    # band keys that still hold several classes: compare registers
     labelled = (
-        members.where("rows > 2")
-        .join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("band", "doc_id", "hub", "rows", F.coalesce("component", "doc_id").alias("component"))
+        members.where("rows > 2").join(class_of, "doc_id", "left").select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
     )
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    unsettled = materialize(labelled.join(materialize(mixed, "near-mixed"), "band", "left_semi"), "near-unsettled")
-    small = (
-        unsettled.where(F.col("rows") <= PAIR_ROWS)
-        .select("band", "doc_id", "hub", "component")
+    of_hub = F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component")))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), of_hub.alias("hub_class"))
+    mixed = materialize(mixed.where("low <> high").select("band", "hub_class"), "near-mixed")
+    own = F.col("component") == F.col("hub_class")
+    unsettled = materialize(labelled.where("doc_id <> hub").join(mixed, "band").select("band", "doc_id", "component", own.alias("own")), "near-unsettled")
+    sizes = unsettled.groupBy("band").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_other")).where("n_other > 0 and n_own + n_other > 1")
+    band_sizes = materialize(sizes, "near-sizes")
+    open_rows = unsettled.join(band_sizes, "band").select(*_cells("band", F.col("own"), F.col("n_own"), F.col("n_other")))
+    ties = (
+        _celled(open_rows, "band", "doc_id", "component")
         .join(sketches.withColumnRenamed("id", "doc_id"), "doc_id")
-        .repartition("band")
-        .sortWithinPartitions("band")
+        .repartition("cell")
+        .sortWithinPartitions("cell")
         .mapInPandas(_open_pairs(threshold), LINKS)
     )
-    big = unsettled.where((F.col("rows") > PAIR_ROWS) & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
-    clusters = connected_components(small.unionByName(big)).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
-    clustered = (
-        clusters.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
-    )
+
+    # clusters of rows that registers leave open: compare full sets
+    clusters = connected_components(ties).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+    clustered = clusters.join(class_of, "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
     clustered = materialize(clustered, "near-clustered")
-    sizes = clustered.groupBy("cluster").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")
-    ).where("low <> high").select("cluster", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    cells = clustered.join(materialize(sizes, "near-sizes"), "cluster").withColumn("block", block).select(
-        "doc_id", "component", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "doc_id",
-        "component",
-        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-    )
-    cells = materialize(cells, "near-cells")
+    sizes = clustered.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
+    sizes = materialize(sizes.where("low <> high").select("cluster", "rows"), "near-cluster-sizes")
+    cells = clustered.join(sizes, "cluster").select(*_cells("cluster", F.lit(False), F.lit(0), F.col("rows")))
+    cells = materialize(_celled(cells, "cluster", "doc_id", "component"), "near-cells")
     # cells of one class alone need no texts
     open_cells = cells.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
     cells = materialize(cells.join(open_cells, "cell", "left_semi"), "near-open-cells")
-    cell_ids = cells.select("doc_id").distinct()
-    cell_texts = maybe_among(rows, cell_ids, "doc_id").join(cell_ids, "doc_id", "left_semi").distinct()
+    cell_texts = _texts_of(rows, materialize(cells.select("doc_id").distinct(), "near-cell-ids"))
     rest = cells.join(cell_texts, "doc_id").repartition("cell").sortWithinPartitions("cell").mapInPandas(_blocks(width, threshold), LINKS)
     rest = materialize(rest, "near-rest")
     labels = connected_components(confirmed.unionByName(rest))
 
     # every row: through its representative to its class
-    named = reps.join(labels, reps["rep"] == labels["id"], "left").select(
-        "print_a", "print_b", "n_shingles", "sketch", F.coalesce("component", "rep").alias("component_id")
-    )
-    keys = ["print_a", "print_b", "n_shingles"]
-    return (
-        signed.select("doc_id", *keys)
-        .join(materialize(named.select(*keys, "component_id"), "near-named"), keys, "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-            F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-        )
+    named = reps.join(labels, reps["rep"] == labels["id"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    named = materialize(named, "near-named")
+    discard(reps, stars, members, scored, ids, confirmed, mixed, unsettled, band_sizes, clustered, sizes, cells, rest, first, labels)
+    return signed.join(named, "print", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
     )
-

@@ -101,8 +101,7 @@ def test_shingle_counts():
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_against_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIR_ROWS", 8)  # so that large keys and block comparisons take part
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 4)  # so that keys and clusters of many cells take part
     random.seed(seed)
     vocabulary = [f"v{i}" for i in range(400)]
     base = [random.choices(vocabulary, k=random.choice([3, 6, 20, 60, 150])) for _ in range(25)]
