@@ -2,7 +2,7 @@ import hashlib
 import re
 import zlib
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -182,8 +182,75 @@ def test_toxicity_held_out_and_edges(spark, messy, empty):
     assert toxicity.score_toxicity(documents(spark, [(1, "a"), (2, None)]), doubled).count() == 2
 
 
-def test_label_model_learns_who_can_be_trusted():
+def test_label_model_learns_who_can_be_trusted(spark):
     good, bad = 1, 2  # votes of the first voter follow the label, those of the second do not
     rows = [(good, 1, 90), (0, 1, 10), (good, 0, 2), (0, 0, 400), (bad, 0, 100), (bad, 1, 10), (good, -1, 50), (0, -1, 500)]
-    posterior = toxicity.fit_label_model(pd.DataFrame(rows, columns=["votes", "toxic", "n"]))
-    assert posterior[good] > 0.8 > 0.3 > posterior[bad] and posterior[0] < 0.1
+    model = toxicity.fit_label_model(spark.createDataFrame(rows, "votes long, toxic int, n long"))
+    posterior = model.posterior(np.array([0, good, bad]))
+    assert posterior[1] > 0.8 > 0.3 > posterior[2] and posterior[0] < 0.1
+
+
+def test_label_model_counts_correlated_voters_once(spark):
+    # voters 0 and 1 always agree; given the label, 2 is independent of them. All have the same accuracy
+    rows = []
+    for y in (0, 1):
+        p = 0.6 if y else 0.1
+        for a in (0, 1):
+            for c in (0, 1):
+                rows.append((3 * a + 4 * c, y, round(20_000 * (p if a else 1 - p) * (p if c else 1 - p))))
+    model = toxicity.fit_label_model(spark.createDataFrame(rows, "votes long, toxic int, n long"))
+    both = model.posterior(np.array([3]))[0]
+    odds = lambda p: np.log(p / (1 - p))
+    one = np.log(0.6 / 0.1)
+    off = np.log(0.4 / 0.9)
+    assert odds(both) == pytest.approx(one + off, abs=0.15)  # agreement of 0 and 1 adds nothing
+    assert odds(model.posterior(np.array([7]))[0]) == pytest.approx(2 * one, abs=0.15)
+
+
+def test_spanning_tree_and_posterior_against_plain_versions():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    weight = rng.random((6, 6))
+    weight = weight + weight.T
+    parent = toxicity._spanning_tree(weight)
+    value = sum(weight[i, parent[i]] for i in range(1, 6))
+
+    def is_tree(edges):
+        seen, grow = {0}, True
+        while grow:
+            grow = False
+            for a, b in edges:
+                if (a in seen) != (b in seen):
+                    seen |= {a, b}
+                    grow = True
+        return len(seen) == 6
+
+    every = list(itertools.combinations(range(6), 2))
+    assert value == pytest.approx(max(sum(weight[a, b] for a, b in e) for e in itertools.combinations(every, 5) if is_tree(e)))
+    n = toxicity.N_VOTERS
+    parents = np.array([[max(i - 1, 0) for i in range(n)], [i // 2 for i in range(n)]])
+    rate = rng.uniform(0.05, 0.95, (2, n, 2))
+    rate[:, 0, 0] = rate[:, 0, 1]
+    votes = rng.integers(0, 1 << n, 20)
+    model = toxicity.LabelModel(0.3, parents, rate)
+    for v, got in zip(votes.tolist(), model.posterior(votes), strict=True):
+        p = [0.7, 0.3]
+        for y in (0, 1):
+            for i in range(n):
+                r = rate[y, i, v >> int(parents[y, i]) & 1]
+                p[y] *= r if v >> i & 1 else 1 - r
+        assert got == pytest.approx(p[1] / (p[0] + p[1]))
+
+
+def test_linear_model_against_a_plain_gradient():
+    rng = np.random.default_rng(8)
+    rows = [np.flatnonzero(rng.random(5) < 0.4) for _ in range(80)]
+    style, target = rng.random((80, 2)), rng.random(80)
+    w = toxicity.fit_linear(rows, style, target, 5, rounds=3000)
+    x = np.zeros((80, 8))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    x[:, 5:7], x[:, 7] = style, 1
+    gradient = x.T @ (1 / (1 + np.exp(-x @ w)) - target) / 80 + 2e-4 * w
+    assert np.abs(gradient).max() < 1e-3
