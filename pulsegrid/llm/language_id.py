@@ -1,7 +1,7 @@
 """Language identification of spans and whole texts.
 
 Learning: hashed byte-trigram counts of words per language, from a bounded hash sample of the labelled
-rows, summed by Spark; the model has a fixed size (languages x bins), and so may be broadcast.
+rows of each language, summed by Spark; the model's size is languages x bins, whatever the number of rows.
 Which scripts a language is written in is learnt with it.
 
 Prediction: a word's script range narrows the languages that may own it; those get the word's mean
@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, ship
+from .common import crc_bucket, discard, materialize, maybe_among, ship
 from .hashing import chunks
-from .sampling import bounded_sample
+from .sampling import sample_per_group
 
 BINS = 1 << 15
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000  # bound on the ids of one language that are learnt from
 SWITCH = 6.0
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")  # letters and some other numerals
 # fixed values: first code points of script ranges, and the script that begins there
 SCRIPT_STARTS = (0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0780, 0x0900, 0x0E00, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3130, 0x3400, 0xAC00, 0xD7B0)
 SCRIPT_NAMES = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "other", "indic", "southeast", "hangul", "ethiopic", "latin", "greek", "other", "kana", "hangul", "han", "hangul", "other")
@@ -34,6 +34,17 @@ SCRIPTS = tuple(dict.fromkeys(SCRIPT_NAMES))
 _SCRIPT_OF = np.array([SCRIPTS.index(s) for s in SCRIPT_NAMES])
 
 
+def words_of(text: str) -> list[str]:
+    """The maximal runs of letters (Unicode categories L*), lower-cased."""
+    out = []
+    for w in WORDS.findall(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def word_scripts(words: list[str]) -> np.ndarray:
     first = np.array([ord(w[0]) for w in words])
     return _SCRIPT_OF[np.searchsorted(SCRIPT_STARTS, first, "right") - 1]
@@ -63,7 +74,7 @@ def _count(langs: list[str]):
             owner, texts = f["lang"].tolist(), f["text"].tolist()
             for a, b in chunks(texts):
                 for name in set(owner[a:b]):
-                    words = WORDS.findall("\n".join(t or "" for t, o in zip(texts[a:b], owner[a:b], strict=True) if o == name).lower())
+                    words = words_of("\n".join(t or "" for t, o in zip(texts[a:b], owner[a:b], strict=True) if o == name))
                     if words:
                         grams[place[name]] += np.bincount(word_trigrams(words)[0], minlength=BINS)
                         scripts[place[name]] += np.bincount(word_scripts(words), minlength=len(SCRIPTS))
@@ -101,13 +112,13 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, switch: float) -> np.ndarray:
     size = np.diff(begin)
     order = np.argsort(-size, kind="stable")
     at, size = begin[:-1][order], size[order]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     if not len(size) or size[0] == 0:
         return labels
     running = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # texts with more than t words
     best = scores[at[: running[0]]].astype(np.float64)
     stay = np.ones(scores.shape, bool)
-    top_of = np.zeros(len(scores), np.int8)
+    top_of = np.zeros(len(scores), np.int32)
     for t in range(1, int(size[0])):
         n = running[t]
         prev, where = best[:n], at[:n] + t
@@ -130,12 +141,12 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, switch: float) -> np.ndarray:
 
 def _label(texts: list[str | None], model: LanguageModel, switch: float):
     """Words and their number per text, their labels and their scores."""
-    lists = [WORDS.findall((t or "").lower()) for t in texts]
+    lists = [words_of(t or "") for t in texts]
     known: dict[str, int] = {}
     ids = np.array([known.setdefault(w, len(known)) for words in lists for w in words], np.int64)
     begin = np.concatenate([[0], np.cumsum([len(w) for w in lists])])
     if not known:
-        return lists, begin, np.zeros(0, np.int8), np.zeros((0, len(model.langs)), np.float32), np.zeros(0)
+        return lists, begin, np.zeros(0, np.int32), np.zeros((0, len(model.langs)), np.float32), np.zeros(0)
     vocabulary = list(known)
     scores = model.word_scores(vocabulary)[ids]
     letters = np.array([len(w) for w in vocabulary])[ids]
@@ -182,22 +193,26 @@ def _spans(labels: np.ndarray, langs: list[str]) -> list[dict]:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most `rows` rows of the table. At most 500 languages: the model's size is bounded by that."""
+    """Fit on at most `rows` ids of each language, with one text each (the smallest, where an id has several).
+
+    Every language of the table is learnt; the model grows with their number alone. Rows without a language or an id
+    teach nothing.
+    """
     spark = labelled.sparkSession
     ship(spark)
-    keys = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"))
-    chosen = bounded_sample(keys, "doc_id", rows)  # at most `rows` ids
-    rows_df = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sample = rows_df.where("lang is not null").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "text")
-    langs = [r[0] for r in labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string")).distinct().orderBy(lang_col).limit(501).collect()]
-    if len(langs) > 500:
-        raise ValueError("more than 500 languages")
+    named = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    named = named.where("lang is not null and doc_id is not null")
+    chosen = materialize(sample_per_group(named.select("lang", "doc_id"), "lang", "doc_id", rows), "lang-chosen")
+    langs = [r[0] for r in chosen.select("lang").distinct().orderBy("lang").collect()]  # one short value a language
+    sample = maybe_among(named, chosen.select("doc_id"), "doc_id").join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
     counts = sample.mapInPandas(_count(langs), "lang string, kind string, bin long, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).toPandas() if langs else None
     grams, scripts = np.zeros((len(langs), BINS)), np.zeros((len(langs), len(SCRIPTS)))
     if langs:
         for kind, into in (("gram", grams), ("script", scripts)):
             part = counts[counts["kind"] == kind]
-            into[[langs.index(x) for x in part["lang"]], part["bin"].to_numpy(int)] = part["n"]
+            place = {name: i for i, name in enumerate(langs)}
+            into[[place[x] for x in part["lang"]], part["bin"].to_numpy(int)] = part["n"]
+    discard(chosen)
     return LanguageModel(langs, grams, scripts)
 
 

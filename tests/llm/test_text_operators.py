@@ -143,6 +143,54 @@ def test_language_held_out_accuracy_and_edges(spark, sf, messy, empty):
     assert {r["lang_pred"] for r in language_id.identify(messy, nothing, with_spans=True).collect()} == {"und"}
 
 
+SCRIPT_SAMPLES = {
+    "ru": "\u0441\u0435\u0433\u043e\u0434\u043d\u044f \u0445\u043e\u0440\u043e\u0448\u0430\u044f \u043f\u043e\u0433\u043e\u0434\u0430 \u0438 \u043c\u044b \u0438\u0434\u0451\u043c \u0434\u043e\u043c\u043e\u0439",
+    "bg": "\u0434\u043d\u0435\u0441 \u0432\u0440\u0435\u043c\u0435\u0442\u043e \u0435 \u0445\u0443\u0431\u0430\u0432\u043e \u0438 \u043d\u0438\u0435 \u0441\u0435 \u043f\u0440\u0438\u0431\u0438\u0440\u0430\u043c\u0435 \u0432\u043a\u044a\u0449\u0438",
+    "el": "\u03c3\u03ae\u03bc\u03b5\u03c1\u03b1 \u03bf \u03ba\u03b1\u03b9\u03c1\u03cc\u03c2 \u03b5\u03af\u03bd\u03b1\u03b9 \u03ba\u03b1\u03bb\u03cc\u03c2",
+    "zh": "\u4eca\u5929\u5929\u6c14\u5f88\u597d \u6211\u4eec\u56de\u5bb6",
+    "en": "today the weather is fine and we are walking home",
+}
+
+
+def test_scripts_narrow_the_languages(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(SCRIPT_SAMPLES.items())], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.langs == ["bg", "el", "en", "ru", "zh"]
+    masks = {lang: {model.langs[k] for k in np.flatnonzero(model.mask[language_id.word_scripts([t.split()[0]])[0]] == 0)} for lang, t in SCRIPT_SAMPLES.items()}
+    assert masks == {"ru": {"ru", "bg"}, "bg": {"ru", "bg"}, "el": {"el"}, "zh": {"zh"}, "en": {"en"}}
+    mixed = " ".join(SCRIPT_SAMPLES[x] for x in ("en", "el", "ru", "zh"))
+    row = language_id.identify(documents(spark, [(1, mixed)]), model, with_spans=True).first()
+    assert [s["lang"] for s in row["spans"]] == ["en", "el", "ru", "zh"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    assert got == {i: lang for i, lang in enumerate(SCRIPT_SAMPLES)}
+
+
+def test_only_letters_make_a_language(spark):
+    model = language_id.train(spark.createDataFrame([(1, "some words", "en"), (2, "otras palabras", "es")], "doc_id long, text string, lang string"))
+    rows = [(1, "\u00bd \u00b2 \u2460 \u2167 12 _"), (2, "\u00bdword\u00b2s"), (3, "\u2460some\u2460words")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(documents(spark, rows), model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en" and got[3][0] == "en"
+    assert language_id.words_of("\u00bdWord\u00b2s") == ["word", "s"]
+
+
+def test_many_languages_and_bounded_samples(spark):
+    rng = np.random.default_rng(6)
+    langs = [f"x{i:03d}" for i in range(600)]
+    stems = {lang: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for lang in langs}
+    rows = [(i * 3 + k, f"{stems[lang]}{stems[lang][::-1]} {stems[lang]}ing", lang) for i, lang in enumerate(langs) for k in range(3)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    model = language_id.train(docs, rows=2)
+    assert model.langs == langs
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.95 * len(rows)
+    from pulsegrid.llm.sampling import bounded_sample, sample_per_group
+
+    per = sample_per_group(docs, "lang", "doc_id", 2).groupBy("lang").count().collect()
+    assert len(per) == 600 and all(r["count"] == 2 for r in per)
+    some = bounded_sample(docs.select("doc_id"), "doc_id", 100)
+    assert some.count() == 100 and some.exceptAll(bounded_sample(docs.select("doc_id"), "doc_id", 100)).count() == 0
+
+
 def test_spans_of_mixed_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs)
