@@ -41,6 +41,7 @@ def test_directory_doubles_and_covers_every_slot(spark):
     assert len({r["bucket"] for r in rows}) < 1 << depth  # shallow buckets are shared by slots
     skewed = spark.range(300).select(F.lit(7).cast("long").alias("pseudo_key"))
     assert build_directory(skewed, capacity=100, max_depth=3).count() == 8  # cannot be split: stops at max_depth
+    assert build_directory(spark.range(20_000).select(F.xxhash64("id").alias("pseudo_key"))).agg(F.max("local_depth")).first()[0] in (3, 4)
     assert [r["slot"] for r in build_directory(keys.limit(0)).collect()] == [0]
 
 
@@ -54,6 +55,25 @@ def test_exact_over_many_buckets(spark):
     assert got == {i: (best[t], n[t]) for i, t in rows}
 
 
+def test_the_directory_decides(spark):
+    from pulsegrid.llm.common import materialize
+    from pulsegrid.llm.exact_dedup import build_index, look_up
+
+    rows = [(i, f"text {i % 50}") for i in range(200)]
+    docs = documents(spark, rows)
+    keys = docs.select(F.xxhash64("text").alias("pseudo_key")).distinct()
+    directory = materialize(build_directory(keys, capacity=8, max_depth=6), "test-directory")
+    index = build_index(docs, directory)
+    assert look_up(docs, directory, index).count() == 200 and index.count() == 50
+    assert index.select("bucket").distinct().count() > 4
+    lost = directory.where("slot > 0")  # a slot is gone: what belongs there is neither inserted nor found
+    assert 0 < look_up(docs, lost, index).count() < 200 and build_index(docs, lost).count() < 50
+    astray = directory.withColumn("bucket", F.when(F.col("slot") == 0, "elsewhere").otherwise(F.col("bucket")))
+    assert 0 < look_up(docs, astray, index).count() < 200
+    owners = index.select("bucket", F.spark_partition_id().alias("p")).distinct().groupBy("bucket").count()
+    assert owners.agg(F.max("count")).first()[0] == 1  # one owner task a bucket
+
+
 def words(text):
     return (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()
 
