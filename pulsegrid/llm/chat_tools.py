@@ -87,7 +87,8 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
     messages: conv_id, message_id (unique in its conversation), answers (the message_id that it follows, or
     null), kind (`call` or `result`), call_id, tool, payload (JSON: a call's arguments, a result's
-    content), copies. One row per message: conv_id, message_id, kind, call_id, position (topological depth), status
+    content), copies. A result follows the call with its identifier (of several, the one with the smallest message_id); a result
+    without a call follows what it answers. One row per message: conv_id, message_id, kind, call_id, position (topological depth), status
     (`linked`, `unanswered` for a call, `orphan` for a result), valid (calls; null for results), errors, canonical.
     """
     name = F.to_json(F.array(F.col("conv_id"), F.col("message_id")))
@@ -95,8 +96,10 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     base = materialize(
         messages.select("*", name.alias("node"), link.alias("link"), F.when(F.col("answers").isNotNull(), F.to_json(F.array(F.col("conv_id"), F.col("answers")))).alias("parent")), "chat-messages"
     )
-    calls = base.where("kind = 'call'").select("link", F.col("node").alias("call_node"), F.col("tool").alias("call_tool")).dropDuplicates(["link"])
-    results = base.where("kind = 'result'").select("link").distinct().withColumn("answered", F.lit(True))
+    calls = base.where("kind = 'call'").select("link", F.col("node").alias("call_node"), F.col("tool").alias("call_tool"))
+    # of several calls with one identifier the one with the smallest message_id is meant; hash joins on unique identifiers
+    calls = calls.groupBy("link").agg(F.min(F.struct("call_node", "call_tool")).alias("c")).select("link", "c.*").hint("shuffle_hash")
+    results = base.where("kind = 'result'").select("link").distinct().withColumn("answered", F.lit(True)).hint("shuffle_hash")
     linked = base.join(calls, "link", "left").join(results, "link", "left")
     depths = chain_depths(linked.select("node", F.when(F.col("kind") == "result", F.coalesce("call_node", "parent")).otherwise(F.col("parent")).alias("parent")))
     is_call = F.col("kind") == "call"
@@ -119,22 +122,28 @@ def messages_of_turns(turns: DataFrame) -> DataFrame:
 
     A call's identifier is its turn; an answer carries the identifier of the turn before it. Rows that repeat all of
     conversation, turn, role and text are one message with a count of copies; different rows of one turn are told apart
-    by the digest of role and text. Null roles count as user, null texts as JSON null (a missing argument). Rows
-    without conversation or turn are conversations of their own.
+    by the digest of role and text, and a message of the next turn answers the one with the smallest message_id. All of them
+    have the same position, as all follow the turn before. Null roles count as user, null texts as JSON null (a missing
+    argument). Rows without conversation are conversations of their own (one per distinct row), named by a digest; rows
+    without a turn answer nothing.
     """
+    text, role = F.col("text").cast("string"), F.coalesce(F.lower(F.col("role").cast("string")), F.lit("user"))
+    turn_no = F.col("turn").cast("long")
+    lone = F.concat(F.lit("none#"), F.sha2(F.to_json(F.struct(turn_no.alias("turn"), role.alias("role"), text.alias("text"))), 256))
     rows = turns.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.lower(F.col("role").cast("string")), F.lit("user")).alias("role"), F.col("text").cast("string").alias("text"),
+        F.coalesce(F.col("conv_id").cast("string"), lone).alias("conv"), turn_no.alias("turn"), role.alias("role"), text.alias("text")
     ).groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    one = rows.groupBy("conv", "turn").agg(F.count("*").alias("variants"))
-    rows = rows.join(one, (rows["conv"] == one["conv"]) & rows["turn"].eqNullSafe(one["turn"])).select(rows["*"], "variants")
     turn = F.coalesce(F.col("turn").cast("string"), F.lit("none"))
-    digest = F.concat(F.lit("#"), F.sha2(F.to_json(F.struct("role", "text")), 256))
+    rows = rows.withColumn("variant", F.concat(turn, F.lit("#"), F.sha2(F.to_json(F.struct("role", "text")), 256)))
+    one = rows.groupBy("conv", "turn").agg(F.count("*").alias("variants"), F.min("variant").alias("head"))
+    before = one.where("turn is not null").select("conv", (F.col("turn") + 1).alias("turn"), F.when(F.col("variants") > 1, F.col("head")).otherwise(turn).alias("before"))
+    rows = rows.join(one, (rows["conv"] == one["conv"]) & rows["turn"].eqNullSafe(one["turn"])).select(rows["*"], "variants")
+    rows = rows.join(before, ["conv", "turn"], "left")
     is_call = ~F.col("role").isin("assistant", "tool")
     return rows.select(
         F.col("conv").alias("conv_id"),
-        F.when(F.col("variants") > 1, F.concat(turn, digest)).otherwise(turn).alias("message_id"),
-        F.when(F.col("turn").isNotNull(), (F.col("turn") - 1).cast("string")).alias("answers"),
+        F.when(F.col("variants") > 1, F.col("variant")).otherwise(turn).alias("message_id"),
+        F.col("before").alias("answers"),
         F.when(is_call, "call").otherwise("result").alias("kind"),
         F.when(is_call, turn).otherwise(F.coalesce((F.col("turn") - 1).cast("string"), F.lit("none"))).alias("call_id"),
         F.when(F.col("role") == "system", "configure").when(is_call, "reply").alias("tool"),

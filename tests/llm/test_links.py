@@ -84,7 +84,8 @@ def test_chat_links_orders_and_validates(spark):
     assert got["1", "3"]["errors"] == "prompt: above 20" and got["1", "3"]["valid"] is False and got["1", "2"]["valid"] is None
     assert got["2", "5"]["status"] == "orphan" and got["2", "5"]["position"] == 0
     assert got["3", "0"]["copies"] == 2 and got["3", "0"]["errors"] == "prompt: missing"
-    assert got["4", "0"]["errors"] == "prompt: below 1" and got["null", "1"]["valid"]
+    assert got["4", "0"]["errors"] == "prompt: below 1" 
+    assert [r["valid"] for (conv, m), r in got.items() if conv.startswith("none#") and m == "1"] == [True]
     assert chat_tools.link_tool_calls(chat_tools.messages_of_turns(turns(spark, [])), SCHEMAS).count() == 0
 
 
@@ -95,6 +96,49 @@ def test_a_long_conversation_and_parallel_messages(spark):
     assert len([r for r in got if r["conv_id"] == "9"]) == 2
 
 
+def plain_positions(rows):
+    """Turn by turn: a turn's messages come one after those of the turn before, if there are any."""
+    out = {}
+    for conv, turn, role, text in sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1])):
+        out[conv, turn, role, text] = 1 + max((p for (c, t, _, _), p in out.items() if c == conv and t == turn - 1), default=-1)
+    return out
+
+
+def test_several_messages_of_one_turn_keep_the_order(spark):
+    rng = random.Random(4)
+    rows = [(8, 0, "user", "a"), (8, 0, "user", "b"), (8, 1, "user", "c"), (8, 2, "assistant", "d"), (8, 2, "assistant", "e"), (8, 3, "user", "f")]
+    for conv in range(20, 40):
+        for turn in range(12):
+            for _ in range(rng.choice([0, 1, 1, 1, 2, 3])):
+                rows.append((conv, turn, rng.choice(["user", "assistant", "system"]), f"m{rng.randrange(6)}"))
+    rows += [(None, 3, "user", "x"), (None, 4, "user", "y"), (None, 4, "user", "y")]
+    messages = chat_tools.messages_of_turns(turns(spark, rows))
+    named = {(r["conv_id"], r["message_id"]): r for r in messages.collect()}
+    got = chat_tools.link_tool_calls(messages, SCHEMAS).collect()
+    want = plain_positions(rows)
+    by_turn = {(c, t): p for (c, t, _, _), p in want.items()}
+    assert len(got) == len(want) + 2
+    for r in got:
+        m = named[r["conv_id"], r["message_id"]]
+        assert r["position"] == (0 if r["conv_id"].startswith("none#") else by_turn[int(r["conv_id"]), m["turn"]])
+    calls = {}
+    for m in named.values():
+        if m["kind"] == "call":
+            calls.setdefault((m["conv_id"], m["call_id"]), []).append((m["message_id"], m["tool"]))
+    for r in got:
+        if r["kind"] == "result":
+            found = calls.get((r["conv_id"], r["call_id"]))
+            assert r["status"] == ("linked" if found else "orphan")
+            assert f'"name":{chr(34) + min(found)[1] + chr(34) if found else "null"}' in r["canonical"]
+    assert chat_tools.link_tool_calls(messages, SCHEMAS).exceptAll(chat_tools.link_tool_calls(messages, SCHEMAS)).count() == 0
+
+
+def test_a_very_long_payload(spark):
+    long = "word " * 400_000
+    got = chat_tools.link_tool_calls(chat_tools.messages_of_turns(turns(spark, [(1, 0, "user", long), (1, 1, "assistant", long)])), SCHEMAS).collect()
+    assert {r["errors"] for r in got} == {"prompt: above 20", None} and all(len(r["canonical"]) > 2_000_000 for r in got)
+
+
 def test_a_circle_of_messages_stops_the_job(spark):
     nodes = spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string")
     with pytest.raises(ValueError):
