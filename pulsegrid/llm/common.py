@@ -99,3 +99,18 @@ def maybe_among(rows: DataFrame, ids: DataFrame, key: str, bits: int = 25) -> Da
     byte = F.conv(F.hex(F.substring("_bitmap", (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     hit = F.getbit(byte, F.col("_bit").bitwiseAND(F.lit(7)).cast("int")) == 1
     return placed.join(F.broadcast(pieces), "_piece").where(hit).select(*rows.columns)
+
+
+def digest(name: str) -> Column:
+    """SHA-256 of a text in lowercase hex; null counts as empty."""
+    return F.sha2(text_or_empty(name).cast("binary"), 256)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are not among dropped (doc_id, text_sha256): id and text both decide, so other texts of an id stay.
+
+    Rows without an id stay. dropped should be a written table: then Spark knows its size when it plans the join.
+    """
+    gone = dropped.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_text")).distinct()
+    same = (docs[id_col].cast("long") == gone["_dropped_id"]) & (F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"), 256) == gone["_dropped_text"])
+    return docs.join(gone, same, "left_anti")

@@ -16,6 +16,7 @@ The score is the local alignment score over that of a perfect copy: words equal
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, without
 from .hashing import _PLACE, chunks, hash_words, mix
 
 N = 3
@@ -136,13 +137,14 @@ def _match(item_ids: list[int], words: np.ndarray, begin: np.ndarray, grams: np.
                         if score > best:
                             best, end = score, p + stop
                     if best >= threshold * len(target):
-                        out.append((ids[a + d], item_ids[i], best / len(target), len(np.unique(seed[x:y])), end))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "n_seeds", "end_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                        sha = hashlib.sha256(texts[a + d].encode("utf-8", "surrogatepass")).hexdigest()
+                        out.append((ids[a + d], item_ids[i], best / len(target), len(np.unique(seed[x:y])), end, sha))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "n_seeds", "end_word", "text_sha256"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     return run
 
 
-MATCHES = "doc_id long, item_id long, score double, n_seeds int, end_word int"
+MATCHES = "doc_id long, item_id long, score double, n_seeds int, end_word int, text_sha256 string"
 
 
 def find_leaks(
@@ -155,7 +157,7 @@ def find_leaks(
     threshold: float = THRESHOLD,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per document and test item that match: doc_id, item_id, score, n_seeds, end_word.
+    """One row per document and test item that match: doc_id, item_id, score, n_seeds, end_word, text_sha256.
 
     score is 1 for a whole copy. Null or empty texts match nothing; items of fewer than three words have no
     n-gram and match nothing. Repeated documents or items match each on their own. An empty table on either
@@ -194,7 +196,6 @@ def find_leaks(
     return found if found is not None else spark.createDataFrame([], MATCHES)
 
 
-def drop_leaked(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that match no test item, with all their columns; rows without an id stay."""
-    bad = leaks.select(F.col("doc_id").alias("_leaked_id")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["_leaked_id"], "left_anti")
+def drop_leaked(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that match no test item, with all their columns. Rows without an id stay, and so do other texts of an id."""
+    return without(docs, leaks, id_col, text_col)
