@@ -28,7 +28,7 @@ def collaboration(weekly: DataFrame) -> DataFrame:
 
 
 def velocity(weekly: DataFrame, health: DataFrame) -> DataFrame:
-    """date, opened, merged, and one mean merge time for all points, cut to whole hours."""
+    """date, opened, merged, and one mean merge time for all points, cut to whole hours. Of health only median_time_to_merge is read."""
     mean = health.agg(F.coalesce(F.avg(F.when(F.col("median_time_to_merge") > 0, F.col("median_time_to_merge"))), F.lit(0.0)).cast("long").alias("avg_merge_hours"))
     points = _dated(weekly).where(F.col("metric_key").isin("prs_opened", "prs_merged")).groupBy("date").agg(_of("prs_opened").alias("opened"), _of("prs_merged").alias("merged"))
     return points.join(F.broadcast(mean), F.lit(True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ from .filters import created_within, in_year
 #: The metrics of a leaderboard, in the order of reports.
 METRICS = ("prs_opened", "prs_merged", "issues_opened", "issues_closed", "reviews_submitted", "approvals", "changes_requested", "comments_total", "review_comments_total")
 SERIES = ("prs_opened", "prs_merged", "issues_opened", "issues_closed", "reviews_submitted", "comments_total")
+COUNTED = ("prs_opened", "issues_opened", "reviews_submitted", "comments_total")
 TOTAL = ("prs_merged", "prs_opened", "reviews_submitted", "issues_opened", "issues_closed", "comments_total")
 
 
 def people_only(df: DataFrame) -> DataFrame:
-    return df.where(~is_bot(F.col("login"), F.col("user_type")) & (F.coalesce("login", F.lit("")) != ""))
+    return df.where((F.col("login") != "") & ~is_bot(F.col("login"), F.col("user_type")))
 
 
 def _events(df: DataFrame, kinds: list[tuple[str, Column, Column]], item: str) -> DataFrame:
@@ -25,25 +28,25 @@ def _events(df: DataFrame, kinds: list[tuple[str, Column, Column]], item: str) -
     return people_only(df).select("repo_id", "login", F.col(item).alias("item_id"), F.inline(each)).select("metric_key", "repo_id", "login", "ts", "item_id")
 
 
-def events_long(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments: DataFrame) -> DataFrame:
-    """metric_key, repo_id, login, ts, item_id: one row per countable fact of a person."""
+def events_long(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """metric_key, repo_id, login, ts, item_id: one row per countable fact of a person.
+
+    Only tables that the named metrics count are read.
+    """
     yes, state = F.lit(True), F.upper("state")
     real = ~F.coalesce("is_pull_request", F.lit(False))
     closed = real & (F.col("state") == "closed") & F.col("closed_at").isNotNull()
-    parts = [
-        _events(prs, [("prs_opened", yes, F.col("created_at")), ("prs_merged", F.col("merged_at").isNotNull(), F.col("merged_at"))], "number"),
-        _events(issues, [("issues_opened", real, F.col("created_at")), ("issues_closed", closed, F.col("closed_at"))], "number"),
-        _events(
+    facts = [
+        (prs, [("prs_opened", yes, F.col("created_at")), ("prs_merged", F.col("merged_at").isNotNull(), F.col("merged_at"))]),
+        (issues, [("issues_opened", real, F.col("created_at")), ("issues_closed", closed, F.col("closed_at"))]),
+        (
             reviews,
             [("reviews_submitted", yes, F.col("submitted_at")), ("approvals", state == "APPROVED", F.col("submitted_at")), ("changes_requested", state == "CHANGES_REQUESTED", F.col("submitted_at"))],
-            "number",
         ),
-        _events(comments, [("comments_total", yes, F.col("created_at")), ("review_comments_total", F.col("comment_type").isin("pr", "review"), F.col("created_at"))], "number"),
+        (comments, [("comments_total", yes, F.col("created_at")), ("review_comments_total", F.col("comment_type").isin("pr", "review"), F.col("created_at"))]),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wanted = [(df, [k for k in kinds if k[0] in metrics]) for df, kinds in facts]
+    return reduce(DataFrame.unionByName, [_events(df, kinds, "number") for df, kinds in wanted if kinds])
 
 
 def leaderboard_counts(events: DataFrame, *extra: str) -> DataFrame:
@@ -85,22 +88,23 @@ def time_series(events: DataFrame, year: int, period_type: str = "week", *extra:
 def repo_counters(events: DataFrame, repos: DataFrame) -> DataFrame:
     """Per registered repository: pull requests, issues, reviews, comments, distinct people; zeros without events."""
     n = lambda k: F.count_if(F.col("metric_key") == k)
-    counted = events.where(F.col("metric_key").isin("prs_opened", "issues_opened", "reviews_submitted", "comments_total")).groupBy("repo_id").agg(
-        n("prs_opened").alias("pr_count"), n("issues_opened").alias("issue_count"), n("reviews_submitted").alias("review_count"), n("comments_total").alias("comment_count")
-    )
-    people = events.where(F.col("metric_key").isin("prs_opened", "issues_opened", "reviews_submitted", "comments_total")).select("repo_id", "login").distinct().groupBy("repo_id").agg(F.count("*").alias("contributor_count"))
+    by_person = events.where(F.col("metric_key").isin(*COUNTED)).groupBy("repo_id", "login").agg(*[n(k).alias(k) for k in COUNTED])
+    names = ("pr_count", "issue_count", "review_count", "comment_count")
+    counted = by_person.groupBy("repo_id").agg(F.count("*").alias("contributor_count"), *[F.sum(k).alias(c) for k, c in zip(COUNTED, names, strict=True)])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return repos.select("repo_id").distinct().join(counted, "repo_id", "left").join(people, "repo_id", "left").select(
-        "repo_id", *[zero(c) for c in ("contributor_count", "pr_count", "issue_count", "review_count", "comment_count")]
-    )
+    return repos.select("repo_id").distinct().join(counted, "repo_id", "left").select("repo_id", *[zero(c) for c in ("contributor_count", *names)])
+
+
+def _coverage(reviewed: Column, opened: Column) -> Column:
+    return F.coalesce(F.try_divide(reviewed * F.lit(100.0), opened.cast("double")), F.lit(0.0)).alias("review_coverage")
 
 
 def review_coverage(prs: DataFrame, reviews: DataFrame, repos: DataFrame) -> DataFrame:
     """repo_id, review_coverage: distinct reviewed numbers over people's pull requests, in percent; it may exceed 100."""
     opened = people_only(prs).groupBy("repo_id").agg(F.count("*").alias("prs"))
     reviewed = people_only(reviews).select("repo_id", "number").distinct().groupBy("repo_id").agg(F.count("*").alias("reviewed"))
-    share = F.coalesce(F.try_divide(F.col("reviewed") * F.lit(100.0), F.col("prs").cast("double")), F.lit(0.0))
-    return repos.select("repo_id").distinct().join(opened, "repo_id", "left").join(reviewed, "repo_id", "left").select("repo_id", share.alias("review_coverage"))
+    share = _coverage(F.col("reviewed"), F.col("prs"))
+    return repos.select("repo_id").distinct().join(opened, "repo_id", "left").join(reviewed, "repo_id", "left").select("repo_id", share)
 
 
 def _middle(column: str, exact: bool) -> Column:
@@ -125,24 +129,33 @@ def review_times(prs: DataFrame, reviews: DataFrame, exact: bool = True) -> Data
 
 
 def repo_health(events: DataFrame, prs: DataFrame, reviews: DataFrame, repos: DataFrame) -> DataFrame:
-    """The health row of every registered repository."""
-    return (
-        repo_counters(events, repos)
-        .join(review_coverage(prs, reviews, repos), "repo_id")
-        .join(merge_times(prs), "repo_id", "left")
-        .join(review_times(prs, reviews), "repo_id", "left")
+    """The health row of every registered repository.
+
+    Every fact table is read once for the counters; the times and the coverage come from one grouping of reviews by pull request.
+    """
+    first = people_only(reviews).groupBy("repo_id", "number").agg(F.min("submitted_at").alias("first_review"))
+    reviewed = first.groupBy("repo_id").agg(F.count("*").alias("reviewed"))
+    opened = people_only(prs).select("repo_id", "number", "created_at", "merged_at").join(first, ["repo_id", "number"], "left")
+    times = opened.groupBy("repo_id").agg(
+        F.median(hours_between(F.col("created_at"), F.col("merged_at"))).alias("median_time_to_merge"),
+        F.median(hours_between(F.col("created_at"), F.col("first_review"))).alias("median_time_to_first_review"),
     )
+    counters = repo_counters(events, repos)
+    joined = counters.join(reviewed, "repo_id", "left").join(times, "repo_id", "left")
+    return joined.select(*counters.columns, _coverage(F.col("reviewed"), F.nullif("pr_count", F.lit(0))), "median_time_to_merge", "median_time_to_first_review")
 
 
 def summary(events: DataFrame, repos: DataFrame) -> DataFrame:
-    """One row of totals. Contributors open pull requests or issues or review; commenters alone are not counted."""
-    n = lambda k: F.count_if(F.col("metric_key") == k)
-    totals = events.agg(
-        n("prs_opened").alias("total_prs"), n("issues_opened").alias("total_issues"), n("reviews_submitted").alias("total_reviews"),
-        n("comments_total").alias("total_comments"), n("prs_merged").alias("prs_merged"), n("issues_closed").alias("issues_closed"),
-    )
-    people = contributors(events).agg(F.count("*").alias("total_contributors"))
-    return totals.join(people, F.lit(True)).join(repos.select("repo_id").distinct().agg(F.count("*").alias("total_repos")), F.lit(True))
+    """One row of totals. Contributors open pull requests or issues or review; commenters alone are not counted.
+
+    One grouping by person; its totals are summed after.
+    """
+    kinds = ("prs_opened", "issues_opened", "reviews_submitted", "comments_total", "prs_merged", "issues_closed")
+    names = ("total_prs", "total_issues", "total_reviews", "total_comments", "prs_merged", "issues_closed")
+    by_person = events.groupBy("login").agg(*[F.count_if(F.col("metric_key") == k).alias(k) for k in kinds])
+    active = F.col("prs_opened") + F.col("issues_opened") + F.col("reviews_submitted") > 0
+    totals = by_person.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(c) for k, c in zip(kinds, names, strict=True)], F.count_if(active).alias("total_contributors"))
+    return totals.join(repos.select("repo_id").distinct().agg(F.count("*").alias("total_repos")), F.lit(True))
 
 
 def contributors(events: DataFrame) -> DataFrame:
@@ -162,7 +175,10 @@ def size_stats(details: DataFrame) -> DataFrame:
 
 
 def size_list(details: DataFrame, max_items: int = 100_000) -> DataFrame:
-    """The sizes as one sorted array, for small inputs: more than max_items rows are refused, not cut."""
+    """The sizes as one sorted array, for displays of small inputs: more than max_items rows are refused, not cut.
+
+    size_stats is exact at any size and is what summaries use.
+    """
     some = details.where("lines_changed > 0")
     if some.limit(max_items + 1).count() > max_items:
         raise ValueError(f"more than {max_items} sizes: use size_stats")

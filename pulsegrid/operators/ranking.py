@@ -103,20 +103,26 @@ class Award:
 
 
 def give_awards(stats: DataFrame, awards: list[Award], id_col: str = "login") -> DataFrame:
-    """award_key, title, winner, value: one row per award that anyone wins. stats holds the metric columns, is_bot and prs_opened."""
-    out = None
+    """award_key, title, winner, value: one row per award that anyone wins, all from one scan. stats holds the metric columns, is_bot and prs_opened."""
+    best = []
     for a in awards:
-        rows = stats.where(F.col(a.metric).isNotNull())
+        fits = F.col(a.metric).isNotNull()
         if a.humans_only:
-            rows = rows.where(~F.col("is_bot"))
+            fits &= ~F.col("is_bot")
         if a.min_prs:
-            rows = rows.where(F.col("prs_opened") >= a.min_prs)
+            fits &= F.col("prs_opened") >= a.min_prs
         value = F.col(a.metric).cast("double")
-        rank = F.struct((value if a.direction == "asc" else -value).alias("m"), (-F.coalesce(F.col(a.tie_breaker), F.lit(0)).cast("double") if a.tie_breaker else F.lit(0.0)).alias("t"), F.col(id_col).alias("id"))
-        best = rows.agg(F.min(rank).alias("b")).where("b IS NOT NULL")
-        won = best.select(F.lit(a.key).alias("award_key"), F.lit(a.title).alias("title"), F.col("b.id").alias("winner"), (F.col("b.m") if a.direction == "asc" else -F.col("b.m")).alias("value"))
-        out = won if out is None else out.unionByName(won)
-    return out
+        tie = -F.coalesce(F.col(a.tie_breaker), F.lit(0)).cast("double") if a.tie_breaker else F.lit(0.0)
+        rank = F.struct((value if a.direction == "asc" else -value).alias("m"), tie.alias("t"), F.col(id_col).alias("id"))
+        best.append(F.min(F.when(fits, rank)).alias(a.key))
+    won = [
+        F.when(
+            F.col(a.key).isNotNull(),
+            F.struct(F.lit(a.key).alias("award_key"), F.lit(a.title).alias("title"), F.col(a.key)["id"].alias("winner"), (F.col(a.key)["m"] if a.direction == "asc" else -F.col(a.key)["m"]).alias("value")),
+        )
+        for a in awards
+    ]
+    return stats.agg(*best).select(F.inline(F.array_compact(F.array(*won))))
 
 
 def risk_signals(stats: DataFrame, signals: list[tuple[str, Column]], id_col: str = "repo_id") -> DataFrame:

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.people import BOT_PARTS
+from ..operators.metrics import METRICS, events_long
+
 TREE_PATHS = ("README.md", "LICENSE", "SECURITY.md", ".github/CODEOWNERS", "CONTRIBUTING.md", ".github/workflows/ci.yml", ".github/workflows/lint.yml", "docs/index.md", ".travis.yml")
 
 
@@ -73,18 +76,12 @@ class Star:
         source = SOURCES[name]
         return self.spark.sql(_dialect(VIEWS[name], True).replace(f"FROM {source}", "FROM {source}"), source=self.source(source))
 
-    @property
-    def events_long(self) -> DataFrame:
-        from ..operators.metrics import events_long
-
-        return events_long(self.prs, self.issues, self.reviews, self.comments)
+    def events(self, *metrics: str) -> DataFrame:
+        """The long table of the named metrics, or of all."""
+        return events_long(self.prs, self.issues, self.reviews, self.comments, metrics or METRICS)
 
 
-# fixed values: parts of a lower-cased login that mark a bot, for the other engine
-_BOT = " OR ".join(
-    f"contains(lower(login), '{p}')"
-    for p in ("[bot]", "-bot-", "github-actions", "dependabot", "renovate", "greenkeeper", "snyk-bot", "codecov", "mergify", "imgbot", "allcontributors", "semantic-release-bot", "stale")
-)
+_BOT = " OR ".join(f"contains(lower(login), '{p}')" for p in BOT_PARTS)
 PEOPLE = f"NOT (login IS NULL OR user_type = 'Bot' OR {_BOT}) AND login <> ''"
 DERIVED = {
     "events_long": f"""SELECT 'prs_opened' AS metric_key, repo_id, login, created_at AS ts, number AS item_id FROM prs WHERE {PEOPLE}
