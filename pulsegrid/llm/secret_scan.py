@@ -5,16 +5,19 @@ the smallest encoding that holds them; strings of one letter case are tested ove
 followed by lower case is a word and not tested. Five tests ask whether a run looks like uniform draws from its
 alphabet: chi-squared on symbol counts, runs above and below the middle of the alphabet, serial correlation,
 counts of upper case, lower case, digits and signs, and the share of letters that are frequent in prose. Their
-p-values combine to one per run (smallest, times the number of tests).
+p-values combine to one per run, the chance that the smallest of five falls so low.
 
-A run is structured if its p-value is at most the level of its length class; all others are reported as random. The
-levels are fixed and small, so a genuine key is lost at about that rate whatever else the corpus holds, and
-a run's verdict depends on nothing but the run.
+False discoveries (structured runs among those reported) are controlled per length class. p-values of genuine keys are
+uniform, those of structured runs pile up near 0: the distinct runs with p over a half tell how many genuine ones there are
+(Storey 2002), and what is reported above a cut beyond their expected number is false. The cut of a class is the lowest at
+which that share is at most `FALSE_SHARE`, between two fixed bounds. So a genuine key is lost at a rate of 0.2 % to 5 %, whatever
+else the corpus holds. Every distinct run counts once, so copies do not move a cut.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
 import re
 from collections import Counter
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialize, ship
 from .hashing import chunks
 
 # fixed values: the base patterns and the least length of a secret of each kind
@@ -39,8 +42,11 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_RANDOM = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
 LENGTH_CLASSES = (24, 32, 48, 64, 128)  # upper ends; longer runs share the last class
-#: The share of genuine keys a class may lose; longer runs give the tests more power and need less.
+#: The share of genuine keys a class loses at least; longer runs give the tests more power and need less.
 NULL_REJECTION = (0.01, 0.01, 0.005, 0.005, 0.002, 0.002)
+MOST_REJECTION = 0.05  # and at most
+FALSE_SHARE = 0.1  # of a class's reported runs
+BINS = 1000  # of p-values
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = (
@@ -140,7 +146,8 @@ def battery(run: str) -> float | None:
     if index is None:
         return None
     symbols, k = np.array([index[c] for c in body]), len(index)
-    return min(1.0, 5 * min(chi_squared_p(symbols, k), runs_p(symbols, k), serial_p(symbols), kinds_p(body, index), prose_p(body, index)))
+    least = min(chi_squared_p(symbols, k), runs_p(symbols, k), serial_p(symbols), kinds_p(body, index), prose_p(body, index))
+    return -math.expm1(5 * math.log1p(-min(least, 1 - 1e-12)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -155,16 +162,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of runs that look random and that no base span touches."""
+def random_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) of runs that no base span touches and that may be random: the p-value exceeds the lower bound of their class."""
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
         if any(s < b and a < e for s, _, e in known):
             continue
         p = battery(m[0])
-        if p is not None and p > NULL_REJECTION[bisect.bisect_left(LENGTH_CLASSES, b - a)]:
-            out.append((a, 3, b))
+        if p is not None and p > NULL_REJECTION[length_class(b - a)]:
+            out.append((a, b, p))
+    return out
+
+
+def length_class(length: int) -> int:
+    return bisect.bisect_left(LENGTH_CLASSES, length)
+
+
+def cuts_of(counts: np.ndarray) -> list[float]:
+    """The cut of each length class. counts[class, bin]: distinct runs whose p-value lies in the bin of width 1 / BINS."""
+    out = []
+    for level, n in zip(NULL_REJECTION, counts, strict=True):
+        genuine = 2 * n[BINS // 2 :].sum()  # of which half lie above a half
+        cut = MOST_REJECTION
+        for k in range(round(level * BINS), round(MOST_REJECTION * BINS) + 1):
+            reported = n[k:].sum()
+            if reported - genuine * (1 - k / BINS) <= FALSE_SHARE * reported:
+                cut = max(level, k / BINS)
+                break
+        out.append(cut)
     return out
 
 
@@ -180,23 +206,26 @@ def _long_runs(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _run_id(run: str) -> int:
+    return int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         ids, texts = f["doc_id"].tolist(), [t or "" for t in f["text"].tolist()]
         for a, b in chunks(texts):
-            base, spans_of = [], []
+            base, runs = [], []
             for t, long in zip(texts[a:b], _long_runs(texts[a:b]), strict=True):
                 low = t.lower() if not long else ""
                 # a base secret needs a key word, the access prefix, or a long run
                 spans = base_spans(t) if long or "AKIA" in t or any(k in low for k in KEYWORDS) else []
                 found = random_spans(t, spans) if long else []
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                spans_of.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(spans + found)])
-            yield pd.DataFrame({"doc_id": pd.array(ids[a:b], "Int64"), "base": base, "spans": spans_of})
+                runs.append([{"start": s, "end": e, "p": p, "class": length_class(e - s), "run": _run_id(t[s:e])} for s, e, p in found])
+            yield pd.DataFrame({"doc_id": pd.array(ids[a:b], "Int64"), "base": base, "runs": runs})
 
 
-SPANS = "array<struct<start: int, kind: int, end: int>>"
-SCAN_SCHEMA = f"doc_id long, base {SPANS}, spans {SPANS}"
+SCAN_SCHEMA = "doc_id long, base array<struct<start: int, kind: int, end: int>>, runs array<struct<start: int, end: int, p: double, class: int, run: long>>"
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,11 +233,22 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A span is kind:start:end in code points, the end exclusive; an assignment's span is its whole match. A null
     text is empty: counts of 0, the digest of the empty text and no spans. Repeated rows are scanned each;
-    an empty table gives no rows. Other columns are not read. The texts are read once.
+    an empty table gives no rows. Other columns are not read. The texts are read once; what is counted over all of them comes
+    back as one number per length class and bin of p-values.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = rows.mapInPandas(_scan, SCAN_SCHEMA)
+    scanned = materialize(rows.mapInPandas(_scan, SCAN_SCHEMA), "secret-scan")
+    distinct = scanned.where(F.size("runs") > 0).select(F.inline("runs")).select("class", "run", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).distinct()
+    binned = distinct.groupBy("class", "bin").agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros((len(NULL_REJECTION), BINS))
+    counts[binned["class"].to_numpy(int), binned["bin"].to_numpy(int)] = binned["n"]
+    cut = F.array(*[F.lit(float(c)) for c in cuts_of(counts)])
+    random = F.transform(
+        F.filter("runs", lambda r: r["p"] > F.element_at(cut, r["class"] + 1)),
+        lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")),
+    )
+    scanned = scanned.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def text_of(spans):
