@@ -17,11 +17,13 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
+from pathlib import Path
 
 import pandas as pd
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +181,13 @@ class PairIndexEncoder:
 _encoders: dict[str, PairIndexEncoder] = {}
 
 
+def _everywhere(docs: DataFrame, path: str) -> Callable[[], str]:
+    """Send the tokenizer file to the executors; called in a task, gives its path there."""
+    name = Path(path).name
+    docs.sparkSession.sparkContext.addFile(path)
+    return lambda: SparkFiles.get(name)
+
+
 def encoder(path: str) -> PairIndexEncoder:
     if path not in _encoders:
         _encoders[path] = PairIndexEncoder(path)
@@ -209,10 +218,11 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     each; an empty table gives no rows. Only the two named columns are read. There is no shuffle.
     """
     ship(docs.sparkSession)
+    local = _everywhere(docs, path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _batches(frames):
-            done = encode_texts(texts, path)
+            done = encode_texts(texts, local())
             yield pd.DataFrame(
                 {"doc_id": pd.array(ids, "Int64"), "n_tokens": [d[0] for d in done], "ids_sha256": [_digest(d[1]) for d in done], "decoded_sha256": [_digest(d[2]) for d in done]}
             )
@@ -223,10 +233,11 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 def bpe_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids themselves and the decoded text: doc_id, ids array<int>, decoded string."""
     ship(docs.sparkSession)
+    local = _everywhere(docs, path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _batches(frames):
-            done = encode_texts(texts, path)
+            done = encode_texts(texts, local())
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "ids": [[int(i) for i in d[1].split()] for d in done], "decoded": [d[2] for d in done]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
