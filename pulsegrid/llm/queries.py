@@ -44,6 +44,35 @@ def op5_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
 
+@query(
+    "shards_by_bytes",
+    """
+    WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size FROM documents),
+    p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM d),
+    s AS (SELECT doc_id, size, CAST(least((24 * (2 * before + size)) // (2 * total), 23) AS INTEGER) AS shard FROM p)
+    SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot FROM s
+    """,
+)
+def shards_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: everything but the checksum."""
+    return op5_shard_by_bytes(spark, sf_dir).select("doc_id", "size", "shard", "slot")
+
+
+@query(
+    "base_secrets",
+    r"""
+    SELECT doc_id,
+        len(list_filter(regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+        len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+    """,
+)
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: the counts of the base kinds."""
+    return op10_secret_battery(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 @query("op7_bpe_pair_index")
 def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -55,6 +55,44 @@ def test_a_passage_that_a_third_of_documents_copy_keeps_its_seeds(spark):
     assert got == {i for i in range(300) if i % 3 == 0}
 
 
+def plain_leaks(rows, test_items):
+    """Every document against every item, over the whole text, with the plain recurrence: (doc, item) -> share of a perfect score."""
+    words = lambda t: "".join(" " if c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in (t or "").lower()).split()
+    out = {}
+    for i, t in test_items:
+        item = words(t)
+        for d, text in rows:
+            body = words(text)
+            h, best = [0.0] * (len(body) + 1), 0.0
+            for w in item:
+                new = [0.0]
+                for j, v in enumerate(body, 1):
+                    new.append(max(0.0, h[j - 1] + (1 if w == v else -0.5), h[j] - 0.5, new[j - 1] - 0.5))
+                h, best = new, max(best, max(new))
+            out[d, i] = best / max(len(item), 1)
+    return out
+
+
+def test_leaks_against_every_pair(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"k{rng.randrange(60)}" for _ in range(n)]
+    tests = [(i, " ".join(text(rng.randrange(8, 25)))) for i in range(6)]
+    rows = []
+    for d in range(60):
+        body = text(rng.randrange(5, 70))
+        if d % 2:
+            copy = rng.choice(tests)[1].split()
+            for _ in range(rng.randrange(0, 7)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(9)}"
+            body[len(body) // 2 : len(body) // 2] = copy
+        rows.append((d, " ".join(body)))
+    every = plain_leaks(rows, tests)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_leaks(documents(spark, rows), items(spark, tests)).collect()}
+    assert got and all(every[k] == pytest.approx(v) for k, v in got.items())
+    shared = {(d, i) for (d, i), v in every.items() if v >= decontaminate.THRESHOLD and any(g in f" {dict(rows)[d]} " for g in (" " + " ".join(x) + " " for x in zip(*(dict(tests)[i].split()[k:] for k in range(3)))))}
+    assert set(got) == shared  # all pairs over the threshold that share three words in a row
+
+
 def test_leaks_on_messy_rows(spark, messy, empty):
     test_items = items(spark, [(1, "Same text here, five words"), (2, None)])
     got = decontaminate.find_leaks(messy, test_items)

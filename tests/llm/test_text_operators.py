@@ -124,6 +124,39 @@ def test_keys_survive_a_mostly_structured_corpus(spark):
     assert all(alone[i] == got[i] for i in alone)  # other rows do not change a verdict
 
 
+def test_cuts_against_a_plain_step_up():
+    rng = np.random.default_rng(12)
+    classes = len(secret_scan.NULL_REJECTION)
+    drawn = []
+    counts = np.zeros((classes, secret_scan.BINS))
+    for k in range(classes):
+        genuine = rng.random(3000)
+        structured = rng.beta(0.15, 1 + 3 * k, (0, 500, 3000, 30_000, 200_000, 5000)[k])
+        p = np.concatenate([genuine, structured])
+        drawn.append(p[p > secret_scan.NULL_REJECTION[k]])
+        np.add.at(counts[k], (drawn[k] * secret_scan.BINS).astype(int), 1)
+    cuts = secret_scan.cuts_of(counts)
+    for k, cut in enumerate(cuts):
+        low, p = secret_scan.NULL_REJECTION[k], drawn[k]
+        genuine = 2 * (p >= 0.5).sum()
+        share = lambda c: 1 - genuine * (1 - c) / max((p >= c).sum(), 1)  # noqa: B023, E731
+        steps = [i / 1000 for i in range(round(low * 1000), 51)]
+        assert cut == next((c for c in steps if share(c) <= secret_scan.FALSE_SHARE), 0.05)
+        assert low <= cut <= secret_scan.MOST_REJECTION
+    assert cuts[0] == secret_scan.NULL_REJECTION[0] and cuts[4] == secret_scan.MOST_REJECTION
+    assert secret_scan.cuts_of(np.zeros((classes, secret_scan.BINS))) == list(secret_scan.NULL_REJECTION)
+
+
+def test_p_values_of_genuine_keys_are_about_uniform():
+    import random
+
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, n in ((letters + letters.upper() + "0123456789", 40), (letters + "0123456789", 32), ("0123456789abcdef", 30)):
+        p = np.array([secret_scan.battery("".join(rng.choices(alphabet, k=n))) for _ in range(800)])
+        assert (p <= 0.01).mean() <= 0.025 and (p <= 0.05).mean() <= 0.08 and 0.4 <= (p > 0.5).mean() <= 0.75
+
+
 def test_encodings_are_inferred():
     name = lambda s: (secret_scan.infer_encoding(s) or [None])[0]
     assert [name(x * 10) for x in ("12", "1a", "1A", "A2Z", "1z", "aB1", "aB+", "aB_", "ab")] == ["dec", "hex", "HEX", "base32", "base36", "base62", "base64", "base64url", None]
