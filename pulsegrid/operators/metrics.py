@@ -203,12 +203,28 @@ def stale_counts(items: DataFrame, end: Column, days: int = 30) -> DataFrame:
 
 
 def user_extras(commits: DataFrame, office: tuple[int, int] = (8, 18)) -> DataFrame:
-    """login, commits, off_hours_commits, docs_commits: a commit counts as docs if any of its files is."""
-    by_commit = commits.groupBy("login", "sha").agg(F.min("committed_at").alias("at"), F.bool_or("is_docs").alias("docs"))
+    """login, commits, off_hours_commits, docs_commits, docs_lines_changed: a commit counts as docs if any of its files is."""
+    docs_lines = F.sum(F.when(F.col("is_docs"), F.col("lines")).otherwise(0))
+    by_commit = commits.groupBy("login", "sha").agg(F.min("committed_at").alias("at"), F.bool_or("is_docs").alias("docs"), docs_lines.alias("docs_lines"))
     hour = F.hour("at")
     return by_commit.groupBy("login").agg(
-        F.count("*").alias("commits"), F.count_if((hour < office[0]) | (hour >= office[1])).alias("off_hours_commits"), F.count_if("docs").alias("docs_commits")
-    )
+        F.count("*").alias("commits"), F.count_if((hour < office[0]) | (hour >= office[1])).alias("off_hours_commits"), F.count_if("docs").alias("docs_commits"),
+        F.sum("docs_lines").alias("docs_lines_changed"),
+    )
+
+
+def first_review_of_people(reviews: DataFrame, prs: DataFrame) -> DataFrame:
+    """login, avg_time_to_first_review: mean hours from opening to a reviewer's own first review of a pull request."""
+    opened = people_only(prs).select("repo_id", "number", "created_at")
+    own = people_only(reviews).groupBy("repo_id", "number", "login").agg(F.min("submitted_at").alias("at"))
+    hours = own.join(opened, ["repo_id", "number"]).select("login", hours_between(F.col("created_at"), F.col("at")).alias("hours"))
+    return hours.groupBy("login").agg(F.avg("hours").alias("avg_time_to_first_review"))
+
+
+def activity_score(counters: DataFrame) -> DataFrame:
+    """repo_id, total_activity_score: pull requests, issues, reviews and comments together."""
+    parts = ("pr_count", "issue_count", "review_count", "comment_count")
+    return counters.select("repo_id", reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in parts]).alias("total_activity_score"))
 
 
 def bus_factor(counts: DataFrame, *within: str, share: float = 0.5) -> DataFrame:

@@ -223,6 +223,25 @@ def fact_pull_request(raw: DataFrame) -> DataFrame:
     )
 
 
+def fact_issue(raw: DataFrame) -> DataFrame:
+    """Real issues with text lengths and label names; pull requests that the issue list repeats are left out."""
+    return raw.where(~F.coalesce("is_pull_request", F.lit(False))).select(
+        "repo_id", "number", "login", "created_at", "closed_at", F.lower("state").alias("state"),
+        F.length(F.coalesce("title", F.lit(""))).alias("title_length"), F.length(F.coalesce("body", F.lit(""))).alias("body_length"),
+        F.transform(F.coalesce("labels", F.array().cast("array<struct<name: string>>")), lambda x: x["name"]).alias("labels"),
+    )
+
+
+def fact_review(raw: DataFrame) -> DataFrame:
+    """Reviews with the upper-cased state."""
+    return raw.select("repo_id", "number", "login", F.upper("state").alias("state"), "submitted_at")
+
+
+def fact_comment(raw: DataFrame, *kinds: str) -> DataFrame:
+    """Comments of the given kinds: `issue` (and `pr`) for the issue comments, `review` for the review comments."""
+    return raw.where(F.col("comment_type").isin(*kinds)).select("repo_id", "number", "login", "created_at", F.length(F.coalesce("body", F.lit(""))).alias("body_length"))
+
+
 def fact_commit_files(commits: DataFrame) -> DataFrame:
     """One row per file of a commit: extension and what kind of file it is."""
     path = F.lower("file.path")

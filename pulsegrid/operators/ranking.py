@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.texts import duration_short
 from .filters import not_instant
@@ -57,6 +58,17 @@ def sample_by_metric(repos: DataFrame, metric: Column, mode: str = "sample", k:
     return top_k(repos.withColumn("_m", F.coalesce(metric.try_cast("double"), F.lit(0.0))), k, F.desc("_m"), F.col("repo_id")).drop("_m")
 
 
+def nested_number(df: DataFrame, path: str) -> Column:
+    """A dotted path into structs as a whole number: 0 where a step is missing, null or no number."""
+    kind = df.schema
+    for step in path.split("."):
+        if not isinstance(kind, T.StructType) or step not in kind.names:
+            return F.lit(0).cast("long")
+        kind = kind[step].dataType
+    value = F.col(".".join(f"`{step}`" for step in path.split(".")))
+    return F.coalesce(F.lit(0) if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else value.try_cast("double").cast("long"), F.lit(0).cast("long"))
+
+
 def sorted_by(df: DataFrame, column: str, tie: str) -> DataFrame:
     """Descending, nulls as 0."""
     return df.orderBy(F.coalesce(F.col(column), F.lit(0)).desc(), tie)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, people, texts, times
 from ..operators import charts, contributors, filters, hygiene, insights, joins, metrics, normalize, ranking, runs, search
-from .star import TREE_PATHS, Star, oracle
+from .star import PEOPLE, TREE_PATHS, Star, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -520,7 +520,7 @@ _COMMIT_FILES = """SELECT concat('org/repo', CAST(l_orderkey % 2100 AS VARCHAR))
     CASE l_linenumber % 4 WHEN 0 THEN 'docs/a.md' WHEN 1 THEN 'infra/main.tf' WHEN 2 THEN 'tests/test_a.py' ELSE 'src/a.py' END AS path, CAST(trunc(l_quantity) AS BIGINT) AS lines,
     CASE l_linenumber % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'tf' ELSE 'py' END AS file_ext, l_linenumber % 4 = 0 AS is_docs, l_linenumber % 4 = 1 AS is_iac, l_linenumber % 4 = 2 AS is_test, false AS is_ci FROM lineitem"""
 q("d2_fact_commit_files", _COMMIT_FILES)(lambda s: normalize.fact_commit_files(commits(s)))
-q("d8_user_extras", f"SELECT login, count(*) AS commits, count(*) FILTER (h < 8 OR h >= 18) AS off_hours_commits, count(*) FILTER (d) AS docs_commits FROM (SELECT login, sha, hour(min(committed_at)) AS h, bool_or(is_docs) AS d FROM ({_COMMIT_FILES}) GROUP BY 1, 2) GROUP BY login")(
+q("d8_user_extras", f"SELECT login, count(*) AS commits, count(*) FILTER (h < 8 OR h >= 18) AS off_hours_commits, count(*) FILTER (d) AS docs_commits, CAST(sum(n) AS BIGINT) AS docs_lines_changed FROM (SELECT login, sha, hour(min(committed_at)) AS h, bool_or(is_docs) AS d, coalesce(sum(lines) FILTER (is_docs), 0) AS n FROM ({_COMMIT_FILES}) GROUP BY 1, 2) GROUP BY login")(
     lambda s: metrics.user_extras(normalize.fact_commit_files(commits(s)))
 )
 q("d3_dim_time", dates=("date",), sql="""SELECT CAST(d AS DATE) AS date, CAST(year(d) AS INTEGER) AS year, strftime(d, '%Y-%m') AS month, strftime(d, '%G-W%V') AS week, CAST(isodow(d) AS INTEGER) AS weekday
@@ -569,3 +569,86 @@ q("p12_hygiene_shapes", "SELECT concat('r', CAST(o_orderkey AS VARCHAR)) AS repo
     )
 )
 q("j13_first_rule", "SELECT repo_id, topics[1] AS first FROM repos")(lambda s: s.repos.select("repo_id", joins.first_rule("topics").alias("first")))
+
+
+# --- parts of the survey's lines that the given tables do not show by themselves ------------------------------------
+
+_TOKEN = "CASE WHEN o_orderkey % 3 = 0 THEN substr(md5(CAST(o_orderkey AS {string})), 1, 12) ELSE md5(CAST(o_orderkey AS {string})) END"
+_NOTE = "concat('a ghp_', {t}, ' b gho_', {t}, ' c ghu_', {t}, ' d ghs_', {t}, ' e github_pat_', {t}, ' f Bearer ', {t}, ' g AUTHORIZATION: ', {t}, ' h Token=', {t}, ' i api-key: ', {t}, ' end')"
+
+
+def _note(string: str) -> str:
+    return _NOTE.format(t=_TOKEN.format(string=string))
+
+
+q("i24_redact_every_pattern", f"""SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, 'gh[pous]_[a-zA-Z0-9]{{20,}}', '[REDACTED_GH_TOKEN]', 'g'),
+    'github_pat_[a-zA-Z0-9_]+', '[REDACTED_GH_PAT]', 'g'), 'Bearer\\s+[a-zA-Z0-9_\\-\\.]+', 'Bearer [REDACTED]', 'g'), '(Authorization:\\s*)[^\\s,\\]]+', '\\1[REDACTED]', 'gi'),
+    '(token[=:]\\s*)[^\\s,\\]]+', '\\1[REDACTED]', 'gi'), '(api[_-]?key[=:]\\s*)[^\\s,\\]]+', '\\1[REDACTED]', 'gi') AS text FROM (SELECT o_orderkey, {_note("VARCHAR")} AS t FROM orders)""")(
+    lambda s: s.source("orders").select("o_orderkey", texts.redact(F.expr(_note("STRING"))).alias("text"))
+)
+q("i13_half_even_on_halves", "SELECT l_orderkey, l_linenumber, CAST(round_even(CAST(l_orderkey % 40 AS DECIMAL(9, 1)) + 0.5, 0) AS DOUBLE) AS whole, round_even(CAST(l_orderkey % 1000 AS DECIMAL(9, 3)) / 1000 * 125, 2)::DOUBLE AS cents FROM lineitem")(
+    lambda s: s.source("lineitem").select(
+        "l_orderkey", "l_linenumber", numbers.half_even((F.col("l_orderkey") % 40).cast("decimal(9,1)") + F.lit("0.5").cast("decimal(2,1)"), 0).cast("double").alias("whole"),
+        numbers.half_even(((F.col("l_orderkey") % 1000) * 125).cast("decimal(12,0)") / F.lit("1000").cast("decimal(4,0)"), 2).cast("double").alias("cents"),
+    )
+)
+q("i11_case_and_parts", "SELECT c_custkey, lower(c_name) AS low, upper(c_mktsegment) AS up, contains(lower(c_name), '#00') AS has, starts_with(c_mktsegment, 'A') AS first FROM customer")(
+    lambda s: s.source("customer").select(
+        "c_custkey", F.lower("c_name").alias("low"), F.upper("c_mktsegment").alias("up"), F.lower("c_name").contains("#00").alias("has"), F.col("c_mktsegment").startswith("A").alias("first")
+    )
+)
+q("i29_nested_metric", "SELECT repo_id, CASE WHEN size_kb % 400 = 0 THEN 0 ELSE stars END AS merged, 0::BIGINT AS missing, 0::BIGINT AS text FROM repos ORDER BY merged DESC, repo_id LIMIT 50")(
+    lambda s: (lambda r: ranking.sample_by_metric(r, ranking.nested_number(r, "mergedPullRequests.totalCount"), "sample", 50).select(
+        "repo_id", ranking.nested_number(r, "mergedPullRequests.totalCount").alias("merged"), ranking.nested_number(r, "watchers.totalCount").alias("missing"), ranking.nested_number(r, "name").alias("text")
+    ))(s.repos.withColumn("mergedPullRequests", F.when(F.col("size_kb") % 400 != 0, F.struct(F.col("stars").alias("totalCount")))))
+)
+q("d1_fact_pull_request_texts", """SELECT repo_id, number, CASE WHEN number % 5 = 0 THEN 0 ELSE length(title) * 2 END AS body_length, CASE WHEN number % 3 = 0 THEN '' WHEN number % 3 = 1 THEN 'bug' ELSE 'bug,' || state END AS labels FROM prs""")(
+    lambda s: normalize.fact_pull_request(_labelled(s.prs)).select("repo_id", "number", "body_length", F.array_join("labels", ",").alias("labels"))
+)
+q("d1_fact_issue", """SELECT repo_id, number, login, created_at, closed_at, state, length(state) AS title_length, CASE WHEN number % 5 = 0 THEN 0 ELSE length(state) * 2 END AS body_length,
+    CASE WHEN number % 3 = 0 THEN '' WHEN number % 3 = 1 THEN 'bug' ELSE 'bug,' || state END AS labels FROM issues WHERE NOT is_pull_request""")(
+    lambda s: normalize.fact_issue(_labelled(s.issues.withColumn("title", F.col("state")))).withColumn("labels", F.array_join("labels", ","))
+)
+q("d1_fact_review", "SELECT repo_id, number, login, upper(state) AS state, submitted_at FROM reviews")(lambda s: normalize.fact_review(s.reviews))
+for _name, _kinds in (("issue", ("issue", "pr")), ("review", ("review",))):
+    q(f"d1_fact_{_name}_comment", f"SELECT repo_id, number, login, created_at, coalesce(length(login), 0) AS body_length FROM comments WHERE comment_type IN ({', '.join(repr(k) for k in _kinds)})")(
+        lambda s, kinds=_kinds: normalize.fact_comment(s.comments.withColumn("body", F.col("login")), *kinds)
+    )
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    """Bodies (some missing) and labels (some missing) for tables that have none."""
+    one, two = F.struct(F.lit("bug").alias("name")), F.struct(F.col("state").alias("name"))
+    labels = F.when(F.col("number") % 3 == 1, F.array(one)).when(F.col("number") % 3 == 2, F.array(one, two))
+    return df.withColumns({"body": F.when(F.col("number") % 5 != 0, F.concat("title", "title")), "labels": labels})
+
+
+q("d5_stale_issues", "SELECT repo_id, count(*) FILTER (state = 'open' AND created_at < TIMESTAMP '2024-12-31' - INTERVAL 30 DAY) AS stale FROM issues WHERE NOT is_pull_request GROUP BY repo_id")(
+    lambda s: metrics.stale_counts(s.issues.where(~F.col("is_pull_request")), as_of())
+)
+q("d8_first_review_of_people", f"""SELECT login, avg((epoch_us(seen) - epoch_us(created_at)) / 3.6e9) AS avg_time_to_first_review FROM (SELECT repo_id, number, login, min(submitted_at) AS seen FROM reviews WHERE {PEOPLE} GROUP BY ALL) v
+    JOIN (SELECT repo_id, number, created_at FROM prs WHERE {PEOPLE}) p USING (repo_id, number) GROUP BY login""")(lambda s: metrics.first_review_of_people(s.reviews, s.prs))
+q("d9_activity_score", "SELECT repo_id, pr_count + issue_count + review_count + comment_count AS total_activity_score FROM health")(
+    lambda s: metrics.activity_score(metrics.repo_counters(s.events(*metrics.COUNTED), s.repos))
+)
+q("d10_repo_series", """SELECT metric_key, strftime(ts, '%G-W%V') AS period, repo_id, login, count(*) AS count FROM events_long
+    WHERE year(ts) = 1997 AND metric_key IN ('prs_opened','prs_merged','issues_opened','issues_closed','reviews_submitted','comments_total') GROUP BY ALL""")(
+    lambda s: metrics.time_series(s.events(*metrics.SERIES), YEAR, "week", "repo_id")
+)
+REPO_AWARDS = [
+    ranking.Award("review_desert", "Review Desert", "review_coverage", direction="asc", min_prs=5),
+    ranking.Award("merge_velocity_champion", "Merge Velocity Champion", "median_time_to_merge", direction="asc", min_prs=5),
+    ranking.Award("most_active", "Most Active Repository", "total_activity_score"),
+    ranking.Award("stale_queue_dragon", "Stale Queue Dragon", "stale_pr_count"),
+]
+q("d6_repo_awards", """SELECT * FROM (WITH h AS (SELECT *, pr_count + issue_count + review_count + comment_count AS total_activity_score FROM health LEFT JOIN
+    (SELECT repo_id, count(*) FILTER (state = 'open' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS stale_pr_count FROM prs GROUP BY 1) USING (repo_id))
+    (SELECT 'review_desert' AS award_key, 'Review Desert' AS title, repo_id AS winner, review_coverage AS value FROM h WHERE pr_count >= 5 ORDER BY review_coverage, repo_id LIMIT 1)
+    UNION ALL (SELECT 'merge_velocity_champion', 'Merge Velocity Champion', repo_id, median_time_to_merge FROM h WHERE pr_count >= 5 AND median_time_to_merge IS NOT NULL ORDER BY median_time_to_merge, repo_id LIMIT 1)
+    UNION ALL (SELECT 'most_active', 'Most Active Repository', repo_id, total_activity_score::DOUBLE FROM h ORDER BY total_activity_score DESC, repo_id LIMIT 1)
+    UNION ALL (SELECT 'stale_queue_dragon', 'Stale Queue Dragon', repo_id, stale_pr_count::DOUBLE FROM h WHERE stale_pr_count IS NOT NULL ORDER BY stale_pr_count DESC, repo_id LIMIT 1))""")(
+    lambda s: ranking.give_awards(
+        health(s).withColumn("prs_opened", F.col("pr_count")).join(metrics.activity_score(health(s).select("repo_id", "pr_count", "issue_count", "review_count", "comment_count")), "repo_id")
+        .join(metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count"), "repo_id", "left"), REPO_AWARDS, "repo_id",
+    )
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -16,10 +17,12 @@ ORACLES: dict[str, str] = {}
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared place the session names; a local one only where it names none, as in tests."""
+    """A fresh folder in the shared place the session names; a local one only where a local session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     return f"file://{tempfile.mkdtemp(prefix='pulsegrid-stream-')}"
@@ -87,3 +90,27 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def active_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = drained(spark, counters.active_pairs(counters.in_year(_events(spark, sf_dir), 2024)), "append", ["login", "week"])
     return pairs.groupBy("login").agg(F.count("*").alias("active_weeks"))
+
+
+@q("t1_monthly_counts", "SELECT event_type AS metric_key, 'user' || user_id AS login, strftime(ts, '%Y-%m') AS month, count(*) AS count FROM events GROUP BY ALL")
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = drained(spark, counters.monthly_counts(_events(spark, sf_dir), "60 days"), "update", ["metric_key", "login", "day"])
+    return days.groupBy("metric_key", "login", "month").agg(F.sum("count").alias("count"))
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as reviews of several years."""
+    raw = stream_of(spark, sf_dir, "lineitem")
+    return raw.select(F.lit("reviews_submitted").alias("metric_key"), F.lit("org").alias("repo_id"), F.format_string("user%d", "l_suppkey").alias("login"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+
+
+@q(
+    "t4_year_gate",
+    """SELECT login, value, in_year FROM (SELECT 'user' || l_suppkey AS login, count(*) AS value, count(*) FILTER (year(l_shipdate) = 1995) AS in_year FROM lineitem GROUP BY 1)""",
+)
+def year_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows outside the year are missing in the weekly series and counted in the totals."""
+    totals = drained(spark, counters.totals(_reviews(spark, sf_dir)), "update", ["metric_key", "login"])
+    gated = drained(spark, counters.weekly_counts(counters.in_year(_reviews(spark, sf_dir), 1995), "400 days"), "update", ["metric_key", "login", "week"])
+    weeks = gated.groupBy("login").agg(F.sum("count").alias("in_year"))
+    return totals.join(weeks, "login", "left").select("login", "value", F.coalesce("in_year", F.lit(0)).alias("in_year"))

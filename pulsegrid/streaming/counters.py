@@ -28,9 +28,12 @@ def weekly_counts(events: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def monthly_counts(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """The same by month; the watermark column is grouped too, so that old state can go."""
-    day = F.window("ts", "1 day")
-    return events.withWatermark("ts", late).groupBy(day, "metric_key", "login").agg(F.count("*").alias("count")).select("metric_key", "login", F.date_format("window.start", "yyyy-MM").alias("month"), "count")
+    """metric_key, login, day, month, count: counts of a month's days, to be summed by month when read.
+
+    Months have no fixed length and are no window; days are, so their state goes with the watermark.
+    """
+    by_day = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "metric_key", "login").agg(F.count("*").alias("count"))
+    return by_day.select("metric_key", "login", F.col("window.start").cast("date").alias("day"), F.date_format("window.start", "yyyy-MM").alias("month"), "count")
 
 
 def totals(events: DataFrame) -> DataFrame:
