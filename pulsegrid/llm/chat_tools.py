@@ -100,7 +100,9 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     # of several calls with one identifier the one with the smallest message_id is meant; hash joins on unique identifiers
     calls = calls.groupBy("link").agg(F.min(F.struct("call_node", "call_tool")).alias("c")).select("link", "c.*").hint("shuffle_hash")
     results = base.where("kind = 'result'").select("link").distinct().withColumn("answered", F.lit(True)).hint("shuffle_hash")
-    linked = base.join(calls, "link", "left").join(results, "link", "left")
+    bones = base.select("node", "link", "kind", "parent")  # payloads stay where they are until all is known of a message
+    linked = bones.join(calls, "link", "left").join(results, "link", "left").select("node", "kind", "parent", "call_node", "call_tool", "answered")
+    linked = materialize(linked, "chat-linked")
     depths = chain_depths(linked.select("node", F.when(F.col("kind") == "result", F.coalesce("call_node", "parent")).otherwise(F.col("parent")).alias("parent")))
     is_call = F.col("kind") == "call"
     errors = F.when(is_call, F.array_join(argument_errors(F.col("tool"), F.col("payload"), schemas), "; "))
@@ -112,7 +114,8 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
         F.lit(',"id":'), bare(F.col("call_id")), F.lit(',"name":'), bare(F.coalesce("tool", "call_tool")), F.lit(',"type":'), bare(F.col("kind")), F.lit("}"),
     )
     status = F.when(is_call, F.when(F.col("answered"), "linked").otherwise("unanswered")).otherwise(F.when(F.col("call_node").isNotNull(), "linked").otherwise("orphan"))
-    return linked.join(depths, "node").select(
+    known = linked.select("node", "call_node", "call_tool", "answered").join(depths, "node")
+    return base.join(known, "node").select(
         "conv_id", "message_id", "kind", "call_id", F.col("depth").alias("position"), status.alias("status"), (errors == "").alias("valid"), errors.alias("errors"), canonical.alias("canonical"), "copies"
     )
 
@@ -133,12 +136,13 @@ def messages_of_turns(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         F.coalesce(F.col("conv_id").cast("string"), lone).alias("conv"), turn_no.alias("turn"), role.alias("role"), text.alias("text")
     ).groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    turn = F.coalesce(F.col("turn").cast("string"), F.lit("none"))
+    turn = F.col("at")
+    rows = rows.withColumn("at", F.coalesce(F.col("turn").cast("string"), F.lit("none")))
     rows = rows.withColumn("variant", F.concat(turn, F.lit("#"), F.sha2(F.to_json(F.struct("role", "text")), 256)))
-    one = rows.groupBy("conv", "turn").agg(F.count("*").alias("variants"), F.min("variant").alias("head"))
-    before = one.where("turn is not null").select("conv", (F.col("turn") + 1).alias("turn"), F.when(F.col("variants") > 1, F.col("head")).otherwise(turn).alias("before"))
-    rows = rows.join(one, (rows["conv"] == one["conv"]) & rows["turn"].eqNullSafe(one["turn"])).select(rows["*"], "variants")
-    rows = rows.join(before, ["conv", "turn"], "left")
+    # what a turn is called and what it answers, without texts; then texts move once
+    one = rows.groupBy("conv", "at", "turn").agg(F.count("*").alias("variants"), F.min("variant").alias("head"))
+    before = one.where("turn is not null").select("conv", (F.col("turn") + 1).cast("string").alias("at"), F.when(F.col("variants") > 1, F.col("head")).otherwise(turn).alias("before"))
+    rows = rows.join(one.select("conv", "at", "variants").join(before, ["conv", "at"], "left"), ["conv", "at"])
     is_call = ~F.col("role").isin("assistant", "tool")
     return rows.select(
         F.col("conv").alias("conv_id"),
