@@ -276,11 +276,12 @@ def _celled(rows: DataFrame, key: str, *keep: str) -> DataFrame:
 
 
 def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The distinct rows (doc_id, text) of unique ids, moved once, by doc_id.
+    """The distinct rows (doc_id, text) of unique ids.
 
-    An inner join, since a semi join would be pushed below the bitmap and move all texts.
+    An inner join, since a semi join would be pushed below the bitmap and move all texts. Dealt by id and text, so that a
+    later join by id has a shuffle of its own, which adaptive execution can split where one id has many partners.
     """
-    return maybe_among(rows, ids, "doc_id").join(ids, "doc_id").repartition("doc_id").distinct()
+    return maybe_among(rows, ids, "doc_id").join(ids, "doc_id").repartition("doc_id", "text").distinct()
 
 
 def near_dup_classes(
