@@ -22,10 +22,26 @@ def people_only(df: DataFrame) -> DataFrame:
     return df.where((F.col("login") != "") & ~is_bot(F.col("login"), F.col("user_type")))
 
 
-def _events(df: DataFrame, kinds: list[tuple[str, Column, Column]], item: str) -> DataFrame:
-    """A row for each metric (name, condition, time) that a fact counts for: one scan, no union of scans."""
-    each = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(name).alias("metric_key"), at.alias("ts"))) for name, on, at in kinds]))
-    return people_only(df).select("repo_id", "login", F.col(item).alias("item_id"), F.inline(each)).select("metric_key", "repo_id", "login", "ts", "item_id")
+def _kinds(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments: DataFrame, metrics: tuple[str, ...]) -> list[tuple[DataFrame, list[tuple[str, Column, str]]]]:
+    """Per fact table the wanted metrics it counts for: name, condition, time column. Tables without any are left out."""
+    yes, state = F.lit(True), F.upper("state")
+    real = ~F.coalesce("is_pull_request", F.lit(False))
+    closed = real & (F.col("state") == "closed") & F.col("closed_at").isNotNull()
+    facts = [
+        (prs, [("prs_opened", yes, "created_at"), ("prs_merged", F.col("merged_at").isNotNull(), "merged_at")]),
+        (issues, [("issues_opened", real, "created_at"), ("issues_closed", closed, "closed_at")]),
+        (reviews, [("reviews_submitted", yes, "submitted_at"), ("approvals", state == "APPROVED", "submitted_at"), ("changes_requested", state == "CHANGES_REQUESTED", "submitted_at")]),
+        (comments, [("comments_total", yes, "created_at"), ("review_comments_total", F.col("comment_type").isin("pr", "review"), "created_at")]),
+    ]
+    wanted = [(df, [k for k in kinds if k[0] in metrics]) for df, kinds in facts]
+    return [(df, kinds) for df, kinds in wanted if kinds]
+
+
+def _events(df: DataFrame, kinds: list[tuple[str, Column, str]], item: str) -> DataFrame:
+    """A row for each metric that a fact counts for: one scan, no union of scans."""
+    each = F.array(*[F.when(on, F.struct(F.lit(name).alias("metric_key"), F.col(at).alias("ts"))) for name, on, at in kinds])
+    rows = people_only(df).select("repo_id", "login", F.col(item).alias("item_id"), F.inline(each)).where("metric_key IS NOT NULL")
+    return rows.select("metric_key", "repo_id", "login", "ts", "item_id")
 
 
 def events_long(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -33,25 +49,55 @@ def events_long(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments:
 
     Only tables that the named metrics count are read.
     """
-    yes, state = F.lit(True), F.upper("state")
-    real = ~F.coalesce("is_pull_request", F.lit(False))
-    closed = real & (F.col("state") == "closed") & F.col("closed_at").isNotNull()
-    facts = [
-        (prs, [("prs_opened", yes, F.col("created_at")), ("prs_merged", F.col("merged_at").isNotNull(), F.col("merged_at"))]),
-        (issues, [("issues_opened", real, F.col("created_at")), ("issues_closed", closed, F.col("closed_at"))]),
-        (
-            reviews,
-            [("reviews_submitted", yes, F.col("submitted_at")), ("approvals", state == "APPROVED", F.col("submitted_at")), ("changes_requested", state == "CHANGES_REQUESTED", F.col("submitted_at"))],
-        ),
-        (comments, [("comments_total", yes, F.col("created_at")), ("review_comments_total", F.col("comment_type").isin("pr", "review"), F.col("created_at"))]),
-    ]
-    wanted = [(df, [k for k in kinds if k[0] in metrics]) for df, kinds in facts]
-    return reduce(DataFrame.unionByName, [_events(df, kinds, "number") for df, kinds in wanted if kinds])
+    return reduce(DataFrame.unionByName, [_events(df, kinds, "number") for df, kinds in _kinds(prs, issues, reviews, comments, metrics)])
+
+
+def facts_wide(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments: DataFrame, metrics: tuple[str, ...] = METRICS, timed: bool = False) -> DataFrame:
+    """repo_id, login and a 0 or 1 per named metric: one row per fact of a person that counts for any of them.
+
+    What is counted needs no row per metric: a fact stays one row into the grouping. timed adds ts; a table whose metrics
+    have different times then gives a scan for each, with that time's conditions pushed into it. The counting operators
+    take this table or events_long.
+    """
+    parts = []
+    for df, kinds in _kinds(prs, issues, reviews, comments, metrics):
+        people = people_only(df)
+        for at in dict.fromkeys(k[2] for k in kinds) if timed else (None,):
+            on = {name: cond for name, cond, time in kinds if at in (None, time)}
+            flags = [F.when(on[m], 1).otherwise(0).alias(m) if m in on else F.lit(0).alias(m) for m in METRICS if m in metrics]
+            parts.append(people.where(reduce(lambda a, b: a | b, on.values())).select("repo_id", "login", *([F.col(at).alias("ts")] if at else []), *flags))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _is_long(rows: DataFrame) -> bool:
+    return "metric_key" in rows.columns
+
+
+def _long(wide: DataFrame, value: str) -> DataFrame:
+    """A row per metric with a positive count, from a column per metric."""
+    found = [m for m in METRICS if m in wide.columns]
+    keys = [c for c in wide.columns if c not in found]
+    return wide.unpivot(keys, found, "metric_key", value).where(F.col(value) > 0).select("metric_key", *keys, value)
+
+
+def _sums(rows: DataFrame) -> list[Column]:
+    return [F.sum(m).alias(m) for m in METRICS if m in rows.columns]
+
+
+def _per_person(rows: DataFrame, kinds: tuple[str, ...], *keys: str) -> DataFrame:
+    """keys, login and a count per kind, of people with any of them; rows are events_long or facts_wide."""
+    if _is_long(rows):
+        return rows.where(F.col("metric_key").isin(*kinds)).groupBy(*keys, "login").agg(*[F.count_if(F.col("metric_key") == k).alias(k) for k in kinds])
+    some = [k for k in kinds if k in rows.columns]
+    counted = rows.groupBy(*keys, "login").agg(*[F.sum(k).alias(k) if k in some else F.lit(0).cast("long").alias(k) for k in kinds])
+    return counted.where(reduce(lambda a, b: a | b, [F.col(k) > 0 for k in some]))
 
 
 def leaderboard_counts(events: DataFrame, *extra: str) -> DataFrame:
     """metric_key, login (and extra keys), value."""
-    return events.groupBy("metric_key", *extra, "login").agg(F.count("*").alias("value"))
+    if _is_long(events):
+        return events.groupBy("metric_key", *extra, "login").agg(F.count("*").alias("value"))
+    return _long(events.groupBy(*extra, "login").agg(*_sums(events)), "value")
 
 
 def ranked(counts: DataFrame, *within: str) -> DataFrame:
@@ -69,7 +115,10 @@ def leaderboards(events: DataFrame, users: DataFrame) -> DataFrame:
 
 def scoped_leaderboards(events: DataFrame) -> DataFrame:
     """Org and repository scope from one pass: grouping sets (metric, user) and (metric, repo, user), ranked in each."""
-    g = events.groupingSets([["metric_key", "login"], ["metric_key", "repo_id", "login"]], "metric_key", "repo_id", "login").agg(F.count("*").alias("value"), F.grouping("repo_id").alias("g"))
+    if _is_long(events):
+        g = events.groupingSets([["metric_key", "login"], ["metric_key", "repo_id", "login"]], "metric_key", "repo_id", "login").agg(F.count("*").alias("value"), F.grouping("repo_id").alias("g"))
+    else:
+        g = _long(events.groupingSets([["login"], ["repo_id", "login"]], "repo_id", "login").agg(*_sums(events), F.grouping("repo_id").alias("g")), "value")
     scoped = g.select("metric_key", F.when(F.col("g") == 1, "org").otherwise("repo").alias("scope"), "repo_id", "login", "value")
     return ranked(scoped, "scope", "repo_id")
 
@@ -81,14 +130,17 @@ def top_n(rows: DataFrame, n: int) -> DataFrame:
 def time_series(events: DataFrame, year: int, period_type: str = "week", *extra: str) -> DataFrame:
     """metric_key, period, login (and extra keys), count in the calendar year; weeks carry their ISO year."""
     key = iso_week_key if period_type == "week" else month_key
-    kept = in_year(events, year, "ts").where(F.col("metric_key").isin(*SERIES))
+    kept = in_year(events, year, "ts")
+    if not _is_long(events):
+        counted = [m for m in SERIES if m in events.columns]
+        return _long(kept.groupBy(key(F.col("ts")).alias("period"), *extra, "login").agg(*[F.sum(m).alias(m) for m in counted]), "count")
+    kept = kept.where(F.col("metric_key").isin(*SERIES))
     return kept.groupBy("metric_key", key(F.col("ts")).alias("period"), *extra, "login").agg(F.count("*").alias("count"))
 
 
 def repo_counters(events: DataFrame, repos: DataFrame) -> DataFrame:
     """Per registered repository: pull requests, issues, reviews, comments, distinct people; zeros without events."""
-    n = lambda k: F.count_if(F.col("metric_key") == k)
-    by_person = events.where(F.col("metric_key").isin(*COUNTED)).groupBy("repo_id", "login").agg(*[n(k).alias(k) for k in COUNTED])
+    by_person = _per_person(events, COUNTED, "repo_id")
     names = ("pr_count", "issue_count", "review_count", "comment_count")
     counted = by_person.groupBy("repo_id").agg(F.count("*").alias("contributor_count"), *[F.sum(k).alias(c) for k, c in zip(COUNTED, names, strict=True)])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -152,7 +204,7 @@ def summary(events: DataFrame, repos: DataFrame) -> DataFrame:
     """
     kinds = ("prs_opened", "issues_opened", "reviews_submitted", "comments_total", "prs_merged", "issues_closed")
     names = ("total_prs", "total_issues", "total_reviews", "total_comments", "prs_merged", "issues_closed")
-    by_person = events.groupBy("login").agg(*[F.count_if(F.col("metric_key") == k).alias(k) for k in kinds])
+    by_person = _per_person(events, kinds)
     active = F.col("prs_opened") + F.col("issues_opened") + F.col("reviews_submitted") > 0
     totals = by_person.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(c) for k, c in zip(kinds, names, strict=True)], F.count_if(active).alias("total_contributors"))
     return totals.join(repos.select("repo_id").distinct().agg(F.count("*").alias("total_repos")), F.lit(True))

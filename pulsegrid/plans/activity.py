@@ -41,15 +41,15 @@ def q(name: str, sql: str, dates: tuple[str, ...] = (), doubles: tuple[str, ...]
 
 
 def counts(s: Star, *only: str) -> DataFrame:
-    return metrics.leaderboard_counts(s.events(*only))
+    return metrics.leaderboard_counts(s.facts(*only))
 
 
 def weekly(s: Star, *only: str) -> DataFrame:
-    return metrics.time_series(s.events(*(only or metrics.SERIES)), YEAR)
+    return metrics.time_series(s.facts(*(only or metrics.SERIES), timed=True), YEAR)
 
 
 def health(s: Star) -> DataFrame:
-    return metrics.repo_health(s.events(*metrics.COUNTED), s.prs, s.reviews, s.repos)
+    return metrics.repo_health(s.facts(*metrics.COUNTED), s.prs, s.reviews, s.repos)
 
 
 def details(s: Star) -> DataFrame:
@@ -84,7 +84,7 @@ def _(s: Star) -> DataFrame:
     FROM counts LEFT JOIN users USING (login) WHERE NOT coalesce(is_bot, false)""",
 )
 def leaderboards(s: Star) -> DataFrame:
-    return metrics.leaderboards(s.events(), users(s))
+    return metrics.leaderboards(s.facts(), users(s))
 
 
 @q(
@@ -94,7 +94,7 @@ def leaderboards(s: Star) -> DataFrame:
     UNION ALL SELECT metric_key, 'repo', repo_id, login, count(*) FROM events_long GROUP BY metric_key, repo_id, login)""",
 )
 def _(s: Star) -> DataFrame:
-    return metrics.scoped_leaderboards(s.events())
+    return metrics.scoped_leaderboards(s.facts())
 
 
 @q(
@@ -117,9 +117,9 @@ q(
     "a11_i3_monthly_series",
     """SELECT metric_key, strftime(ts, '%Y-%m') AS period, login, count(*) AS count FROM events_long
     WHERE year(ts) = 1997 AND metric_key IN ('prs_opened','prs_merged','issues_opened','issues_closed','reviews_submitted','comments_total') GROUP BY ALL""",
-)(lambda s: metrics.time_series(s.events(*metrics.SERIES), YEAR, "month"))
-q("a21_active_weeks", "SELECT login, count(DISTINCT period) AS active_weeks FROM weekly GROUP BY login")(lambda s: metrics.active_weeks(s.events(*metrics.SERIES), YEAR))
-q("k3_consistent_people", "SELECT login, count(DISTINCT period) AS active_weeks FROM weekly GROUP BY login ORDER BY 2 DESC, 1 LIMIT 3")(lambda s: ranking.consistent_people(metrics.active_weeks(s.events(*metrics.SERIES), YEAR)))
+)(lambda s: metrics.time_series(s.facts(*metrics.SERIES, timed=True), YEAR, "month"))
+q("a21_active_weeks", "SELECT login, count(DISTINCT period) AS active_weeks FROM weekly GROUP BY login")(lambda s: metrics.active_weeks(s.facts(*metrics.SERIES, timed=True), YEAR))
+q("k3_consistent_people", "SELECT login, count(DISTINCT period) AS active_weeks FROM weekly GROUP BY login ORDER BY 2 DESC, 1 LIMIT 3")(lambda s: ranking.consistent_people(metrics.active_weeks(s.facts(*metrics.SERIES, timed=True), YEAR)))
 q("a22_i4_active_people", dates=("date",), sql="SELECT date, count(DISTINCT login) AS contributors FROM dated GROUP BY date")(lambda s: charts.active_people(weekly(s)))
 q(
     "a23_collaboration", dates=("date",), sql="""SELECT date, CAST(coalesce(sum(count) FILTER (metric_key = 'reviews_submitted'), 0) AS BIGINT) AS reviews, CAST(coalesce(sum(count) FILTER (metric_key = 'comments_total'), 0) AS BIGINT) AS comments,
@@ -183,7 +183,7 @@ q("f27_period_type", "SELECT metric_key, login, period, count FROM weekly")(
 
 # --- repository health --------------------------------------------------------------------------------------------
 
-q("a12_a13_repo_counters", "SELECT repo_id, contributor_count, pr_count, issue_count, review_count, comment_count FROM health")(lambda s: metrics.repo_counters(s.events(*metrics.COUNTED), s.repos))
+q("a12_a13_repo_counters", "SELECT repo_id, contributor_count, pr_count, issue_count, review_count, comment_count FROM health")(lambda s: metrics.repo_counters(s.facts(*metrics.COUNTED), s.repos))
 q("a14_i14_review_coverage", "SELECT repo_id, review_coverage FROM health")(lambda s: metrics.review_coverage(s.prs, s.reviews, s.repos))
 q("a15_merge_times", "SELECT repo_id, median(merge_time) AS median_time_to_merge FROM (SELECT repo_id, (epoch_us(merged_at) - epoch_us(created_at)) / 3.6e9 AS merge_time FROM events_long JOIN prs USING (repo_id) WHERE metric_key = 'prs_merged' AND item_id = number) GROUP BY repo_id")(
     lambda s: metrics.merge_times(s.prs)
@@ -196,7 +196,7 @@ q(
     """SELECT count(*) FILTER (metric_key = 'prs_opened') AS total_prs, count(*) FILTER (metric_key = 'issues_opened') AS total_issues, count(*) FILTER (metric_key = 'reviews_submitted') AS total_reviews,
     count(*) FILTER (metric_key = 'comments_total') AS total_comments, count(*) FILTER (metric_key = 'prs_merged') AS prs_merged, count(*) FILTER (metric_key = 'issues_closed') AS issues_closed,
     count(DISTINCT login) FILTER (metric_key IN ('prs_opened', 'issues_opened', 'reviews_submitted')) AS total_contributors, (SELECT count(DISTINCT repo_id) FROM repos) AS total_repos FROM events_long""",
-)(lambda s: metrics.summary(s.events(*metrics.SERIES), s.repos))
+)(lambda s: metrics.summary(s.facts(*metrics.SERIES), s.repos))
 q("a19_k6_new_contributors", "SELECT login, min(ts) AS first_at FROM events_long GROUP BY login HAVING year(min(ts)) = 1997")(lambda s: metrics.new_contributors(s.events(), YEAR))
 q("a20_a38_size_stats", "SELECT count(*) AS n, median(lines_changed) AS median_size, max(lines_changed) AS largest FROM details WHERE lines_changed > 0")(lambda s: metrics.size_stats(details(s)))
 q("p5_pr_details", "SELECT * FROM details")(details)
@@ -207,7 +207,7 @@ q(
     ELSE format('{:.1f}d', merge_time_hours / 24) END AS duration FROM details WHERE merge_time_hours >= 1.0 / 60 ORDER BY merge_time_hours, repo_id, number LIMIT 5""",
 )(lambda s: ranking.fastest_merges(details(s)))
 q("a28_k7_repo_contributions", "SELECT repo_id, pr_count + issue_count + review_count + comment_count AS contributions FROM health WHERE pr_count + issue_count + review_count + comment_count > 0 ORDER BY 2 DESC, 1 LIMIT 10")(
-    lambda s: ranking.repo_contributions(metrics.repo_counters(s.events(*metrics.COUNTED), s.repos))
+    lambda s: ranking.repo_contributions(metrics.repo_counters(s.facts(*metrics.COUNTED), s.repos))
 )
 q(
     "k9_repo_awards",
@@ -225,15 +225,15 @@ q(
     "d9_bus_factor_per_repo",
     """SELECT repo_id, count(*) FILTER (b < 0.5 * t) AS bus_factor FROM (SELECT repo_id, coalesce(sum(v) OVER (PARTITION BY repo_id ORDER BY v DESC, login ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
     sum(v) OVER (PARTITION BY repo_id) AS t FROM (SELECT repo_id, login, count(*) AS v FROM events_long WHERE metric_key = 'prs_merged' GROUP BY 1, 2)) GROUP BY repo_id""",
-)(lambda s: metrics.bus_factor(metrics.leaderboard_counts(s.events("prs_merged"), "repo_id").drop("metric_key"), "repo_id"))
+)(lambda s: metrics.bus_factor(metrics.leaderboard_counts(s.facts("prs_merged"), "repo_id").drop("metric_key"), "repo_id"))
 q(
     "d4_active_within",
     """SELECT repo_id, count(DISTINCT login) FILTER (ts >= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS active_contributors_30d, count(DISTINCT login) FILTER (ts >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY) AS active_contributors_90d,
     count(DISTINCT login) AS active_contributors_365d FROM events_long WHERE ts < TIMESTAMP '1998-01-01' AND ts >= TIMESTAMP '1998-01-01' - INTERVAL 365 DAY GROUP BY repo_id""",
-)(lambda s: metrics.active_within(s.events(), end()))
+)(lambda s: metrics.active_within(s.facts(*metrics.SERIES, timed=True), end()))
 q("d5_stale_prs", "SELECT repo_id, count(*) FILTER (state = 'open' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS stale FROM prs GROUP BY repo_id")(lambda s: metrics.stale_counts(s.prs, end()))
 q("w10_k12_visible_rank", "SELECT repo_id, pr_count, CAST(row_number() OVER (ORDER BY pr_count DESC, repo_id) AS INTEGER) AS position FROM health")(
-    lambda s: ranking.visible_rank(metrics.repo_counters(s.events(*metrics.COUNTED), s.repos).select("repo_id", "pr_count"), "pr_count", "repo_id")
+    lambda s: ranking.visible_rank(metrics.repo_counters(s.facts(*metrics.COUNTED), s.repos).select("repo_id", "pr_count"), "pr_count", "repo_id")
 )
 q("u4_numbers_per_repo", "SELECT DISTINCT repo_id, number FROM reviews")(lambda s: joins.numbers_per_repo(s.reviews))
 q("u5_union_comments", "SELECT repo_id, number, CASE comment_type WHEN 'issue' THEN 'issue' ELSE 'review' END AS comment_type FROM comments")(
@@ -246,19 +246,19 @@ q("a36_a35_a37_a39_insights", """SELECT CASE WHEN t.prs = 0 THEN 0 ELSE t.review
     (SELECT CAST(trunc(median(lines_changed)) AS BIGINT) FROM details WHERE lines_changed > 0) AS median_pr_size, 100.0 * t.merged / t.prs AS merge_rate
     FROM (SELECT count(*) FILTER (metric_key = 'prs_opened') AS prs, CAST(count(*) FILTER (metric_key = 'reviews_submitted') AS DOUBLE) AS reviews, CAST(count(*) FILTER (metric_key = 'prs_merged') AS DOUBLE) AS merged,
     count(DISTINCT login) FILTER (metric_key = 'reviews_submitted') AS r, count(DISTINCT login) FILTER (metric_key IN ('prs_opened', 'issues_opened', 'reviews_submitted')) AS p FROM events_long) t""")(
-    lambda s: insights.insights(s.events(), metrics.summary(s.events(*metrics.SERIES), s.repos), metrics.size_stats(details(s)))
+    lambda s: insights.insights(s.events(), metrics.summary(s.facts(*metrics.SERIES), s.repos), metrics.size_stats(details(s)))
 )
 q("a32_i9_mean_merge_text", """SELECT h AS hours, CASE WHEN h < 1 THEN format('{:.0f} minutes', h * 60) WHEN h < 24 THEN format('{:.1f} hours', h) ELSE format('{:.1f} days', h / 24) END AS label
     FROM (SELECT avg(median_time_to_merge) FILTER (median_time_to_merge > 0) AS h FROM health)""")(lambda s: insights.mean_merge_text(metrics.merge_times(s.prs).join(s.repos.select("repo_id"), "repo_id", "left_semi")))
 q("a33_a34_i10_review_facts", """SELECT r / p AS reviews_per_pr, least(round(100 * r / p, 0), 100.0) AS coverage, format('{:,}', c) AS comments_text FROM (SELECT CAST(count(*) FILTER (metric_key = 'reviews_submitted') AS DOUBLE) AS r,
-    count(*) FILTER (metric_key = 'prs_opened') AS p, count(*) FILTER (metric_key = 'comments_total') AS c FROM events_long)""")(lambda s: insights.review_facts(metrics.summary(s.events(*metrics.SERIES), s.repos)))
+    count(*) FILTER (metric_key = 'prs_opened') AS p, count(*) FILTER (metric_key = 'comments_total') AS c FROM events_long)""")(lambda s: insights.review_facts(metrics.summary(s.facts(*metrics.SERIES), s.repos)))
 q("a44_health_signals", """SELECT avg(review_coverage) AS avg_coverage, format('{:.1f} days', avg(median_time_to_merge) FILTER (median_time_to_merge > 0) / 24) AS merge_time,
     CAST(coalesce(sum(stale), 0) AS BIGINT) AS stale_prs, avg(contributor_count) AS avg_contributors FROM health
     LEFT JOIN (SELECT repo_id, count(*) FILTER (state = 'open' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS stale FROM prs GROUP BY 1) USING (repo_id)""")(
     lambda s: insights.health_signals(health(s).join(metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count"), "repo_id", "left"))
 )
 q("a55_f21_summary_from_metrics", """SELECT CAST(sum(value) FILTER (metric_key = 'prs_merged') AS BIGINT) AS prs_merged, CAST(sum(value) FILTER (metric_key = 'reviews_submitted') AS BIGINT) AS total_reviews,
-    count(DISTINCT login) AS total_contributors, any_value((SELECT count(DISTINCT repo_id) FROM events_long)) AS total_repos FROM counts""")(lambda s: insights.summary_from_metrics(metrics.scoped_leaderboards(s.events())))
+    count(DISTINCT login) AS total_contributors, any_value((SELECT count(DISTINCT repo_id) FROM events_long)) AS total_repos FROM counts""")(lambda s: insights.summary_from_metrics(metrics.scoped_leaderboards(s.facts())))
 
 # --- people -------------------------------------------------------------------------------------------------------
 
@@ -358,13 +358,13 @@ q("p20_j11_year_navigation", doubles=("contributors", "prs_merged"), sql="""SELE
 )
 q("p21_report_summary", """SELECT count(*) FILTER (metric_key = 'prs_opened') AS prs_opened, count(*) FILTER (metric_key = 'prs_merged') AS prs_merged, count(*) FILTER (metric_key = 'reviews_submitted') AS reviews,
     count(*) FILTER (metric_key = 'comments_total') AS comments, count(DISTINCT login) FILTER (metric_key IN ('prs_opened', 'issues_opened', 'reviews_submitted')) AS contributors, (SELECT count(*) FROM repos) AS repos FROM events_long""")(
-    lambda s: normalize.report_summary(metrics.summary(s.events(*metrics.SERIES), s.repos))
+    lambda s: normalize.report_summary(metrics.summary(s.facts(*metrics.SERIES), s.repos))
 )
 q("p6_i15_leaderboard_rows", "SELECT 'x' AS metric_key, o_orderpriority AS login, '' AS avatar_url, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_orderkey % 3 END AS value FROM orders")(
     lambda s: normalize.leaderboard_rows(s.source("orders").select(F.lit("x").alias("metric_key"), F.lit("").alias("login"), F.col("o_orderpriority").alias("user"), F.lit(None).cast("string").alias("avatar_url"), (F.col("o_orderkey") % 3).alias("value"), F.col("o_custkey").alias("count")))
 )
 q("p8_metric_leaderboards", """SELECT metric_key, login, coalesce(avatar_url, '') AS avatar_url, value, CAST(row_number() OVER (PARTITION BY metric_key ORDER BY value DESC, login) AS INTEGER) AS rank FROM counts LEFT JOIN users USING (login)""")(
-    lambda s: normalize.metric_leaderboards(metrics.scoped_leaderboards(s.events()).withColumnRenamed("login", "user_id"), users(s))
+    lambda s: normalize.metric_leaderboards(metrics.scoped_leaderboards(s.facts()).withColumnRenamed("login", "user_id"), users(s))
 )
 q("p9_metric_series", "SELECT 'weekly' AS granularity, metric_key, period, login, count FROM weekly")(
     lambda s: normalize.metric_series(weekly(s).select("metric_key", "period", "login", F.col("count").alias("value"), F.lit("org").alias("scope"), F.lit("week").alias("period_type")))
@@ -408,7 +408,7 @@ _VIEW = """SELECT repo_id, m AS prs_merged, a AS active_contributors_365d, CASE
 
 def view(s: Star) -> DataFrame:
     merged = s.events("prs_merged").groupBy("repo_id").agg(F.count("*").alias("prs_merged"))
-    active = metrics.active_within(s.events(), end()).select("repo_id", "active_contributors_365d")
+    active = metrics.active_within(s.facts(*metrics.SERIES, timed=True), end()).select("repo_id", "active_contributors_365d")
     base = s.repos.select("repo_id").distinct().join(merged, "repo_id", "left").join(active, "repo_id", "left")
     return hygiene.with_status(base, scored(s))
 
@@ -460,7 +460,7 @@ _RISK_SQL = " UNION ALL ".join(
 
 def risk_health(s: Star) -> DataFrame:
     stale = metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count")
-    return health(s).join(stale, "repo_id", "left").join(metrics.active_within(s.events(), end()), "repo_id", "left")
+    return health(s).join(stale, "repo_id", "left").join(metrics.active_within(s.facts(*metrics.SERIES, timed=True), end()), "repo_id", "left")
 
 
 q("i21_risk_rows", _RISK_SQL)(lambda s: hygiene.risk_rows(scored(s), risk_health(s)))
@@ -629,11 +629,11 @@ q("d5_stale_issues", "SELECT repo_id, count(*) FILTER (state = 'open' AND create
 q("d8_first_review_of_people", f"""SELECT login, avg((epoch_us(seen) - epoch_us(created_at)) / 3.6e9) AS avg_time_to_first_review FROM (SELECT repo_id, number, login, min(submitted_at) AS seen FROM reviews WHERE {PEOPLE} GROUP BY ALL) v
     JOIN (SELECT repo_id, number, created_at FROM prs WHERE {PEOPLE}) p USING (repo_id, number) GROUP BY login""")(lambda s: metrics.first_review_of_people(s.reviews, s.prs))
 q("d9_activity_score", "SELECT repo_id, pr_count + issue_count + review_count + comment_count AS total_activity_score FROM health")(
-    lambda s: metrics.activity_score(metrics.repo_counters(s.events(*metrics.COUNTED), s.repos))
+    lambda s: metrics.activity_score(metrics.repo_counters(s.facts(*metrics.COUNTED), s.repos))
 )
 q("d10_repo_series", """SELECT metric_key, strftime(ts, '%G-W%V') AS period, repo_id, login, count(*) AS count FROM events_long
     WHERE year(ts) = 1997 AND metric_key IN ('prs_opened','prs_merged','issues_opened','issues_closed','reviews_submitted','comments_total') GROUP BY ALL""")(
-    lambda s: metrics.time_series(s.events(*metrics.SERIES), YEAR, "week", "repo_id")
+    lambda s: metrics.time_series(s.facts(*metrics.SERIES, timed=True), YEAR, "week", "repo_id")
 )
 REPO_AWARDS = [
     ranking.Award("review_desert", "Review Desert", "review_coverage", direction="asc", min_prs=5),

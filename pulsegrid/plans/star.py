@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.people import BOT_PARTS
-from ..operators.metrics import METRICS, events_long
+from ..operators.metrics import METRICS, events_long, facts_wide
 
 TREE_PATHS = ("README.md", "LICENSE", "SECURITY.md", ".github/CODEOWNERS", "CONTRIBUTING.md", ".github/workflows/ci.yml", ".github/workflows/lint.yml", "docs/index.md", ".travis.yml")
 
@@ -80,6 +80,10 @@ class Star:
         """The long table of the named metrics, or of all."""
         return events_long(self.prs, self.issues, self.reviews, self.comments, metrics or METRICS)
 
+    def facts(self, *metrics: str, timed: bool = False) -> DataFrame:
+        """One row per fact with a flag for each of the named metrics, or of all."""
+        return facts_wide(self.prs, self.issues, self.reviews, self.comments, metrics or METRICS, timed)
+
 
 _BOT = " OR ".join(f"contains(lower(login), '{p}')" for p in BOT_PARTS)
 PEOPLE = f"NOT (login IS NULL OR user_type = 'Bot' OR {_BOT}) AND login <> ''"
