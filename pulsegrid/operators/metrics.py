@@ -90,7 +90,7 @@ def _per_person(rows: DataFrame, kinds: tuple[str, ...], *keys: str) -> DataFram
         return rows.where(F.col("metric_key").isin(*kinds)).groupBy(*keys, "login").agg(*[F.count_if(F.col("metric_key") == k).alias(k) for k in kinds])
     some = [k for k in kinds if k in rows.columns]
     counted = rows.groupBy(*keys, "login").agg(*[F.sum(k).alias(k) if k in some else F.lit(0).cast("long").alias(k) for k in kinds])
-    return counted.where(reduce(lambda a, b: a | b, [F.col(k) > 0 for k in some]))
+    return counted.where(reduce(lambda a, b: a | b, [F.col(k) > 0 for k in some], F.lit(False)))
 
 
 def leaderboard_counts(events: DataFrame, *extra: str) -> DataFrame:

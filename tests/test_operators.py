@@ -198,3 +198,23 @@ def test_shares_and_ranks(star, spark):
     assert all(r["m"] == r["n"] for r in by)
     series = metrics.time_series(star[5], 2024).agg(F.sum("count")).first()[0]
     assert series <= counts.where(F.col("metric_key").isin(*metrics.SERIES)).agg(F.sum("value")).first()[0]
+
+
+@pytest.mark.parametrize("wanted", [metrics.METRICS, metrics.SERIES, ("prs_merged", "review_comments_total")])
+def test_one_row_per_fact_counts_like_one_row_per_metric(star, wanted):
+    long = metrics.events_long(*star[:4], metrics=wanted)
+    wide, timed = (metrics.facts_wide(*star[:4], metrics=wanted, timed=t) for t in (False, True))
+    same = lambda f, other, key: rows(f(other), *key) == rows(f(long), *key)
+    assert same(metrics.leaderboard_counts, wide, ("metric_key", "login"))
+    assert same(lambda e: metrics.leaderboard_counts(e, "repo_id"), timed, ("metric_key", "repo_id", "login"))
+    assert same(metrics.scoped_leaderboards, wide, ("metric_key", "scope", "repo_id", "login"))
+    assert same(lambda e: metrics.time_series(e, 2024), timed, ("metric_key", "period", "login"))
+    assert same(lambda e: metrics.repo_counters(e, star[4]), wide, ("repo_id",))
+    assert same(lambda e: metrics.summary(e, star[4]), wide, ())
+    assert same(lambda e: metrics.active_within(e, F.lit("2024-12-31").cast("timestamp")), timed, ("repo_id",))
+
+
+def test_no_facts_give_no_counts(star):
+    empty = metrics.facts_wide(*[df.limit(0) for df in star[:4]])
+    assert metrics.leaderboard_counts(empty).count() == 0 and metrics.scoped_leaderboards(empty).count() == 0
+    assert rows(metrics.summary(empty, star[4]))[0][:7] == (0,) * 7
