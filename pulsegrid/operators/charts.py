@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import first_nonzero
 from ..functions.times import period_to_date
+from .ordering import ahead
 
 
 def _of(*metrics: str) -> Column:
@@ -100,8 +101,7 @@ def rows_of_columns(df: DataFrame, *arrays: str) -> DataFrame:
 
 
 def running_share(df: DataFrame, value: str, tie: str) -> DataFrame:
-    """Cumulative share in descending order: for result-sized tables (one global order)."""
-    w = Window.orderBy(F.desc(value), tie)
-    return df.withColumn("cumulative", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
-        "share", F.col("cumulative") / F.sum(value).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    )
+    """Cumulative share in descending order, ties by another column."""
+    total = df.agg(F.sum(value).alias("_total"))
+    summed = ahead(df, "_before", [-F.col(value), F.col(tie)], amount=value).withColumn("cumulative", F.col("_before") + F.col(value))
+    return summed.join(F.broadcast(total), F.lit(True)).withColumn("share", F.col("cumulative") / F.col("_total")).drop("_before", "_total")

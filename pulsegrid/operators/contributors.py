@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import scale_to_max
 from .metrics import METRICS, SERIES, TOTAL
+from .ordering import positions
 
 
 def merge_metrics(counts: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def with_total(merged: DataFrame) -> DataFrame:
 
 def contributors(counts: DataFrame, users: DataFrame) -> DataFrame:
     """Merged metrics with total, rank (ties by login) and avatar."""
-    ranked = with_total(merge_metrics(counts)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("contributions_total"), "login")))
+    ranked = positions(with_total(merge_metrics(counts)), "rank", [-F.col("contributions_total"), F.col("login")])
     return ranked.join(users.select("login", "avatar_url"), "login", "left").withColumn("avatar_url", F.coalesce("avatar_url", F.lit("")))
 
 
@@ -50,6 +51,5 @@ def compare(merged: DataFrame, a: str, b: str) -> DataFrame:
 
 def overall(counts: DataFrame) -> DataFrame:
     """The overall leaderboard: total score with its parts, ranked."""
-    total = with_total(merge_metrics(counts))
-    rank = F.row_number().over(Window.orderBy(F.desc("contributions_total"), "login"))
-    return total.select("login", F.col("contributions_total").alias("overall_score"), "prs_merged", "reviews_submitted", "issues_closed", "comments_total", rank.alias("rank"))
+    total = with_total(merge_metrics(counts)).select("login", F.col("contributions_total").alias("overall_score"), "prs_merged", "reviews_submitted", "issues_closed", "comments_total")
+    return positions(total, "rank", [-F.col("overall_score"), F.col("login")])

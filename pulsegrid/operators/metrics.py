@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.people import is_bot
 from ..functions.times import hours_between, iso_week_key, month_key
 from .filters import created_within, in_year
+from .ordering import ahead, positions
 
 #: The metrics of a leaderboard, in the order of reports.
 METRICS = ("prs_opened", "prs_merged", "issues_opened", "issues_closed", "reviews_submitted", "approvals", "changes_requested", "comments_total", "review_comments_total")
@@ -102,8 +103,13 @@ def leaderboard_counts(events: DataFrame, *extra: str) -> DataFrame:
 
 def ranked(counts: DataFrame, *within: str) -> DataFrame:
     """rank within each metric (and extra keys): by value, ties by login."""
+    return positions(counts, "rank", [-F.col("value"), F.col("login")], ("metric_key", *within))
+
+
+def top_ranked(counts: DataFrame, n: int, *within: str) -> DataFrame:
+    """The first n of `ranked`: each task keeps n rows of a metric before anything is shuffled."""
     w = Window.partitionBy("metric_key", *within).orderBy(F.desc("value"), "login")
-    return counts.withColumn("rank", F.row_number().over(w))
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def leaderboards(events: DataFrame, users: DataFrame) -> DataFrame:
@@ -282,13 +288,13 @@ def activity_score(counters: DataFrame) -> DataFrame:
 def bus_factor(counts: DataFrame, *within: str, share: float = 0.5) -> DataFrame:
     """The fewest top people who reach the share of all merged pull requests. counts: login, value (and keys).
 
-    The running sum is over one row per person, after aggregation.
+    The running sum is over one row per person, after aggregation. Totals are joined: a row per key, or one row. Without
+    keys an empty table gives 0, with keys no row; a null key is a key.
     """
     keys = list(within)
-    if not keys:
-        counts, keys = counts.withColumn("_all", F.lit(0)), ["_all"]
-    order = Window.partitionBy(*keys).orderBy(F.desc("value"), "login")
-    before = F.coalesce(F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("value").over(Window.partitionBy(*keys))
-    out = counts.select(*keys, before.alias("before"), total.alias("total")).groupBy(*keys).agg(F.count_if(F.col("before") < F.col("total") * share).alias("bus_factor"))
-    return out.drop("_all")
+    totals = counts.groupBy(*keys).agg(F.sum("value").alias("_total"))
+    if keys:
+        totals = totals.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], "_total")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(keys)], F.lit(True))
+    before = ahead(counts, "_before", [-F.col("value"), F.col("login")], within, "value")
+    return before.join(totals, same).groupBy(*keys).agg(F.count_if(F.col("_before") < F.col("_total") * share).alias("bus_factor"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.texts import duration_short
 from .filters import not_instant
+from .ordering import positions
 
 
 def winners(counts: DataFrame) -> DataFrame:
@@ -75,15 +76,20 @@ def sorted_by(df: DataFrame, column: str, tie: str) -> DataFrame:
 
 
 def visible_rank(df: DataFrame, column: str, tie: str) -> DataFrame:
-    """The position after sorting. One global order: for result-sized tables."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(F.coalesce(F.col(column), F.lit(0)).desc(), F.col(tie))))
+    """The position after sorting: descending, nulls as 0, ties by another column."""
+    return positions(df, "position", [-F.coalesce(F.col(column), F.lit(0)), F.col(tie)])
 
 
 def first_items(df: DataFrame, key: str, item: str, n: int) -> DataFrame:
-    """Per key the first n items in order and how many more there are."""
+    """Per key the first n items in order and how many more there are. A null key is a key, a null item counts but is not shown.
+
+    The items come from a window that each task cuts to n rows per key, the counts from a plain grouping.
+    """
     w = Window.partitionBy(key).orderBy(item)
-    seen = df.select(key, item).withColumn("r", F.row_number().over(w))
-    return seen.groupBy(key).agg(F.concat_ws(", ", F.sort_array(F.collect_list(F.when(F.col("r") <= n, F.col(item))))).alias("shown"), F.greatest(F.max("r") - n, F.lit(0)).cast("long").alias("more"))
+    first = df.select(key, item).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+    shown = first.groupBy(F.col(key).alias("_key")).agg(F.concat_ws(", ", F.sort_array(F.collect_list(item))).alias("shown"))
+    counted = df.groupBy(key).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    return counted.join(shown, F.col(key).eqNullSafe(F.col("_key"))).select(key, "shown", "more")
 
 
 def peaks(series: DataFrame, n: int = 3, date: str = "date", value: str = "value") -> DataFrame:

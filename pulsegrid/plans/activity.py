@@ -102,7 +102,7 @@ def _(s: Star) -> DataFrame:
     "SELECT * FROM (SELECT metric_key, login, value, CAST(row_number() OVER (PARTITION BY metric_key ORDER BY value DESC, login) AS INTEGER) AS rank FROM counts) WHERE rank <= 10",
 )
 def _(s: Star) -> DataFrame:
-    return metrics.top_n(metrics.ranked(counts(s)), 10)
+    return metrics.top_ranked(counts(s), 10)
 
 
 @q("k2_winners", "SELECT metric_key, login, value FROM (SELECT *, row_number() OVER (PARTITION BY metric_key ORDER BY value DESC, login) AS r FROM counts) WHERE r = 1")
