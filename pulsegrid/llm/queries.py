@@ -244,3 +244,38 @@ def op6_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     host = F.col("host")
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, any_label(host, TRUSTED_LABELS), any_label(host, BLOCKED_LABELS))
+
+
+@query(
+    "op13_importance_resampling",
+    r"""
+    WITH byte AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda r, k: xor(r >> 1, (r & 1) * 3988292384))) AS of_byte),
+    w AS (
+        SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+        UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+    f AS (
+        SELECT side, doc_id, unnest(list_concat(ws,
+            list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+            list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS feature FROM w),
+    g AS (SELECT side, doc_id, feature, count(*) AS n FROM f GROUP BY ALL),
+    u AS (SELECT feature, hex(encode(feature)) AS bytes FROM (SELECT DISTINCT feature FROM g)),
+    h AS (
+        SELECT feature, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(bytes), 2), lambda i: CAST('0x' || substr(bytes, i, 2) AS BIGINT))),
+            lambda r, x: xor(r >> 8, of_byte[(xor(r, x) & 255) + 1]))) % 10000 AS bucket FROM u, byte),
+    c AS (SELECT side, doc_id, bucket, sum(n) AS n FROM g JOIN h USING (feature) GROUP BY ALL),
+    k AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM c GROUP BY bucket),
+    a AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM k),
+    v AS (SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * (ss + 10000) / ((s::DOUBLE + 1) * (tt + 10000)))) AS gain FROM k, a),
+    e AS (SELECT doc_id, sum(n * gain) AS weight, sum(n) AS n_features FROM c JOIN v USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+    p AS (
+        SELECT w.doc_id, len(ws) >= 20 AS able, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+               CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS draw
+        FROM w LEFT JOIN e USING (doc_id) WHERE w.side = 'd'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY weight + draw DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n_able FROM p)
+    SELECT doc_id, n_features, weight, weight + draw AS score, CASE WHEN able AND place <= 5 * n_able // 100 THEN place END AS rank FROM r
+    """,
+)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
