@@ -307,3 +307,10 @@ def op12_hard_negatives_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+@query("op11_balanced_postings")
+def op11_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
