@@ -183,7 +183,7 @@ def measured_ratio(graph: CentroidGraph, askers: np.ndarray, needed: list[tuple[
 
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, sample_rows: int = 16_384, bound_rows: int = 4_096, list_rows: int = 128,
-    most_lists: int = 2_048, replicas: int = 4, boundary: float = 0.1, recall: float = 0.97, measured: int = 128, block_rows: int = 2_048, query_rows: int = 4_096,
+    most_lists: int = 2_048, replicas: int = 4, boundary: float = 0.1, recall: float = 0.95, measured: int = 128, block_rows: int = 2_048, query_rows: int = 4_096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, nearest first, ties to the smaller vec_id.
 
