@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -73,3 +73,39 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 def parquet_per_batch(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that overwrites the folder of its batch: the same batch twice leaves one copy."""
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def flag_late(late: str, window_end: Column, ts: str = "ts") -> tuple[Callable[[DataFrame, dict[int, dict]], DataFrame], Callable[[DataFrame], dict]]:
+    """shape and note of commits.committed: keep late rows, flagged, instead of losing them.
+
+    A row is late when its window had ended by the watermark, the latest time of all earlier batches less `late`: the rule by which
+    windowed counts drop it. The latest time of a batch is in its log entry. Rows without a time are not late.
+    """
+
+    def shape(df: DataFrame, entries: dict[int, dict]) -> DataFrame:
+        seen = [e["latest"] for e in entries.values() if e.get("latest")]
+        if not seen:
+            return df.withColumn("late", F.lit(False))
+        mark = F.lit(max(seen)).cast("timestamp") - F.expr(f"INTERVAL {late}")
+        return df.withColumn("late", F.coalesce(window_end <= mark, F.lit(False)))
+
+    def note(written: DataFrame) -> dict:
+        return {"latest": written.agg(F.max(ts).cast("string")).first()[0]}
+
+    return shape, note
+
+
+def week_end(ts: str = "ts") -> Column:
+    """The end of the Monday week of a time."""
+    return F.date_trunc("week", ts) + F.expr("INTERVAL 7 DAYS")
+
+
+def joined_reviews(prs: DataFrame, reviews: DataFrame, within: str, late: str) -> DataFrame:
+    """repo_id, number, created_at, submitted_at of reviews that come within a time of their pull request: a join of two streams.
+
+    Both sides have watermarks and the interval bounds both, so a side's rows leave the state once no partner can come any more.
+    """
+    left = prs.withWatermark("created_at", late).select("repo_id", "number", "created_at")
+    right = reviews.withWatermark("submitted_at", late).select(F.col("repo_id").alias("_repo"), F.col("number").alias("_number"), "submitted_at")
+    near = F.expr(f"submitted_at >= created_at AND submitted_at <= created_at + INTERVAL {within}")
+    return left.join(right, (F.col("repo_id") == F.col("_repo")) & (F.col("number") == F.col("_number")) & near).select("repo_id", "number", "created_at", "submitted_at")
