@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.people import is_bot
 from ..functions.times import hours_between, iso_week_key, month_key
+from ..sources.scratch import written
 from .filters import created_within, in_year
 from .ordering import ahead, positions
 
@@ -101,9 +102,9 @@ def leaderboard_counts(events: DataFrame, *extra: str) -> DataFrame:
     return _long(events.groupBy(*extra, "login").agg(*_sums(events)), "value")
 
 
-def ranked(counts: DataFrame, *within: str) -> DataFrame:
-    """rank within each metric (and extra keys): by value, ties by login."""
-    return positions(counts, "rank", [-F.col("value"), F.col("login")], ("metric_key", *within))
+def ranked(counts: DataFrame, *within: str, n: int | None = None) -> DataFrame:
+    """rank within each metric (and extra keys): by value, ties by login. n: as of `ahead`."""
+    return positions(counts, "rank", [-F.col("value"), F.col("login")], ("metric_key", *within), n=n)
 
 
 def top_ranked(counts: DataFrame, n: int, *within: str) -> DataFrame:
@@ -120,13 +121,15 @@ def leaderboards(events: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def scoped_leaderboards(events: DataFrame) -> DataFrame:
-    """Org and repository scope from one pass: grouping sets (metric, user) and (metric, repo, user), ranked in each."""
-    if _is_long(events):
-        g = events.groupingSets([["metric_key", "login"], ["metric_key", "repo_id", "login"]], "metric_key", "repo_id", "login").agg(F.count("*").alias("value"), F.grouping("repo_id").alias("g"))
-    else:
-        g = _long(events.groupingSets([["login"], ["repo_id", "login"]], "repo_id", "login").agg(*_sums(events), F.grouping("repo_id").alias("g")), "value")
-    scoped = g.select("metric_key", F.when(F.col("g") == 1, "org").otherwise("repo").alias("scope"), "repo_id", "login", "value")
-    return ranked(scoped, "scope", "repo_id")
+    """Org and repository scope from one pass: counts per repository and person are written once, org counts are their sums."""
+    long = _is_long(events)
+    pairs = written(events.groupBy(*["metric_key"] * long, "repo_id", "login").agg(*([F.count("*").alias("value")] if long else _sums(events))), "pair-counts")
+    per_org = pairs.groupBy(*["metric_key"] * long, "login").agg(*([F.sum("value").alias("value")] if long else _sums(pairs)))
+    of_repos, of_org = (pairs, per_org) if long else (_long(pairs, "value"), _long(per_org, "value"))
+    columns = ("metric_key", "scope", "repo_id", "login", "value", "rank")
+    org = ranked(of_org).select("metric_key", F.lit("org").alias("scope"), F.lit(None).cast(pairs.schema["repo_id"].dataType).alias("repo_id"), "login", "value", "rank")
+    repos = ranked(of_repos, "repo_id", n=2 * pairs.count()).withColumn("scope", F.lit("repo"))
+    return org.unionByName(repos.select(*columns))
 
 
 def top_n(rows: DataFrame, n: int) -> DataFrame:
@@ -232,17 +235,6 @@ def size_stats(details: DataFrame) -> DataFrame:
     return some.agg(F.count("*").alias("n"), F.median("lines_changed").alias("median_size"), F.max("lines_changed").alias("largest"))
 
 
-def size_list(details: DataFrame, max_items: int = 100_000) -> DataFrame:
-    """The sizes as one sorted array, for displays of small inputs: more than max_items rows are refused, not cut.
-
-    size_stats is exact at any size and is what summaries use.
-    """
-    some = details.where("lines_changed > 0")
-    if some.limit(max_items + 1).count() > max_items:
-        raise ValueError(f"more than {max_items} sizes: use size_stats")
-    return some.agg(F.sort_array(F.collect_list("lines_changed")).alias("pr_sizes"))
-
-
 def active_weeks(events: DataFrame, year: int) -> DataFrame:
     """login, active_weeks: distinct weeks with any counted event in the year."""
     weeks = time_series(events, year).select("login", "period").distinct()

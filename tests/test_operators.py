@@ -88,13 +88,6 @@ def test_percentile_option_differs_on_even_counts(spark):
     assert metrics.merge_times(prs).first()[1] == 3.0 and metrics.merge_times(prs, exact=False).first()[1] == 2.0
 
 
-def test_size_list_refuses_rather_than_cuts(spark):
-    sizes = spark.createDataFrame([(3,), (1,), (0,)], "lines_changed long")
-    assert metrics.size_list(sizes).first()[0] == [1, 3]
-    with pytest.raises(ValueError):
-        metrics.size_list(sizes, max_items=1)
-
-
 def test_filter_chain_reports_the_first_failure(spark):
     repos = spark.createDataFrame(
         [

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import charts, contributors, metrics, ranking
+from pulsegrid.operators import charts, contributors, metrics, ordering, ranking
 from pulsegrid.operators.ordering import _with_slice, ahead, positions
 
 SCHEMA = "team string, login string, value long, _o0 int"
@@ -30,16 +30,27 @@ def test_slices_give_what_one_window_gives(people, within, slices):
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_no_slice_holds_much_of_a_large_group(spark):
+def test_no_slice_holds_much_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_SLICE", 300)
     rows = spark.range(20_000).select(F.lit("m").alias("metric_key"), F.concat(F.lit("u"), "id").alias("login"), F.lit(1).cast("long").alias("value"))
     ranked = metrics.ranked(rows)
     plain = rows.withColumn("rank", F.row_number().over(Window.partitionBy("metric_key").orderBy(F.desc("value"), "login")))
     assert ranked.exceptAll(plain).count() == 0 and ranked.count() == 20_000
     placed = rows.withColumn("_place", F.struct("metric_key", -F.col("value"), "login"))
-    cut = _with_slice(placed, 64).groupBy("_slice").count()
+    cut = _with_slice(placed, 64, 20_000).groupBy("_slice").count()
     assert cut.count() > 50 and cut.agg(F.max("count")).first()[0] < 20_000 / 64 * 2
 
 
+@pytest.mark.parametrize("limit", [100, 700, 10_000])
+def test_large_groups_are_cut_and_small_ones_are_not(people, monkeypatch, limit):
+    monkeypatch.setattr(ordering, "ROWS_PER_SLICE", limit)
+    order = [-F.col("value"), F.col("login")]
+    w = Window.partitionBy("team").orderBy(*order)
+    plain = people.withColumn("n", F.row_number().over(w)).withColumn("s", F.coalesce(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    got = ahead(positions(people, "n", order, ("team",)), "s", order, ("team",), "value")
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_repeated_rows_and_empty_tables(spark):
     same = spark.createDataFrame([("m", "a", 1)] * 5, "metric_key string, login string, value long")
     assert sorted(r["rank"] for r in metrics.ranked(same).collect()) == [1, 2, 3, 4, 5]
