@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import first_nonzero
 from ..functions.times import period_to_date
 from .ordering import ahead
+from .selection import median
 
 
 def _of(*metrics: str) -> Column:
@@ -55,7 +56,8 @@ def series_stats(series: DataFrame, value: str = "count") -> DataFrame:
     """total, mean (2 decimals), median, min, max; zeros for no points."""
     zero = lambda c: F.coalesce(c, F.lit(0))
     v = F.col(value)
-    return series.agg(zero(F.sum(v)).alias("total"), zero(F.round(F.avg(v), 2)).alias("mean"), zero(F.median(v)).alias("median"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"))
+    sums = series.agg(F.sum(v).alias("total"), F.round(F.avg(v), 2).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")).join(median(series, value), F.lit(True))
+    return sums.select(*[zero(F.col(c)).alias(c) for c in ("total", "mean", "median", "min", "max")])
 
 
 def date_range(series: DataFrame, column: str = "date") -> DataFrame:

@@ -30,6 +30,20 @@ def workflow_files(tree: DataFrame, prefixes: list[str]) -> DataFrame:
     return tree.where("type = 'blob'").select("repo_id", F.explode(under).alias("prefix"), "path", "size")
 
 
+def under_prefixes(files: DataFrame, prefixes: DataFrame, path: str = "path", prefix: str = "prefix") -> DataFrame:
+    """files with a column prefix: a row for each distinct prefix of the table that a path starts with; paths under none are left out.
+
+    An equi-join: a path is cut at the lengths that prefixes have (of which there are no more than the longest prefix has
+    characters), and the beginnings are looked up. Prefixes may be any number; the empty one is over every path, null ones over none.
+    """
+    wanted = prefixes.where(F.col(prefix).isNotNull()).select(F.col(prefix).alias("prefix")).distinct()
+    lengths = sorted(r[0] for r in wanted.select(F.length("prefix")).distinct().collect())
+    if not lengths:
+        return files.withColumn("prefix", F.lit(None).cast("string")).where(F.lit(False))
+    possible = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
+    return files.withColumn("_n", F.explode(possible)).withColumn("prefix", F.left(F.col(path), F.col("_n"))).drop("_n").join(wanted, "prefix", "left_semi").select(*files.columns, "prefix")
+
+
 def years_with_stats(years: DataFrame, summary: DataFrame) -> DataFrame:
     return years.join(summary, "year", "left")
 

@@ -12,6 +12,7 @@ from ..functions.times import hours_between, iso_week_key, month_key
 from ..sources.scratch import written
 from .filters import created_within, in_year
 from .ordering import ahead, positions
+from .selection import median
 
 #: The metrics of a leaderboard, in the order of reports.
 METRICS = ("prs_opened", "prs_merged", "issues_opened", "issues_closed", "reviews_submitted", "approvals", "changes_requested", "comments_total", "review_comments_total")
@@ -230,9 +231,9 @@ def new_contributors(events: DataFrame, year: int) -> DataFrame:
 
 
 def size_stats(details: DataFrame) -> DataFrame:
-    """Median and percentiles of changed lines of merged pull requests with any: a list of sizes does not scale."""
+    """n, median_size, largest of the changed lines of merged pull requests with any, exact at any size."""
     some = details.where("lines_changed > 0")
-    return some.agg(F.count("*").alias("n"), F.median("lines_changed").alias("median_size"), F.max("lines_changed").alias("largest"))
+    return some.agg(F.count("*").alias("n"), F.max("lines_changed").alias("largest")).join(median(some, "lines_changed", "median_size"), F.lit(True)).select("n", "median_size", "largest")
 
 
 def active_weeks(events: DataFrame, year: int) -> DataFrame:

@@ -83,16 +83,25 @@ def award_lists(flat: DataFrame, definitions: dict[str, tuple[str, str, str, str
     )
 
 
+def _entries(raw: DataFrame, value: Column) -> DataFrame:
+    """raw with key and value of every entry of a variant: an object's fields, or a list's items with a null key. Anything else has none."""
+    spark = raw.sparkSession
+    parsed = raw.withColumn("_entries", value)
+    return parsed.lateralJoin(spark.tvf.variant_explode(F.col("_entries").outer())).drop("_entries", "pos")
+
+
+def _field(name: str, kind: str) -> Column:
+    return F.try_variant_get("value", f"$.{name}", kind)
+
+
 def awards_from_shapes(raw: DataFrame, column: str = "awards") -> DataFrame:
-    """award_key, user, count from one JSON text a row, flat, nested by category, or lists by category."""
-    entry = "struct<award_key: string, user: string, count: bigint>"
-    flat = F.map_entries(F.from_json(F.col(column), f"map<string, {entry}>"))
-    nested = F.flatten(F.map_values(F.transform_values(F.from_json(F.col(column), f"map<string, map<string, {entry}>>"), lambda _, m: F.map_entries(m))))
-    lists = F.flatten(F.map_values(F.from_json(F.col(column), f"map<string, array<{entry}>>")))
-    shape = F.when(F.get_json_object(column, "$.individual[0]").isNotNull(), "lists").when(F.get_json_object(column, "$.individual").isNotNull(), "nested").otherwise("flat")
-    pairs = F.when(shape == "flat", flat).when(shape == "nested", nested)
-    of_pairs = F.transform(pairs, lambda e: F.struct(e["key"].alias("award_key"), e["value"]["user"].alias("user"), e["value"]["count"].alias("count")))
-    return raw.select(F.inline(F.coalesce(F.when(shape == "lists", lists), of_pairs))).where("award_key is not null")
+    """award_key, user, count from one JSON text a row: flat, nested by category, or lists by category. The text is parsed once."""
+    top = _entries(raw.select(F.col(column).alias("_text")), F.try_parse_json("_text")).select("key", "value")
+    is_award = F.coalesce(_field("user", "string"), _field("count", "string")).isNotNull()
+    flat = F.parse_json(F.concat(F.lit('{"'), F.col("key"), F.lit('": '), F.to_json("value"), F.lit("}")))
+    each = _entries(top.select(F.when(is_award, flat).otherwise(F.col("value")).alias("_of")), F.col("_of"))
+    rows = each.select(F.coalesce("key", _field("award_key", "string")).alias("award_key"), _field("user", "string").alias("user"), _field("count", "bigint").alias("count"))
+    return rows.where("award_key is not null")
 
 
 def metric_leaderboards(rows: DataFrame, users: DataFrame) -> DataFrame:
@@ -113,29 +122,29 @@ def metric_awards(rows: DataFrame, categories: tuple[str, ...] = ("individual",
     return rows.where(F.col("category").isin(*categories)).withColumn("repo_name", F.coalesce("winner_repo_id", F.lit("")))
 
 
-HEALTH_ENTRY = "struct<repo_full_name: string, prs_merged: bigint, review_coverage: double>"
+def _repositories(column: str) -> Column:
+    """What holds the repositories of a JSON text: its field of that name, or the whole."""
+    parsed = F.try_parse_json(column)
+    return F.coalesce(F.try_variant_get(parsed, "$.repositories", "variant"), parsed)
 
 
 def health_from_shapes(raw: DataFrame, column: str = "health") -> DataFrame:
-    """repo_id, repo_full_name, prs_merged, review_coverage from a map by id, a list, or {repositories: list} as JSON text."""
-    entry = HEALTH_ENTRY.replace("struct<", "struct<repo_id: string, repo: string, ")
-    as_list = F.coalesce(F.from_json(F.get_json_object(column, "$.repositories"), f"array<{entry}>"), F.when(F.col(column).startswith("["), F.from_json(column, f"array<{entry}>")))
-    as_map = F.transform(
-        F.map_entries(F.from_json(column, f"map<string, {entry}>")),
-        lambda e: F.struct(e["key"].alias("repo_id"), *[e["value"][c].alias(c) for c in ("repo", "repo_full_name", "prs_merged", "review_coverage")]),
-    )
-    rows = raw.select(F.inline(F.coalesce(as_list, as_map)))
-    name = F.coalesce("repo_full_name", "repo", "repo_id")
-    return rows.select(F.coalesce("repo_id", name).alias("repo_id"), name.alias("repo_full_name"), F.coalesce("prs_merged", F.lit(0)).alias("prs_merged"), "review_coverage")
+    """repo_id, repo_full_name, prs_merged, review_coverage from a map by id, a list, or {repositories: either} as JSON text.
+
+    A text is parsed once, to a variant. Null and malformed texts give no rows, fields of another type are null.
+    """
+    rows = _entries(raw, _repositories(column))
+    name = F.coalesce(_field("repo_full_name", "string"), _field("repo", "string"), F.col("key"), _field("repo_id", "string"))
+    return rows.select(
+        F.coalesce(F.col("key"), _field("repo_id", "string"), name).alias("repo_id"), name.alias("repo_full_name"), F.coalesce(_field("prs_merged", "bigint"), F.lit(0)).alias("prs_merged"),
+        _field("review_coverage", "double").alias("review_coverage"),
+    )
 
 
 def hygiene_from_shapes(raw: DataFrame, column: str = "hygiene") -> DataFrame:
-    """repo_id, score from a map by id, {repositories: map or list}, or a list as JSON text."""
-    entry = "struct<repo_id: string, repo: string, score: int>"
-    inner = F.coalesce(F.get_json_object(column, "$.repositories"), F.col(column))
-    as_list = F.when(inner.startswith("["), F.from_json(inner, f"array<{entry}>"))
-    as_map = F.transform(F.map_entries(F.from_json(inner, f"map<string, {entry}>")), lambda e: F.struct(e["key"].alias("repo_id"), e["value"]["repo"].alias("repo"), e["value"]["score"].alias("score")))
-    return raw.select(F.inline(F.coalesce(as_list, as_map))).select(F.coalesce("repo_id", "repo").alias("repo_id"), "score").where("repo_id is not null")
+    """repo_id, score from a map by id, {repositories: map or list}, or a list as JSON text. Parsed once, as health is."""
+    rows = _entries(raw, _repositories(column))
+    return rows.select(F.coalesce(F.col("key"), _field("repo_id", "string"), _field("repo", "string")).alias("repo_id"), _field("score", "int").alias("score")).where("repo_id is not null")
 
 
 def flatten_protection(responses: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, people, texts, times
-from ..operators import charts, contributors, filters, hygiene, insights, joins, metrics, normalize, ranking, runs, search
+from ..operators import charts, contributors, filters, hygiene, identity, insights, joins, metrics, normalize, ranking, runs, search
+from ..sources import scratch
 from .star import PEOPLE, TREE_PATHS, Star, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,9 +343,10 @@ q("p1_repo_metadata", "SELECT id, name, full_name, description, language, archiv
 q("p2_repo_dimension", "SELECT repo_id, name, description, coalesce(language, '') AS language, stars FROM repos")(lambda s: normalize.repo_dimension(s.repos.select("repo_id", "name", "description", "language", "stars", "id"), ["id"]))
 q("p17_default_branch", "SELECT repo_id, coalesce(nullif(default_branch, ''), 'main') AS branch FROM repos")(lambda s: s.repos.select("repo_id", normalize.default_branch(F.lit(None).cast("string"), F.col("default_branch")).alias("branch")))
 q("p18_split_repo_name", "SELECT split_part(full_name, '/', 1) AS owner, split_part(full_name, '/', 2) AS repo FROM repos")(lambda s: normalize.split_repo_name(s.repos)[0].select("owner", "repo"))
-q("p19_repo_of", "SELECT page_id, nullif(regexp_extract(url, '/(en|de|fr|es)/', 1), '') AS lang, CAST(NULL AS VARCHAR) AS repo FROM pages")(
-    lambda s: s.source("pages").select("page_id", F.nullif(F.regexp_extract("url", "/(en|de|fr|es)/", 1), F.lit("")).alias("lang"), normalize.repo_of(F.lit(""), F.col("url")).alias("repo"))
-)
+q("p19_repo_of", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'org/nested' || user_id WHEN 3 THEN NULL ELSE 'org/repo' || event_id % 2100 END AS repo FROM events""")(
+    lambda s: s.source("events").select("event_id", normalize.repo_of(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("org/nested"), "user_id")).otherwise(""), F.concat(
+        F.when(F.col("event_id") % 4 == 3, "https://api.example.org/users/").otherwise("https://api.example.org/repos/"), F.lit("org/repo"), F.col("event_id") % 2100, F.lit("/issues/"), "event_id", F.lit("/comments"))).alias("repo"))
+)
 q("s6_repo_from_file", "SELECT repo_id AS repo FROM repos")(lambda s: s.repos.select(_records().repo_from_file(F.concat(_records().file_of_repo(F.col("repo_id")), F.lit(".jsonl"))).alias("repo")))
 q("s13_k15_years", "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) BETWEEN 2000 AND 2100")(lambda s: _records().years(s.source("orders").select(F.year("o_orderdate").alias("year"))))
 q("s15_csv_ready", "SELECT trim(regexp_replace(c_name, '\\s+', ' ', 'g')) AS c_name, CAST(c_custkey AS VARCHAR) AS c_custkey FROM customer")(lambda s: _records().csv_ready(s.source("customer").select("c_name", "c_custkey")))
@@ -547,16 +549,19 @@ q("p15_flatten_security", """SELECT repo_id AS repo, CASE WHEN k % 3 <> 0 THEN k
         )
     ).select("repo", "dependabot_alerts", "error")
 )
-q("p11_p13_health_shapes", "SELECT concat('r', CAST(o_orderkey AS VARCHAR)) AS repo_id, concat('n', CAST(o_orderkey AS VARCHAR)) AS repo_full_name, o_custkey AS prs_merged, CAST(NULL AS DOUBLE) AS review_coverage FROM orders")(
+_HEALTH = ("o_orderkey", "o_orderkey", "o_custkey", "_coverage")
+q("p11_p13_health_shapes", """SELECT concat('r', CAST(o_orderkey AS VARCHAR)) AS repo_id, concat('n', CAST(o_orderkey AS VARCHAR)) AS repo_full_name, o_custkey AS prs_merged,
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 400 / 4.0 END AS review_coverage FROM orders""")(
     lambda s: normalize.health_from_shapes(
-        s.source("orders").select(
-            F.when(F.col("o_orderkey") % 3 == 0, F.format_string('{"r%d": {"repo_full_name": "n%d", "prs_merged": %d}}', "o_orderkey", "o_orderkey", "o_custkey"))
-            .when(F.col("o_orderkey") % 3 == 1, F.format_string('[{"repo_id": "r%d", "repo": "n%d", "prs_merged": %d}]', "o_orderkey", "o_orderkey", "o_custkey"))
-            .otherwise(F.format_string('{"repositories": [{"repo_id": "r%d", "repo_full_name": "n%d", "prs_merged": %d}]}', "o_orderkey", "o_orderkey", "o_custkey"))
+        s.source("orders").withColumn("_coverage", F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 400 / 4).cast("string")).otherwise("null")).select(
+            F.when(F.col("o_orderkey") % 4 == 0, F.format_string('{"r%d": {"repo_full_name": "n%d", "prs_merged": %d, "review_coverage": %s}}', *_HEALTH))
+            .when(F.col("o_orderkey") % 4 == 1, F.format_string('[{"repo_id": "r%d", "repo": "n%d", "prs_merged": %d, "review_coverage": %s}]', *_HEALTH))
+            .when(F.col("o_orderkey") % 4 == 2, F.format_string('{"repositories": [{"repo_id": "r%d", "repo_full_name": "n%d", "prs_merged": %d, "review_coverage": %s}]}', *_HEALTH))
+            .otherwise(F.format_string('{"repositories": {"r%d": {"repo_full_name": "n%d", "prs_merged": %d, "review_coverage": %s}}}', *_HEALTH))
             .alias("health")
         )
     )
-)
+)
 q("p12_hygiene_shapes", "SELECT concat('r', CAST(o_orderkey AS VARCHAR)) AS repo_id, CAST(o_custkey AS INTEGER) AS score FROM orders")(
     lambda s: normalize.hygiene_from_shapes(
         s.source("orders").select(
@@ -571,6 +576,48 @@ q("p12_hygiene_shapes", "SELECT concat('r', CAST(o_orderkey AS VARCHAR)) AS repo
 q("j13_first_rule", "SELECT repo_id, topics[1] AS first FROM repos")(lambda s: s.repos.select("repo_id", joins.first_rule("topics").alias("first")))
 
 
+# --- identity rules, prefixes and searches that come as tables ---------------------------------------------------------
+
+_RULES = """SELECT c_custkey AS rule_id, 'human' AS kind, concat('user', CAST(c_custkey AS STRING)) AS value, 0 AS rank FROM customer WHERE c_custkey % 40 = 1
+    UNION ALL SELECT c_custkey, 'bot', concat('user', CAST(c_custkey AS STRING)), 1 FROM customer WHERE c_custkey % 30 = 1
+    UNION ALL SELECT 1000000 + r_regionkey, 'type', CASE r_regionkey WHEN 0 THEN 'Bot' ELSE concat('Kind', CAST(r_regionkey AS STRING)) END, 2 FROM region
+    UNION ALL SELECT 2000000 + n_nationkey, 'pattern', CASE n_nationkey WHEN 0 THEN 'renovate-.*' ELSE concat('user', CAST(n_nationkey AS STRING), '[05]$') END, 3 FROM nation"""
+
+
+def rules(s: Star) -> DataFrame:
+    parts = {t: s.source(t) for t in ("customer", "region", "nation")}
+    sql = _RULES
+    for t in parts:
+        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return s.spark.sql(sql, **parts)
+
+
+q("f18_d3_rules_of_a_table", f"""SELECT * FROM (WITH ru AS ({_RULES.replace("STRING", "VARCHAR")}),
+    hit AS (SELECT number, min(struct_pack(rank, rule_id, kind, value)) AS r FROM prs JOIN ru ON (kind IN ('human', 'bot') AND value = login) OR (kind = 'type' AND value = user_type)
+        OR (kind = 'pattern' AND regexp_matches(login, '^(?:' || value || ')')) GROUP BY number)
+    SELECT number, login, CAST(r.rule_id AS BIGINT) AS rule_id, CASE WHEN r IS NULL THEN 'human' WHEN r.kind = 'type' THEN 'type' WHEN r.kind = 'pattern' THEN 'pattern: ' || r.value ELSE 'override: ' || r.kind END AS reason,
+        coalesce(r.kind <> 'human', false) AS is_bot FROM prs LEFT JOIN hit USING (number))""")(
+    lambda s: identity.classify(s.prs.select("number", "login", "user_type"), rules(s)).drop("user_type")
+)
+_PREFIXES = "SELECT DISTINCT regexp_replace(path, '[^/]*$', '') AS prefix FROM tree UNION SELECT DISTINCT substring(path, 1, 4) FROM tree UNION SELECT DISTINCT path FROM tree"
+q("j9_prefix_table", f"SELECT repo_id, path, size, prefix FROM tree JOIN ({_PREFIXES}) p ON starts_with(path, prefix) WHERE type = 'blob'")(
+    lambda s: joins.under_prefixes(s.tree.where("type = 'blob'").select("repo_id", "path", "size"), s.spark.sql(_PREFIXES.replace("FROM tree", "FROM {tree}"), tree=s.tree))
+)
+q("f23_f24_s14_postings", """SELECT * FROM (WITH ix AS (SELECT 'contributor' AS kind, login AS name, value AS weight FROM counts WHERE metric_key = 'prs_opened'
+    UNION ALL SELECT 'repository', repo_id, count(*) FROM events_long WHERE metric_key = 'prs_merged' GROUP BY repo_id),
+    te AS (SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'ER' || s_suppkey WHEN 1 THEN 'repo' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS term FROM supplier)
+    SELECT term, kind, name, weight, CAST(row_number() OVER (PARTITION BY term ORDER BY kind, weight DESC, name) AS INTEGER) AS place FROM te JOIN ix ON contains(lower(name), lower(term)) WHERE length(term) >= 2
+    QUALIFY row_number() OVER (PARTITION BY term ORDER BY kind, weight DESC, name) <= 5)""")(lambda s: _postings(s))
+
+
+def _postings(s: Star) -> DataFrame:
+    key = F.col("s_suppkey")
+    terms = s.source("supplier").select(F.when(key % 3 == 0, F.concat(F.lit("ER"), key)).when(key % 3 == 1, F.concat(F.lit("repo"), key)).otherwise(key.cast("string")).alias("term"))
+    index = search.NameIndex(s.spark, scratch.new_folder(s.spark, "names"))
+    index.build(_index(s))
+    return index.first_hits(terms)
+
+
 # --- parts of the survey's lines that the given tables do not show by themselves ------------------------------------
 
 _TOKEN = "CASE WHEN o_orderkey % 3 = 0 THEN substr(md5(CAST(o_orderkey AS {string})), 1, 12) ELSE md5(CAST(o_orderkey AS {string})) END"

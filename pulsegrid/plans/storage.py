@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs
 from ..sources import records
+from ..sources.dimensions import StoredDimension, new_in_year
 from ..streaming import counters
 from .star import TREE_PATHS, Star, oracle
 from .streams import fresh_folder, stream_of
@@ -47,8 +48,8 @@ def _(s: Star, root: str) -> DataFrame:
 @q("s4_count_records", "SELECT (SELECT count(*) FROM events) AS n, CAST(0 AS BIGINT) AS missing")
 def _(s: Star, root: str) -> DataFrame:
     s.source("events").select("props").write.text(f"{root}/lines")
-    n, missing = records.count_records(s.spark, f"{root}/lines"), records.count_records(s.spark, f"{root}/none")
-    return s.spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(missing).cast("bigint").alias("missing"))
+    there, missing = records.counted_records(s.spark, f"{root}/lines"), records.counted_records(s.spark, f"{root}/none")
+    return there.join(missing.withColumnRenamed("n", "missing"), F.lit(True))
 
 
 @q("s5_raw_layout", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS target, count(*) AS n FROM orders GROUP BY ALL")
@@ -113,3 +114,67 @@ def _(s: Star, root: str) -> DataFrame:
     for _ in range(2):
         counters.run_available(stream_of(s.spark, s.sf_dir, "events").select("event_id"), counters.parquet_per_batch(f"{root}/out"), f"{root}/state", "append").awaitTermination()
     return s.spark.read.parquet(f"{root}/out").agg(F.count("*").alias("rows"), F.count_distinct("batch").alias("batches"))
+
+
+# --- tables that grow by loads -------------------------------------------------------------------------------------
+
+_SEQUENCE = "(number * 7919) % 1000003"
+
+
+@q("p3_w5_first_seen_over_loads", f"""SELECT login, arg_min(avatar_url || '?v=' || number, {_SEQUENCE}) AS avatar_url, arg_min(user_type, {_SEQUENCE}) AS user_type, min({_SEQUENCE}) AS sequence FROM prs
+    WHERE login IS NOT NULL GROUP BY login""")
+def _(s: Star, root: str) -> DataFrame:
+    """Users over three loads, each given twice. What a later load saw earlier wins; the order of sights is not that of the values."""
+    users = StoredDimension(s.spark, root, "login string, avatar_url string, user_type string, sequence long", "login", "sequence")
+    seen = s.prs.select("login", F.concat("avatar_url", F.lit("?v="), "number").alias("avatar_url"), "user_type", F.expr(_SEQUENCE).alias("sequence"), "number")
+    for load in (0, 1, 2, 0, 1, 2):
+        users.load(seen.where(F.col("number") % 3 == load), load)
+    return users.read()
+
+
+@q("p2_first_seen_repos_over_loads", f"SELECT repo_id, arg_min(title || ' ' || number, {_SEQUENCE}) AS description, min({_SEQUENCE}) AS sequence FROM prs GROUP BY repo_id")
+def _(s: Star, root: str) -> DataFrame:
+    repos = StoredDimension(s.spark, root, "repo_id string, description string, sequence long", "repo_id", "sequence")
+    seen = s.prs.select("repo_id", F.concat_ws(" ", "title", "number").alias("description"), F.expr(_SEQUENCE).alias("sequence"), "number")
+    for load in (1, 0):
+        repos.load(seen.where(F.col("number") % 2 == load), load)
+    return repos.read()
+
+
+@q("a19_new_over_years", """SELECT repo_id, count(*) AS newcomers FROM (SELECT repo_id, login, min(ts) AS first_at FROM events_long
+    WHERE metric_key IN ('prs_opened', 'reviews_submitted') AND year(ts) <= 1997 GROUP BY ALL) WHERE year(first_at) = 1997 GROUP BY repo_id""")
+def _(s: Star, root: str) -> DataFrame:
+    """People new to a repository in 1997, against the years before, whose loads come in any order."""
+    pairs = StoredDimension(s.spark, root, "pair string, repo_id string, ts timestamp_ntz", "pair", "ts")
+    events = s.events("prs_opened", "reviews_submitted").select(F.concat_ws(" ", "repo_id", "login").alias("pair"), "repo_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    for load, year in enumerate((1997, 1995, 1996)):
+        pairs.load(events.where(F.year("ts") == year), load)
+    new = new_in_year(pairs.read().withColumn("_key", F.struct("pair", "repo_id")), 1997, "_key", "ts")
+    return new.groupBy(F.col("_key.repo_id").alias("repo_id")).agg(F.count("*").alias("newcomers"))
+
+
+@q("s5_s13_year_partitions", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, 1 AS folders FROM orders
+    WHERE year(o_orderdate) IN (1995, 1996) AND (year(o_orderdate) <> 1996 OR o_orderstatus = 'F') GROUP BY ALL""")
+def _(s: Star, root: str) -> DataFrame:
+    """All years are written, 1996 is written again with fewer rows, and two years are read: each from the files of one folder."""
+    orders = s.source("orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("year"))
+    records.write_years(orders, f"{root}/orders")
+    records.write_years(orders.where("year = 1996 AND o_orderstatus = 'F'"), f"{root}/orders")
+    rows = records.read_years(s.spark, f"{root}/orders", 1995, 1996).withColumn("folder", F.regexp_extract(F.input_file_name(), "/(year=[^/]+)/", 1))
+    return rows.groupBy("year").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.count_distinct("folder").cast("int").alias("folders"))
+
+
+@q("s13_stored_years", "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) >= 2000")
+def _(s: Star, root: str) -> DataFrame:
+    records.write_years(s.source("orders").select("o_orderkey", F.year("o_orderdate").alias("year")), f"{root}/orders")
+    return records.stored_years(s.spark, f"{root}/orders")
+
+
+@q("s7_j1_bucketed_first_review", "SELECT p.repo_id, p.number, count(*) AS reviews, min(submitted_at) AS first_review FROM prs p JOIN reviews r ON p.repo_id = r.repo_id AND p.number = r.number GROUP BY ALL")
+def _(s: Star, root: str) -> DataFrame:
+    """Pull requests and reviews stored in buckets of (repo_id, number): their join and its grouping move no row."""
+    keys = ["repo_id", "number"]
+    records.write_bucketed(s.prs.select(*keys, "login", "created_at"), f"{root}/prs", keys)
+    records.write_bucketed(s.reviews.select(*keys, "submitted_at"), f"{root}/reviews", keys)
+    prs, reviews = (records.read_bucketed(s.spark, f"{root}/{t}", keys) for t in ("prs", "reviews"))
+    return prs.select(*keys).join(reviews, keys).groupBy(*keys).agg(F.count("*").alias("reviews"), F.min("submitted_at").alias("first_review"))

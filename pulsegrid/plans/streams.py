@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from ..streaming import commits, counters
 from .star import oracle
 
@@ -18,15 +17,8 @@ ORACLES: dict[str, str] = {}
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared place the session names; a local one only where a local session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    return f"file://{tempfile.mkdtemp(prefix='pulsegrid-stream-')}"
+    """A fresh folder in the shared place, deleted with its scope."""
+    return scratch.new_folder(spark, "stream")
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,11 +62,37 @@ def count_records(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where("trim(value) <> ''").count() if exists(spark, path) else 0
 
 
+def counted_records(spark: SparkSession, path: str) -> DataFrame:
+    """count_records as a table of one row, n."""
+    lines = spark.read.text(path) if exists(spark, path) else spark.createDataFrame([], "value string")
+    return lines.agg(F.count_if(F.trim("value") != "").alias("n"))
+
+
 def write_raw(df: DataFrame, root: str, mode: str = "append") -> None:
     """Hive layout root/year=/source=/target=: readers prune by the folders."""
     df.write.mode(mode).partitionBy("year", "source", "target").json(root)
 
 
+def write_years(df: DataFrame, root: str) -> None:
+    """Parquet by year: only the years that df has are replaced, the others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(root)
+
+
+def read_years(spark: SparkSession, root: str, *wanted: int) -> DataFrame:
+    """The rows of the wanted years (all, if none is named): the filter prunes folders, files of other years are not opened."""
+    df = spark.read.parquet(root)
+    return df.where(F.col("year").isin(*wanted)) if wanted else df
+
+
+def stored_years(spark: SparkSession, root: str, first: int = 2000, last: int = 2100) -> DataFrame:
+    """The years that have a folder, newest first: a listing, no file is read. Other folders are passed over; a missing root has none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [x.getPath().getName().removeprefix("year=") for x in fs.listStatus(p) if x.isDirectory()] if fs.exists(p) else []
+    found = sorted((int(n) for n in names if n.isdigit() and first <= int(n) <= last), reverse=True)
+    return spark.createDataFrame([(y,) for y in found], "year int")
+
+
 def repo_from_file(column: Column) -> Column:
     """owner/name from a file name owner__name.ext."""
     return F.regexp_replace(F.regexp_replace(column, r"\.[^.]+$", ""), "__", "/")
@@ -79,6 +107,31 @@ def write_table(df: DataFrame, path: str, keys: list[str], mode: str = "overwrit
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+BUCKETS = 64
+
+
+def _bucket_table(path: str) -> str:
+    return "bucketed_" + hashlib.sha256(path.encode()).hexdigest()[:32]
+
+
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """A curated table in buckets of its keys, sorted in each: joins and groupings on the keys need no shuffle. One file a bucket."""
+    name = _bucket_table(path)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The table of write_bucketed, also in another session: the folder is named to the catalog again where it is not known."""
+    name = _bucket_table(path)
+    if not spark.catalog.tableExists(name):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        by = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_document(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A metric family as JSON in one file: for report-sized results."""
     df.coalesce(1).write.mode(mode).json(path)
