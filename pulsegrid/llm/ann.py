@@ -53,9 +53,11 @@ def balanced_centroids(x: np.ndarray, n: int) -> np.ndarray:
 class CentroidGraph:
     """Centroids linked to their nearest ones, those that count them among theirs, and the next in the order of splitting (so all are connected)."""
 
-    def __init__(self, centers: np.ndarray, links: int = 16, entries: int = 32):
+    def __init__(self, centers: np.ndarray, points: np.ndarray, links: int = 16, entries: int = 32):
         n = len(centers)
         self.centers, self.square = centers, (centers**2).sum(axis=1)
+        # ratios are of this distance at least: a query on top of a centroid (of copies) is near others too
+        self.unit = float(self._to(points[:2048]).min(axis=1).mean())
         near = [np.argsort(self._to(centers[i : i + 1])[0], kind="stable")[1 : links + 1] for i in range(n)]
         linked: list[set[int]] = [set(x.tolist()) for x in near]
         for i, x in enumerate(near):
@@ -71,8 +73,11 @@ class CentroidGraph:
     def _to(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + self.square - 2 * (x @ self.centers.T), 0))
 
+    def reach(self, nearest: np.ndarray, ratio: float) -> np.ndarray:
+        return np.maximum(nearest, self.unit) * (1 + ratio)
+
     def search(self, x: np.ndarray, ratio: float, least: int = 8) -> np.ndarray:
-        """Distances to the centroids that the search met, infinite for the others: it goes on from all within `1 + ratio` times the nearest, and from the `least` nearest."""
+        """Distances to the centroids that the search met, infinite for the others: it goes on from all within reach of the nearest, and from the `least` nearest."""
         n, k = len(x), len(self.centers)
         square = (x**2).sum(axis=1)
         far = np.full((n, k), np.inf, np.float32)
@@ -85,7 +90,7 @@ class CentroidGraph:
                 r, c = rows[i : i + _PAIRS_AT_ONCE], nodes[i : i + _PAIRS_AT_ONCE]
                 d = square[r] + self.square[c] - 2 * np.einsum("ij,ij->i", x[r], self.centers[c])
                 far[r, c] = np.sqrt(np.maximum(d, 0))
-            within = np.maximum(far.min(axis=1) * (1 + ratio), np.partition(far, min(least, k) - 1, axis=1)[:, min(least, k) - 1])
+            within = np.maximum(self.reach(far.min(axis=1), ratio), np.partition(far, min(least, k) - 1, axis=1)[:, min(least, k) - 1])
             rows, nodes = np.nonzero((far <= within[:, None]) & ~done & np.isfinite(far))
             if not len(rows):
                 return far
@@ -176,9 +181,9 @@ def measured_ratio(graph: CentroidGraph, askers: np.ndarray, needed: list[tuple[
     if not needed:
         return 0.0
     far = graph._to(askers)
-    nearest = far.min(axis=1)
-    ratios = np.sort([far[a, lists].min() / max(nearest[a], 1e-9) - 1 for a, lists in needed])
-    return float(ratios[math.ceil(recall * len(ratios)) - 1]) + 1e-6
+    unit = np.maximum(graph.reach(far.min(axis=1), 0.0), 1e-9)
+    ratios = np.sort([far[a, lists].min() / unit[a] - 1 for a, lists in needed])
+    return max(float(ratios[math.ceil(recall * len(ratios)) - 1]), 0.0) + 1e-6
 
 
 def nearest(
@@ -211,7 +216,9 @@ def nearest(
     sample = bounded_sample(rows, "vec_id", sample_rows).toPandas()  # sample_rows at most
     s_v = np.array(sample["v"].tolist(), float).reshape(-1, d)
     n_lists = 1 << max(0, math.ceil(math.log2(min(most_lists, max(1, n / list_rows), max(1, len(s_v) / 8)))))
-    graph = CentroidGraph(balanced_centroids(_points(s_v, longest), n_lists))
+    points = _points(s_v, longest)
+    graph = CentroidGraph(balanced_centroids(points, n_lists), points)
+    del points, s_v, sample
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -254,7 +261,7 @@ def nearest(
                 near = np.argsort(far, axis=1, kind="stable")
                 sorted_far = np.take_along_axis(far, near, 1)
                 held = np.cumsum(first[near], axis=1) - first[near]  # rows in the lists before
-                take = (sorted_far <= sorted_far[:, :1] * (1 + ratio)) | (held <= 2 * k)
+                take = (sorted_far <= graph.reach(sorted_far[:, :1], ratio)) | (held <= 2 * k)
                 take &= size[near] > 0
                 a, t = np.nonzero(take)
                 t = near[a, t]
