@@ -194,8 +194,6 @@ BLOCKED_LABELS = ("spam-farm", "casino-win", "adult-x", "ads-track", "free-bets"
 TRUSTED_LABELS = ("www",)
 
 
-
-
 def _url_oracle(rounds: int = 20) -> str:
     """The same rules and propagation with one materialised step per round."""
     az, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -206,15 +204,16 @@ def _url_oracle(rounds: int = 20) -> str:
         fits = f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN"
         cases["rule"] += f" {fits} '{rule}'"
         cases["verdict"] += f" {fits} '{verdict}'"
+    start = {"t": "CAST(good AS DOUBLE)", "d": "CAST(bad AS DOUBLE)", "r": "CAST(bad AS DOUBLE)"}
     steps = []
-    for name, seed, edges in (("t", "good", "walk_t"), ("d", "bad", "walk_d")):
-        steps.append(f"{name}0 AS MATERIALIZED (SELECT host, seed, seed AS score FROM (SELECT host, CASE WHEN {seed} THEN 1.0::DOUBLE / (SELECT count(*) FILTER ({seed}) FROM mk) ELSE 0.0::DOUBLE END AS seed FROM mk))")
+    for name, first in start.items():
+        steps.append(f"{name}0 AS MATERIALIZED (SELECT host, {first} AS seed, {first} AS score FROM mk)")
         for k in range(rounds):
+            new = "CASE WHEN seed = 1 THEN 1 ELSE 0.85 * coalesce(came, 0) END" if name == "r" else "0.85 * coalesce(came, 0) + 0.15 * seed"
             steps.append(
-                f"{name}{k + 1} AS MATERIALIZED (SELECT host, seed, 0.85 * coalesce(came, 0) + 0.15 * seed AS score FROM {name}{k} "
-                f"LEFT JOIN (SELECT dst AS host, sum(score * share) AS came FROM {name}{k} JOIN {edges} ON host = src GROUP BY 1) USING (host))"
+                f"{name}{k + 1} AS MATERIALIZED (SELECT host, seed, {new} AS score FROM {name}{k} "
+                f"LEFT JOIN (SELECT dst AS host, sum(score * share) AS came FROM {name}{k} JOIN walk_{name} ON host = src GROUP BY 1) USING (host))"
             )
-        steps.append(f"{name} AS (SELECT host, coalesce(score / nullif((SELECT sum(score) FROM {name}{rounds}), 0), 0) AS score FROM {name}{rounds})")
     return rf"""
     WITH pg AS (
         SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{az}', '{low}') AS host,
@@ -226,11 +225,14 @@ def _url_oracle(rounds: int = 20) -> str:
         WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
     hs AS (SELECT host FROM pg WHERE host <> '' UNION SELECT src FROM ed UNION SELECT dst FROM ed),
     mk AS MATERIALIZED (SELECT host, {has(BLOCKED_LABELS)} AS bad, NOT {has(BLOCKED_LABELS)} AND {has(TRUSTED_LABELS)} AS good FROM hs),
-    et AS (SELECT ed.* FROM ed JOIN mk ON host = src WHERE NOT bad),
+    et AS (SELECT ed.* FROM ed JOIN mk a ON a.host = src JOIN mk b ON b.host = dst WHERE NOT a.bad AND NOT b.bad),
     walk_t AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM et),
     walk_d AS MATERIALIZED (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM ed),
+    walk_r AS MATERIALIZED (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ed),
     {", ".join(steps)},
-    v AS (SELECT host, CASE WHEN d.score * (SELECT count(*) FROM mk) >= 1 AND d.score > t.score THEN 'block' ELSE 'allow' END AS host_verdict FROM t JOIN d USING (host)),
+    v AS (
+        SELECT host, CASE WHEN r{rounds}.seed = 1 OR d{rounds}.score > t{rounds}.score AND r{rounds}.score >= 0.2 THEN 'block' ELSE 'allow' END AS host_verdict
+        FROM t{rounds} JOIN d{rounds} USING (host) JOIN r{rounds} USING (host)),
     j AS (SELECT page_id, host, path, CASE {cases["rule"]} END AS rule, CASE {cases["verdict"]} END AS rule_verdict FROM pg)
     SELECT page_id, host, path, rule, coalesce(rule_verdict, host_verdict, 'allow') AS verdict FROM j LEFT JOIN v USING (host)
     """

@@ -1,12 +1,17 @@
 """URL filters: rules by host and path, and link-graph propagation for what no rule decides.
 
 Hosts are nodes. Edges are absolute links between hosts, weighted by the number of pages, and a host's own
-subdomain chain (m.site.example.org hangs on site.example.org). Trust starts at trusted hosts and follows links
-(personalised PageRank), but not out of blocked hosts; distrust starts at blocked hosts and follows links backwards, to those who link
-there. Blocked seeds are blocked; another host is blocked when its distrust exceeds `block_at` times its trust. For this both
-are taken as masses that start with one unit at every seed: neither the number of hosts nor that of seeds is in
-them, so rows that have no path to a host cannot change its verdict. Links into blocked hosts take no share of
-that trust: what they took would be lost there.
+subdomain chain (m.site.example.org hangs on site.example.org). Three scores walk the graph together:
+
+- trust starts at trusted hosts and follows links (personalised PageRank), but neither out of nor into blocked hosts: what those
+  took would be lost there;
+- distrust starts at blocked hosts and follows links backwards, to those who link there;
+- risk is the damped chance that a walk along a host's own links meets a blocked host.
+
+Blocked seeds are blocked. Another host is blocked when its distrust exceeds `block_at` times its trust and its risk is `risk_at` at
+least: one bad link among many does not block a host that no trust reaches. Trust and distrust are masses that start with one unit at
+every seed, risk depends on what a host leads to: the number of hosts or seeds is in none of them, so rows that have
+no path to a host cannot change its verdict.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: (verdict, host and path); a rule fits its host and all subdomains if the path starts with the rule's.
 Rule = tuple[str, str]
@@ -58,55 +63,80 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Personalised PageRank: nodes (host, seed), edges (src, dst, weight) -> (host, mass, score); scores sum to 1.
+def seeds_of_rules(host: Column, rules: list[Rule]) -> tuple[Column, Column]:
+    """Predicates (trusted, blocked) on hosts that a rule allows or blocks with all their paths."""
+    whole = lambda wanted: [text.removesuffix("/") for verdict, text in rules if verdict == wanted and text.endswith("/") and text.count("/") == 1]
+    fits = lambda hosts: reduce(lambda a, b: a | b, [(host == h) | host.endswith("." + h) for h in hosts], F.lit(False))
+    return fits(whole("allow")), fits(whole("block"))
 
-    The mass is what arrives of the seeds given, before scaling: it adds up over seeds and does not depend on hosts that
-    have no path here.
 
-    What reaches a node without links goes back to the seeds. The number of rounds is fixed: the error left is below
-    damping**rounds. A node with many links meets them in map-side sums. Without seeds every score is 0.
+def propagate(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """nodes (host, good, bad as booleans), edges (src, dst, weight) -> host, good, bad, trust, distrust, risk.
+
+    The three scores are columns of one state and their shares columns of one table of arcs, so a round is one join and one
+    grouping. The number of rounds is fixed: the error left is below damping**rounds. A node with many links meets
+    them in map-side sums. What reaches a node without links is lost there.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    walk = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "url-walk")
-    state = nodes.select("host", "seed", F.col("seed").alias("score"))
-    for r in range(rounds):
-        came = state.join(walk, state["host"] == walk["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("came"))
-        state = state.join(came, state["host"] == came["dst"], "left").select("host", "seed", (damping * F.coalesce("came", F.lit(0.0)) + (1 - damping) * F.col("seed")).alias("score"))
-        if r % 4 == 3 or r == rounds - 1:
-            state = materialize(state, "url-rank")
-    total = state.agg(F.sum("score").alias("total"))  # lost at dead ends: spread over the seeds by scaling
-    return state.crossJoin(F.broadcast(total)).select("host", F.col("score").alias("mass"), F.coalesce(F.col("score") / F.nullif("total", F.lit(0.0)), F.lit(0.0)).alias("score"))
-
-
-def judge_hosts(pages: DataFrame, trusted: Column, blocked: Column, url_col: str = "url", html_col: str = "html", block_at: float = 1.0, rounds: int = 20) -> DataFrame:
-    """(host, trust, distrust, verdict) of every host that has a page or a link. trusted, blocked: predicates on host."""
+    bad = nodes.where("bad").select(F.col("host").alias("_bad"))
+    marked = edges.join(bad, F.col("src") == F.col("_bad"), "left").withColumn("_from", F.col("_bad").isNotNull()).drop("_bad")
+    marked = marked.join(bad, F.col("dst") == F.col("_bad"), "left").withColumn("keeps", ~F.col("_from") & F.col("_bad").isNull()).drop("_bad", "_from")
+    marked = materialize(marked, "url-marked")
+    kept = F.when(F.col("keeps"), F.col("weight"))
+    out = marked.groupBy("src").agg(F.sum("weight").alias("out"), F.sum(kept).alias("out_kept"))
+    into = marked.groupBy("dst").agg(F.sum("weight").alias("into"))
+    shared = marked.join(out, "src").join(into, "dst")
+    none = F.lit(0.0)
+    forth = shared.where("keeps").select(F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("weight") / F.col("out_kept")).alias("t"), none.alias("d"), none.alias("r"))
+    back = shared.select(F.col("dst").alias("at"), F.col("src").alias("to"), none.alias("t"), (F.col("weight") / F.col("into")).alias("d"), (F.col("weight") / F.col("out")).alias("r"))
+    arcs = materialize(forth.unionByName(back).groupBy("at", "to").agg(*[F.sum(c).alias(c) for c in "tdr"]), "url-arcs")
+    discard(marked)
+
+    unit = lambda flag: F.col(flag).cast("double")
+    state = nodes.select("host", "good", "bad", unit("good").alias("trust"), unit("bad").alias("distrust"), unit("bad").alias("risk"))
+    before = None
+    for k in range(rounds):
+        sums = [F.sum(F.col(score) * F.col(share)).alias(f"_{share}") for score, share in (("trust", "t"), ("distrust", "d"), ("risk", "r"))]
+        came = state.join(arcs, state["host"] == arcs["at"]).groupBy("to").agg(*sums)
+        moved = lambda share: damping * F.coalesce(F.col(f"_{share}"), none)
+        state = state.join(came, state["host"] == came["to"], "left").select(
+            "host", "good", "bad", (moved("t") + (1 - damping) * unit("good")).alias("trust"), (moved("d") + (1 - damping) * unit("bad")).alias("distrust"),
+            F.when(F.col("bad"), 1.0).otherwise(moved("r")).alias("risk"),
+        )
+        if k % 4 == 3 or k == rounds - 1:
+            state, old = materialize(state, "url-state"), before
+            before = state
+            if old:
+                discard(old)
+    discard(arcs)
+    return state
+
+
+def judge_hosts(
+    pages: DataFrame, trusted: Column, blocked: Column, url_col: str = "url", html_col: str = "html", block_at: float = 1.0, risk_at: float = 0.2, rounds: int = 20
+) -> DataFrame:
+    """(host, trust, distrust, risk, verdict) of every host that has a page or a link. trusted, blocked: predicates on host."""
     edges = materialize(host_edges(pages, url_col, html_col), "url-edges")
     hosts = pages.select(url_host(F.col(url_col)).alias("host")).unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).where("host <> ''").distinct()
     marked = materialize(hosts.select("host", blocked.alias("bad"), (trusted & ~blocked).alias("good")), "url-hosts")
-    seeds = lambda flag: marked.select("host", F.col(flag).cast("double").alias("seed"))
-    passing = edges.withColumn("host", F.col("src")).where(~blocked).drop("host")  # a blocked host passes no trust on
-    trust = propagate(seeds("good"), passing, rounds=rounds).select("host", F.col("score").alias("trust"))
-    kept = passing.withColumn("host", F.col("dst")).where(~blocked).drop("host")
-    support = propagate(seeds("good"), kept, rounds=rounds).select("host", F.col("mass").alias("for"))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(seeds("bad"), back, rounds=rounds).select("host", F.col("mass").alias("against"), F.col("score").alias("distrust"))
-    blocks = blocked | (F.col("against") > block_at * F.col("for"))
-    return trust.join(support, "host").join(distrust, "host").select("host", "trust", "distrust", F.when(blocks, "block").otherwise("allow").alias("verdict"))
+    scored = propagate(marked, edges, rounds=rounds)
+    discard(edges, marked)
+    blocks = F.col("bad") | ((F.col("distrust") > block_at * F.col("trust")) & (F.col("risk") >= risk_at))
+    return scored.select("host", "trust", "distrust", "risk", F.when(blocks, "block").otherwise("allow").alias("verdict"))
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[Rule], trusted: Column, blocked: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_at: float = 1.0, rounds: int = 20
+    pages: DataFrame, rules: list[Rule], trusted: Column, blocked: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_at: float = 1.0, risk_at: float = 0.2, rounds: int = 20
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
-    The longest fitting rule decides; otherwise the host's propagated scores do. Null urls and urls without ://
+    The longest fitting rule decides; otherwise the host's propagated scores do, with the hosts of whole-host rules among the seeds. Null urls and urls without ://
     have an empty host and path and are allowed. Null html has no links. Repeated rows are judged each; an empty
     table gives no rows. Other columns are not read.
     """
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     rule, verdict = rule_columns(host, path, rules)
-    judged = materialize(judge_hosts(pages, trusted, blocked, url_col, html_col, block_at, rounds).select("host", F.col("verdict").alias("host_verdict")), "url-verdicts")
+    allowed, barred = seeds_of_rules(F.col("host"), rules)
+    judged = materialize(judge_hosts(pages, trusted | allowed, blocked | barred, url_col, html_col, block_at, risk_at, rounds).select("host", F.col("verdict").alias("host_verdict")), "url-verdicts")
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("rule_verdict"))
     return rows.join(judged, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import chat_tools, decontaminate, url_filter
 from pulsegrid.llm.chat_tools import Argument
-from pulsegrid.llm.queries import BLOCKED_LABELS, QUERIES, TRUSTED_LABELS, URL_RULES
+from pulsegrid.llm.queries import BLOCKED_LABELS, ORACLES, QUERIES, TRUSTED_LABELS, URL_RULES
 
 from .conftest import MESSY, documents
 
@@ -211,19 +211,29 @@ def plain_rule(host, path):
     return best
 
 
-def plain_rank(nodes, seeds, edges, rounds=20, damping=0.85):
-    seed = {n: 1 / len(seeds) if n in seeds else 0.0 for n in nodes}
-    out = {}
-    for (a, _), w in edges.items():
-        out[a] = out.get(a, 0) + w
-    score = dict(seed)
-    for _ in range(rounds):
-        came = dict.fromkeys(nodes, 0.0)
-        for (a, b), w in edges.items():
-            came[b] += score[a] * w / out[a]
-        score = {n: damping * came[n] + (1 - damping) * seed[n] for n in nodes}
-    total = sum(score.values())
-    return {n: s / total if total else 0.0 for n, s in score.items()}
+def plain_scores(nodes, good, bad, edges, rounds=20, damping=0.85):
+    """trust, distrust and risk of every node, one edge at a time."""
+
+    def shares(pairs, by):
+        total = {}
+        for e, w in pairs.items():
+            total[e[by]] = total.get(e[by], 0) + w
+        return {e: w / total[e[by]] for e, w in pairs.items()}
+
+    along = shares({e: w for e, w in edges.items() if not {*e} & bad}, 0)
+    back = {(b, a): x for (a, b), x in shares(edges, 1).items()}
+    leads = {(b, a): x for (a, b), x in shares(edges, 0).items()}
+
+    def walk(seeds, share, fixed=False):
+        score = {n: float(n in seeds) for n in nodes}
+        for _ in range(rounds):
+            came = dict.fromkeys(nodes, 0.0)
+            for (a, b), x in share.items():
+                came[b] += score[a] * x
+            score = {n: 1.0 if fixed and n in seeds else damping * came[n] + (0 if fixed else (1 - damping) * (n in seeds)) for n in nodes}
+        return score
+
+    return walk(good, along), walk(bad, back), walk(bad, leads, fixed=True)
 
 
 def test_url_rules_and_propagation(spark):
@@ -253,12 +263,12 @@ def test_url_rules_and_propagation(spark):
     nodes = {plain_host_path(u)[0] for _, u, _ in pages} - {""} | {x for e in edges for x in e}
     bad = {n for n in nodes if set(n.split(".")) & set(BLOCKED_LABELS)}
     good = {n for n in nodes if "www" in n.split(".")} - bad
-    passing = {e: w for e, w in edges.items() if e[0] not in bad}
-    trust, distrust = plain_rank(nodes, good, passing), plain_rank(nodes, bad, {(b, a): w for (a, b), w in edges.items()})
+    trust, distrust, risk = plain_scores(nodes, good, bad, edges)
     scored = {r["host"]: r for r in url_filter.judge_hosts(df.drop("host"), url_filter.any_label(host, TRUSTED_LABELS), url_filter.any_label(host, BLOCKED_LABELS)).collect()}
     assert set(scored) == nodes
     for n in nodes:
-        assert scored[n]["trust"] == pytest.approx(trust[n]) and scored[n]["distrust"] == pytest.approx(distrust[n])
+        assert (scored[n]["trust"], scored[n]["distrust"], scored[n]["risk"]) == pytest.approx((trust[n], distrust[n], risk[n]))
+        assert scored[n]["verdict"] == ("block" if n in bad or (distrust[n] > trust[n] and risk[n] >= 0.2) else "allow")
     assert url_filter.filter_urls(df.where("false"), URL_RULES, F.lit(False), F.lit(False)).count() == 0
 
 
@@ -281,6 +291,46 @@ def test_a_farm_of_a_third_of_all_hosts_changes_no_other_verdict(spark):
     assert b["www.good.example.org"] == b["friend.example.org"] == b["plain.example.org"] == "allow"
 
 
+LINKS = "https://{}/a"
+
+
+def linked(spark, rows):
+    html = lambda hosts: " ".join(f'<a href="https://{h}/x">' for h in hosts)
+    return spark.createDataFrame([(i, LINKS.format(h), html(to)) for i, (h, *to) in enumerate(rows)], "page_id long, url string, html string")
+
+
+def test_one_bad_link_of_many_blocks_no_host(spark, tmp_path):
+    others = [f"h{i}.example.org" for i in range(20)]
+    rows = [("news.example.org", "casino-win.example.net", *others), ("reader.example.org", "news.example.org"), ("fan.example.org", "casino-win.example.net"), ("fan2.example.org", "fan.example.org")]
+    rows += [("casino-win.example.net",), ("www.good.example.org", "friend.example.org"), ("friend.example.org", "www.good.example.org", "casino-win.example.net"), ("x.spam-farm.example.com", "news.example.org")]
+    pages = linked(spark, rows)
+    host = F.col("host")
+    got = {r["host"]: r["verdict"] for r in url_filter.judge_hosts(pages, url_filter.any_label(host, TRUSTED_LABELS), url_filter.any_label(host, BLOCKED_LABELS)).collect()}
+    blocked = {"casino-win.example.net", "x.spam-farm.example.com", "spam-farm.example.com", "fan.example.org", "fan2.example.org"}
+    assert {h for h, v in got.items() if v == "block"} == blocked & got.keys()
+    assert got["news.example.org"] == got["reader.example.org"] == got["friend.example.org"] == "allow"
+    # the registered SQL has the same rule
+    import duckdb
+
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    want = duckdb.sql(ORACLES["op6_url_link_graph"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet'")).fetchall()
+    have = QUERIES["op6_url_link_graph"](spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in have) == sorted((r[0], r[4]) for r in want)
+
+
+def test_rules_over_whole_hosts_are_seeds(spark):
+    pages = linked(spark, [("a.bad.example.org", "b.example.org"), ("b.example.org", "bad.example.org"), ("c.example.org", "fine.example.org"), ("fine.example.org", "c.example.org")])
+    rules = [("block", "bad.example.org/"), ("allow", "fine.example.org/"), ("block", "c.example.org/only")]
+    got = {r["host"]: r["verdict"] for r in url_filter.filter_urls(pages, rules, F.lit(False), F.lit(False)).collect()}
+    assert got == {"a.bad.example.org": "block", "b.example.org": "block", "c.example.org": "allow", "fine.example.org": "allow"}
+
+
+def test_very_long_urls_and_null_ids(spark):
+    rows = [(None, "https://x.example.org/" + "a" * 300_000, 'href="https://y.example.org"' * 20_000), (None, "https://" + "z" * 5_000 + "/q", None), (3, "", "")]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES, F.lit(False), F.lit(False)).collect()
+    assert sorted((len(r["host"]), len(r["path"]), r["verdict"]) for r in got) == [(0, 0, "allow"), (13, 300_001, "allow"), (5_000, 2, "allow")]
+
+
 def test_url_query_over_all_pages(spark, sf):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = QUERIES["op6_url_link_graph"](spark, sf).collect()
