@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and random-looking strings by a battery of randomness tests.
 
-Base kinds are plain patterns. The method adds spans of kind `random`: runs of key characters are given
-the smallest encoding that holds them; strings of one letter case are tested over their 26 letters, and a capital
+Base kinds are plain patterns. The method adds spans of kind `random`. Runs of key characters are cut at the signs that join a key to
+what stands next to it (`key=`, `?sig=`, `path/`, `name-`): parts between signs, and parts without the plain words at their ends, are
+candidates. A candidate is given the smallest encoding that holds it; strings of one letter case are tested over their 26 letters, and a capital
 followed by lower case is a word and not tested. Five tests ask whether a run looks like uniform draws from its
 alphabet: chi-squared on symbol counts, runs above and below the middle of the alphabet, serial correlation,
 counts of upper case, lower case, digits and signs, and the share of letters that are frequent in prose. Their
@@ -39,11 +40,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_RANDOM = 20
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
-LENGTH_CLASSES = (24, 32, 48, 64, 128)  # upper ends; longer runs share the last class
+#: The least length of a random string that is looked for: a parameter of scan_secrets. Shorter ones leave the tests little to see.
+LEAST = 18
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+LENGTH_CLASSES = (19, 24, 32, 48, 64, 128)  # upper ends; longer runs share the last class
 #: The share of genuine keys a class loses at least; longer runs give the tests more power and need less.
-NULL_REJECTION = (0.01, 0.01, 0.005, 0.005, 0.002, 0.002)
+NULL_REJECTION = (0.01, 0.01, 0.01, 0.005, 0.005, 0.002, 0.002)
 MOST_REJECTION = 0.05  # and at most
 FALSE_SHARE = 0.1  # of a class's reported runs
 BINS = 1000  # of p-values
@@ -61,7 +63,8 @@ ALPHABETS = (
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 _SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ALPHABETS]
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A capital followed by lower case, capitals alone, or words glued in camel case: never tested, and no candidate begins or ends with one.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[A-Za-z][a-z]+(?:[A-Z][a-z]{2,})+")
 _ONE_CASE = tuple({c: i for i, c in enumerate(a)} for a in (_LOWER, _UPPER))
 # letters of prose in a thousand, about the mean of English, German, French and Spanish
 _PROSE = dict(zip(_LOWER, (84, 14, 33, 46, 145, 13, 16, 29, 74, 4, 6, 45, 26, 80, 59, 23, 6, 68, 70, 69, 41, 12, 8, 3, 9, 6), strict=True))
@@ -76,7 +79,7 @@ _CANDIDATE[[ord(c) for c in _UPPER + _LOWER + _DIGITS + "+/_=-"]] = True
 def infer_encoding(run: str) -> tuple[str, dict[str, int]] | None:
     """The smallest alphabet that holds all characters; none for words and for runs outside every alphabet."""
     body = run.rstrip("=")
-    if len(body) < MIN_RANDOM or WORD.fullmatch(body):
+    if not body or WORD.fullmatch(body):
         return None
     chars = set(body)
     return next(((name, index) for name, allowed, index in _SETS if chars <= allowed), None)
@@ -142,7 +145,7 @@ def battery(run: str) -> float | None:
     """The combined p-value of a run under "uniform draws from its alphabet"; None if it is not tested."""
     body = run.rstrip("=")
     found = infer_encoding(run)
-    index = found[1] if found else next((i for i in _ONE_CASE if len(body) >= MIN_RANDOM and i.keys() >= set(body)), None)
+    index = found[1] if found else next((i for i in _ONE_CASE if body and i.keys() >= set(body)), None)
     if index is None:
         return None
     symbols, k = np.array([index[c] for c in body]), len(index)
@@ -162,17 +165,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, p-value) of runs that no base span touches and that may be random: the p-value exceeds the lower bound of their class."""
+def candidates(run: str, least: int = LEAST) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run that may be a key of its own, those to try first in front.
+
+    Parts lie between `=` signs. A key may hold + and / or - and _, so a part is cut at either pair, and what is left loses the
+    words at its ends; after these, longest first, come the pieces between any signs. Padding belongs to the last part.
+    """
+    trimmed, pieces = set(), set()
+    for part in re.finditer(r"[^=]+", run):
+        for signs in ("-_", "+/"):
+            for seg in re.finditer(rf"[^{signs}]+", part[0]):
+                at = part.start() + seg.start()
+                spans = [(at + m.start(), at + m.end()) for m in re.finditer(r"[^+/_-]+", seg[0])]
+                pieces.update(spans)
+                others = [x for x in spans if not WORD.fullmatch(run[x[0] : x[1]])] or (spans if len(spans) == 1 else [])
+                if others:
+                    trimmed.add((others[0][0], others[-1][1]))
+    end = len(run.rstrip("="))
+    ordered = [x for group in (trimmed, pieces - trimmed) for x in sorted(group, key=lambda x: (x[0] - x[1], x[0]))]
+    return [(a, len(run) if b == end else b) for a, b in ordered if b - a >= least]
+
+
+def random_spans(text: str, known: list[tuple[int, int, int]], least: int = LEAST) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) of candidates that no base span touches and that may be random: the p-value exceeds the lower bound of their class.
+
+    Of candidates that overlap the first that may be random is taken.
+    """
     out = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in known):
+        if m.end() - m.start() < least:
             continue
-        p = battery(m[0])
-        if p is not None and p > NULL_REJECTION[length_class(b - a)]:
-            out.append((a, b, p))
-    return out
+        taken = [(s, e) for s, _, e in known]
+        for a, b in candidates(m[0], least):
+            a, b = m.start() + a, m.start() + b
+            if any(s < b and a < e for s, e in taken):
+                continue
+            p = battery(text[a:b])
+            if p is not None and p > NULL_REJECTION[length_class(b - a)]:
+                out.append((a, b, p))
+                taken.append((a, b))
+    return sorted(out)
 
 
 def length_class(length: int) -> int:
@@ -194,15 +226,15 @@ def cuts_of(counts: np.ndarray) -> list[float]:
     return out
 
 
-def _long_runs(texts: list[str]) -> np.ndarray:
-    """Which texts hold a run of MIN_RANDOM key characters: one vectorised look at the bytes."""
+def _long_runs(texts: list[str], least: int) -> np.ndarray:
+    """Which texts hold a run of so many key characters: one vectorised look at the bytes."""
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], _CANDIDATE[raw]]).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     begin = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
     out = np.zeros(len(texts), bool)
-    out[np.searchsorted(begin, start[end - start >= MIN_RANDOM], "right") - 1] = True
+    out[np.searchsorted(begin, start[end - start >= least], "right") - 1] = True
     return out
 
 
@@ -210,27 +242,33 @@ def _run_id(run: str) -> int:
     return int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        ids, texts = f["doc_id"].tolist(), [t or "" for t in f["text"].tolist()]
-        for a, b in chunks(texts):
-            base, runs = [], []
-            for t, long in zip(texts[a:b], _long_runs(texts[a:b]), strict=True):
-                low = t.lower() if not long else ""
-                # a base secret needs a key word, the access prefix, or a long run
-                spans = base_spans(t) if long or "AKIA" in t or any(k in low for k in KEYWORDS) else []
-                found = random_spans(t, spans) if long else []
-                base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                runs.append([{"start": s, "end": e, "p": p, "class": length_class(e - s), "run": _run_id(t[s:e])} for s, e, p in found])
-            yield pd.DataFrame({"doc_id": pd.array(ids[a:b], "Int64"), "base": base, "runs": runs})
+def _scan(least: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ids, texts = f["doc_id"].tolist(), [t or "" for t in f["text"].tolist()]
+            for a, b in chunks(texts):
+                base, runs = [], []
+                for t, long in zip(texts[a:b], _long_runs(texts[a:b], min(least, MIN_ACCESS)), strict=True):
+                    low = t.lower() if not long else ""
+                    # a base secret needs a key word, the access prefix, or a long run
+                    spans = base_spans(t) if long or "AKIA" in t or any(k in low for k in KEYWORDS) else []
+                    found = random_spans(t, spans, least) if long else []
+                    base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
+                    runs.append([{"start": s, "end": e, "p": p, "class": length_class(e - s), "run": _run_id(t[s:e])} for s, e, p in found])
+                yield pd.DataFrame({"doc_id": pd.array(ids[a:b], "Int64"), "base": base, "runs": runs})
+
+    return run
 
 
 SCAN_SCHEMA = "doc_id long, base array<struct<start: int, kind: int, end: int>>, runs array<struct<start: int, end: int, p: double, class: int, run: long>>"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
+    `least` is the length from which a random string is looked for; shorter ones are never reported, nor is a word (a
+    capital followed by lower case, or such words in camel case). Letters of one case are tested over 26 letters.
+
     A span is kind:start:end in code points, the end exclusive; an assignment's span is its whole match. A null
     text is empty: counts of 0, the digest of the empty text and no spans. Repeated rows are scanned each;
     an empty table gives no rows. Other columns are not read. The texts are read once; what is counted over all of them comes
@@ -238,7 +276,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = materialize(rows.mapInPandas(_scan, SCAN_SCHEMA), "secret-scan")
+    scanned = materialize(rows.mapInPandas(_scan(least), SCAN_SCHEMA), "secret-scan")
     distinct = scanned.where(F.size("runs") > 0).select(F.inline("runs")).select("class", "run", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).distinct()
     binned = distinct.groupBy("class", "bin").agg(F.count("*").alias("n")).toPandas()
     counts = np.zeros((len(NULL_REJECTION), BINS))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -124,6 +125,65 @@ def test_keys_survive_a_mostly_structured_corpus(spark):
     assert all(alone[i] == got[i] for i in alone)  # other rows do not change a verdict
 
 
+SHAPES = ("{}", "key={}", "https://x.y/z?sig={}&a=1", "svc-prod/{}", "s3://bucket-name/{}/part", "id_{}", "v1.{}", "{}==")
+
+
+def test_keys_are_found_by_whatever_stands_next_to_them():
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet in (letters, letters + "+/", letters + "-_"):
+        for n in (24, 40):
+            for shape in SHAPES:
+                hits = 0
+                for _ in range(100):
+                    key = "".join(rng.choice(alphabet) for _ in range(n))
+                    text = f"see {shape.format(key)} end"
+                    at = text.index(key)
+                    hits += any(min(b, at + n) - max(a, at) >= 0.8 * n for a, b, _ in secret_scan.random_spans(text, secret_scan.base_spans(text)))
+                assert hits >= 95, (alphabet[-2:], n, shape, hits)
+    short = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    assert sum(bool(secret_scan.random_spans(short(18), [])) for _ in range(100)) >= 95
+    assert not any(secret_scan.random_spans(short(17), []) for _ in range(100)) and any(secret_scan.random_spans(short(16), [], 16) for _ in range(9))
+
+
+def test_joined_words_are_no_keys():
+    rng = random.Random(12)
+    words = "time year people world school state family student group country problem company system program question government number point water history result change morning reason research teacher force education handler default manager factory builder request response async".split()
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    for make in ("-".join, "_".join, "/".join, lambda w: "_".join(w).upper(), lambda w: "".join(x.capitalize() for x in w), lambda w: "/".join(f"{x}={x}" for x in w)):
+        assert sum(bool(secret_scan.random_spans(make(some(4)), [])) for _ in range(300)) <= 3
+
+
+def plain_candidates(run, least):
+    """All spans between signs whose neighbours are signs or ends, kept by the rules one after another."""
+    body = run.rstrip("=")
+    ends = [-1, *[i for i, c in enumerate(body) if c in "=+/-_"], len(body)]
+    pieces = [(a + 1, b) for a, b in zip(ends, ends[1:], strict=False) if b > a + 1]
+    word = lambda x: bool(secret_scan.WORD.fullmatch(body[x[0] : x[1]]))
+    out = set(pieces)
+    for signs in ("+/", "-_"):
+        for i, first in enumerate(pieces):
+            for last in pieces[i:]:
+                inside = body[first[0] : last[1]]
+                if any(c in inside for c in "=+/-_" if c not in signs):
+                    continue
+                if word(first) or word(last):
+                    continue
+                # nothing but words of the same part may be left out on either side
+                before = [x for x in pieces if x[1] <= first[0] and not set(body[x[1] : first[0]]) & (set("=+/-_") - set(signs))]
+                after = [x for x in pieces if x[0] >= last[1] and not set(body[last[1] : x[0]]) & (set("=+/-_") - set(signs))]
+                if all(map(word, before)) and all(map(word, after)):
+                    out.add((first[0], last[1]))
+    return {(a, len(run) if b == len(body) else b) for a, b in out if b - a >= least}  # padding does not count
+
+
+def test_candidates_against_a_plain_version():
+    rng = random.Random(13)
+    for _ in range(2000):
+        run = "".join(rng.choice(["ab", "Cd", "x9", "K7q", "EF", "=", "/", "-", "_", "+", "=", "42"]) for _ in range(rng.randrange(1, 9))) + "=" * rng.randrange(3)
+        assert set(secret_scan.candidates(run, 3)) == plain_candidates(run, 3), run
+
+
 def test_cuts_against_a_plain_step_up():
     rng = np.random.default_rng(12)
     classes = len(secret_scan.NULL_REJECTION)
@@ -131,7 +191,7 @@ def test_cuts_against_a_plain_step_up():
     counts = np.zeros((classes, secret_scan.BINS))
     for k in range(classes):
         genuine = rng.random(3000)
-        structured = rng.beta(0.15, 1 + 3 * k, (0, 500, 3000, 30_000, 200_000, 5000)[k])
+        structured = rng.beta(0.15, 1 + 3 * k, (0, 500, 3000, 30_000, 200_000, 5000, 800)[k])
         p = np.concatenate([genuine, structured])
         drawn.append(p[p > secret_scan.NULL_REJECTION[k]])
         np.add.at(counts[k], (drawn[k] * secret_scan.BINS).astype(int), 1)
