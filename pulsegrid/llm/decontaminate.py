@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds (2-grams, also with a gap), then Smith-Waterman alignment.
 
-Test items come in blocks of bounded size (by their n-grams), so what tasks receive is bounded however
+Test items come in blocks of bounded size (by their words), so what tasks receive is bounded however
 large the benchmark is; each block is held against the whole corpus.
 
-1. One pass over the texts counts, for every n-gram of the block, the documents that hold it.
-2. Seeds of an item are its rare n-grams: held by at most `RARE_SHARE` of all documents or by `RARE_DOCS`,
+1. One pass over the texts counts, for every word pair of the block, the documents that hold it, as neighbours or with one word between.
+   A local alignment that reaches half of a perfect score holds such a pair: without one every two matches pay for a change
+   between them, and only items whose words all stand one apart still reach it.
+2. Seeds of an item are its rare pairs: held by at most `RARE_SHARE` of all documents or by `RARE_DOCS`,
    or at most four times as often as the item's own median, so that an item keeps its seeds even if a
    third of the corpus copies it.
-3. A second pass looks seeds up, gathers the diagonals they suggest into windows, aligns each window with
-   the item's words, and keeps the best score. No text is shuffled, so no key can be hot.
+3. A second pass looks seeds up, gathers the diagonals they suggest into windows, aligns each window that holds enough of
+   the item's words with them, and keeps the best score. No text is shuffled, so no key can be hot.
 
 The score is the local alignment score over that of a perfect copy: words equal +1, different or skipped
 -0.5. Words are lower-cased runs without ASCII punctuation.
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import materialize, ship, without
 from .hashing import _PLACE, chunks, hash_words, mix
 
-N = 3
 THRESHOLD = 0.5
 RARE_SHARE, RARE_DOCS = 0.001, 50
+SPREAD = (1, 2)  # how far apart the words of a seed may stand in a text
 BLOCK_WORDS = 1_000_000  # words of test items per block
 _PUNCTUATION = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
@@ -43,15 +45,16 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, begin, "left")
 
 
-def grams_of(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of word n-grams inside texts, and the word at which each begins."""
-    n = max(0, len(words) - N + 1)
-    rolled = np.zeros(n, np.uint64)
-    for j in range(N):
-        rolled += words[j : n + j] * _PLACE[j]
+def grams_of(words: np.ndarray, begin: np.ndarray, steps: tuple[int, ...] = (1,)) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ordered word pairs inside texts, as many words apart as a step says, and the word at which each begins."""
     owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    at = np.flatnonzero(owner[:n] == owner[N - 1 : n + N - 1]) if n else np.zeros(0, np.int64)
-    return mix(rolled[at]), at
+    grams, starts = [], []
+    for step in steps:
+        n = max(0, len(words) - step)
+        at = np.flatnonzero(owner[:n] == owner[step:]) if n else np.zeros(0, np.int64)
+        grams.append(mix(words[at] * _PLACE[0] + words[at + step] * _PLACE[1]))
+        starts.append(at)
+    return np.concatenate(grams), np.concatenate(starts)
 
 
 def align(item: np.ndarray, window: np.ndarray, penalty: float = 0.5) -> tuple[float, int]:
@@ -90,7 +93,7 @@ def _count_grams(grams: np.ndarray):
             texts = f["text"].tolist()
             for a, b in chunks(texts):
                 words, begin = words_of(texts[a:b])
-                found, at = grams_of(words, begin)
+                found, at = grams_of(words, begin, SPREAD)
                 where = np.searchsorted(grams, found)
                 where[where == len(grams)] = 0
                 hit = grams[where] == found
@@ -112,7 +115,7 @@ def _match(item_ids: list[int], words: np.ndarray, begin: np.ndarray, grams: np.
             out = []
             for a, b in chunks(texts):
                 dw, db = words_of(texts[a:b])
-                found, at = grams_of(dw, db)
+                found, at = grams_of(dw, db, SPREAD)
                 where = np.searchsorted(grams, found)
                 where[where == len(grams)] = 0
                 hit = np.flatnonzero(grams[where] == found)
@@ -133,6 +136,8 @@ def _match(item_ids: list[int], words: np.ndarray, begin: np.ndarray, grams: np.
                     target = words[begin[i] : begin[i + 1]]
                     best, end = 0.0, 0
                     for p, q in _windows(shift[x:y], len(target), len(text)):
+                        if np.isin(target, text[p:q]).sum() < threshold * len(target):
+                            continue  # no alignment scores more than the words that are there
                         score, stop = align(target, text[p:q])
                         if score > best:
                             best, end = score, p + stop
@@ -159,8 +164,8 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document and test item that match: doc_id, item_id, score, n_seeds, end_word, text_sha256.
 
-    score is 1 for a whole copy. Null or empty texts match nothing; items of fewer than three words have no
-    n-gram and match nothing. Repeated documents or items match each on their own. An empty table on either
+    score is 1 for a whole copy. A pair at the threshold is lost only if all its seeds are common ones. Null or empty texts match nothing; items of one word have no
+    pair and match nothing, of two or three words they match only with a pair. Repeated documents or items match each on their own. An empty table on either
     side gives no rows. Columns other than the named ones are not read.
     """
     spark = docs.sparkSession

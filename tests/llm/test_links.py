@@ -89,8 +89,28 @@ def test_leaks_against_every_pair(spark):
     every = plain_leaks(rows, tests)
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_leaks(documents(spark, rows), items(spark, tests)).collect()}
     assert got and all(every[k] == pytest.approx(v) for k, v in got.items())
-    shared = {(d, i) for (d, i), v in every.items() if v >= decontaminate.THRESHOLD and any(g in f" {dict(rows)[d]} " for g in (" " + " ".join(x) + " " for x in zip(*(dict(tests)[i].split()[k:] for k in range(3)))))}
-    assert set(got) == shared  # all pairs over the threshold that share three words in a row
+    assert set(got) == {k for k, v in every.items() if v >= decontaminate.THRESHOLD}
+
+
+def test_leaks_edited_at_every_second_and_third_word(spark):
+    rng = random.Random(22)
+    text = lambda n: [f"k{rng.randrange(2000)}" for _ in range(n)]
+    tests = [(i, " ".join(text(n))) for i, n in enumerate([30, 31, 12, 7, 4, 24])]
+    edits = {
+        "third changed": lambda x: [f"z{k}" if k % 3 == 2 else w for k, w in enumerate(x)], "third dropped": lambda x: [w for k, w in enumerate(x) if k % 3 != 2],
+        "one inserted everywhere": lambda x: [y for w in x for y in (w, f"z{rng.randrange(99)}")], "second changed": lambda x: [f"z{k}" if k % 2 else w for k, w in enumerate(x)],
+        "two inserted at thirds": lambda x: [y for k, w in enumerate(x) for y in ((w, "z1", "z2") if k % 3 == 2 else (w,))], "pairs swapped": lambda x: [x[k ^ 1] if k ^ 1 < len(x) else w for k, w in enumerate(x)],
+    }
+    rows, kind = [], {}
+    for name, edit in edits.items():
+        for i, t in tests:
+            rows.append((len(rows), " ".join(text(40) + edit(t.split()) + text(40))))
+            kind[rows[-1][0], i] = name
+    every = plain_leaks(rows, tests)
+    want = {k for k, v in every.items() if v >= decontaminate.THRESHOLD}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(documents(spark, rows), items(spark, tests)).collect()}
+    assert got == want  # recall 1 of every kind of edit that stays over the threshold
+    assert {"third changed", "third dropped", "one inserted everywhere"} <= {kind[k] for k in want if k in kind}
 
 
 def test_leaks_on_messy_rows(spark, messy, empty):
