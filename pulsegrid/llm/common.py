@@ -3,51 +3,25 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from ..sources.scratch import delete, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where a local session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="pulsegrid-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a narrow intermediate table to the shared folder and read it back: cuts lineage, survives executors.
-
-    The rows are in files that all executors see, so a lost executor costs no recomputation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._folder = path
-    return out
+#: Write a narrow intermediate table to the shared folder and read it back. It goes with its scope, or by discard() before.
+materialize = written
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing reads any more (frames derived from them are passed over)."""
     for t in tables:
         if path := getattr(t, "_folder", None):
-            spark = t.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            delete(t.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
