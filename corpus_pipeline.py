@@ -12,18 +12,17 @@ empty texts, near nothing, leaked from nothing, and encoded to no tokens.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import bpe_digests
-from pulsegrid.llm.common import digest, materialize, shared_dir, table, without
+from pulsegrid.llm.common import digest, materialize, table, without
 from pulsegrid.llm.decontaminate import drop_leaked, find_leaks
 from pulsegrid.llm.exact_dedup import exact_dedup
 from pulsegrid.llm.minhash import near_dup_classes
 from pulsegrid.llm.toxicity import score_held_out
+from pulsegrid.sources.scratch import delete, new_folder, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,10 +89,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to documents. What a stage writes for itself goes when it ends, its result when the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = new_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
