@@ -272,10 +272,26 @@ def first_review_of_people(reviews: DataFrame, prs: DataFrame) -> DataFrame:
     return hours.groupBy("login").agg(F.avg("hours").alias("avg_time_to_first_review"))
 
 
+def activity_of() -> Column:
+    """Pull requests, issues, reviews and comments of a row together."""
+    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in ("pr_count", "issue_count", "review_count", "comment_count")])
+
+
 def activity_score(counters: DataFrame) -> DataFrame:
-    """repo_id, total_activity_score: pull requests, issues, reviews and comments together."""
-    parts = ("pr_count", "issue_count", "review_count", "comment_count")
-    return counters.select("repo_id", reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in parts]).alias("total_activity_score"))
+    """repo_id, total_activity_score."""
+    return counters.select("repo_id", activity_of().alias("total_activity_score"))
+
+
+def repo_standing(health: DataFrame, hygiene: DataFrame, prs: DataFrame, merged: DataFrame, end: Column) -> DataFrame:
+    """What repository awards look at: health with prs_opened, total_activity_score, stale_pr_count, hygiene_score and bus_factor_risk_score.
+
+    merged: repo_id, login, value of merged pull requests. The risk score is the activity per person of the bus factor; null where nobody merged.
+    """
+    stale = stale_counts(prs, end).withColumnRenamed("stale", "stale_pr_count")
+    scores = hygiene.groupBy("repo_id").agg(F.max("score").alias("hygiene_score"))
+    rows = health.withColumns({"prs_opened": F.col("pr_count"), "total_activity_score": activity_of()})
+    rows = rows.join(stale, "repo_id", "left").join(scores, "repo_id", "left").join(bus_factor(merged, "repo_id"), "repo_id", "left")
+    return rows.withColumn("bus_factor_risk_score", F.try_divide(F.col("total_activity_score").cast("double"), F.col("bus_factor").cast("double"))).withColumn("is_bot", F.lit(False))
 
 
 def bus_factor(counts: DataFrame, *within: str, share: float = 0.5) -> DataFrame:

@@ -120,6 +120,30 @@ class Award:
     min_prs: int = 0
 
 
+# fixed values: the awards of people and of repositories
+USER_AWARDS = [
+    Award("merge_machine", "Merge Machine", "prs_merged", tie_breaker="prs_opened", humans_only=True),
+    Award("review_paladin", "Review Paladin", "reviews_submitted", tie_breaker="review_comments_total", humans_only=True),
+    Award("docs_druid", "Docs Druid", "docs_lines_changed", tie_breaker="docs_commits", humans_only=True),
+    Award("bug_janitor", "Bug Janitor", "issues_closed", tie_breaker="issues_opened", humans_only=True),
+    Award("comment_champion", "Comment Champion", "comments_total", tie_breaker="review_comments_total", humans_only=True),
+    Award("approval_ace", "Approval Ace", "approvals", tie_breaker="reviews_submitted", humans_only=True),
+    Award("nitpicker", "Thoughtful Nitpicker", "changes_requested", tie_breaker="reviews_submitted", humans_only=True),
+    Award("early_bird", "Early Bird", "avg_time_to_first_review", direction="asc", humans_only=True),
+    Award("consistency_king", "Consistency King/Queen", "active_weeks", tie_breaker="prs_merged", humans_only=True),
+    Award("night_owl", "Night Owl", "off_hours_commits", tie_breaker="commits", humans_only=True),
+]
+REPO_AWARDS = [
+    Award("bus_factor_alarm", "Bus Factor Alarm", "bus_factor_risk_score"),
+    Award("stale_queue_dragon", "Stale Queue Dragon", "stale_pr_count"),
+    Award("review_desert", "Review Desert", "review_coverage", direction="asc", min_prs=10),
+    Award("merge_velocity_champion", "Merge Velocity Champion", "median_time_to_merge", direction="asc", min_prs=10),
+    Award("most_active", "Most Active Repository", "total_activity_score"),
+    Award("best_hygiene", "Best Hygiene", "hygiene_score"),
+    Award("worst_hygiene", "Hygiene Needs Work", "hygiene_score", direction="asc"),
+]
+
+
 def give_awards(stats: DataFrame, awards: list[Award], id_col: str = "login") -> DataFrame:
     """award_key, title, winner, value: one row per award that anyone wins, all from one scan. stats holds the metric columns, is_bot and prs_opened."""
     best = []

@@ -682,7 +682,7 @@ q("d10_repo_series", """SELECT metric_key, strftime(ts, '%G-W%V') AS period, rep
     WHERE year(ts) = 1997 AND metric_key IN ('prs_opened','prs_merged','issues_opened','issues_closed','reviews_submitted','comments_total') GROUP BY ALL""")(
     lambda s: metrics.time_series(s.facts(*metrics.SERIES, timed=True), YEAR, "week", "repo_id")
 )
-REPO_AWARDS = [
+SMALL_AWARDS = [
     ranking.Award("review_desert", "Review Desert", "review_coverage", direction="asc", min_prs=5),
     ranking.Award("merge_velocity_champion", "Merge Velocity Champion", "median_time_to_merge", direction="asc", min_prs=5),
     ranking.Award("most_active", "Most Active Repository", "total_activity_score"),
@@ -695,7 +695,38 @@ q("d6_repo_awards", """SELECT * FROM (WITH h AS (SELECT *, pr_count + issue_coun
     UNION ALL (SELECT 'most_active', 'Most Active Repository', repo_id, total_activity_score::DOUBLE FROM h ORDER BY total_activity_score DESC, repo_id LIMIT 1)
     UNION ALL (SELECT 'stale_queue_dragon', 'Stale Queue Dragon', repo_id, stale_pr_count::DOUBLE FROM h WHERE stale_pr_count IS NOT NULL ORDER BY stale_pr_count DESC, repo_id LIMIT 1))""")(
     lambda s: ranking.give_awards(
-        health(s).withColumn("prs_opened", F.col("pr_count")).join(metrics.activity_score(health(s).select("repo_id", "pr_count", "issue_count", "review_count", "comment_count")), "repo_id")
-        .join(metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count"), "repo_id", "left"), REPO_AWARDS, "repo_id",
+        health(s).withColumns({"prs_opened": F.col("pr_count"), "total_activity_score": metrics.activity_of()})
+        .join(metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count"), "repo_id", "left"), SMALL_AWARDS, "repo_id",
     )
 )
+
+
+def _award_sql(awards: list[ranking.Award], table: str, key: str) -> str:
+    """The winner of each award as a query of its own."""
+    each = []
+    for a in awards:
+        tie = f"coalesce({a.tie_breaker}, 0) DESC, " if a.tie_breaker else ""
+        where = f"{a.metric} IS NOT NULL" + (f" AND prs_opened >= {a.min_prs}" if a.min_prs else "")
+        each.append(f"(SELECT '{a.key}' AS award_key, '{a.title}' AS title, {key} AS winner, CAST({a.metric} AS DOUBLE) AS value FROM {table} WHERE {where} ORDER BY {a.metric} {a.direction.upper()}, {tie}{key} LIMIT 1)")
+    return " UNION ALL ".join(each)
+
+
+_EXTRAS = f"""SELECT login, count(*) AS commits, count(*) FILTER (h < 8 OR h >= 18) AS off_hours_commits, count(*) FILTER (d) AS docs_commits, CAST(sum(n) AS BIGINT) AS docs_lines_changed
+    FROM (SELECT login, sha, hour(min(committed_at)) AS h, bool_or(is_docs) AS d, coalesce(sum(lines) FILTER (is_docs), 0) AS n FROM ({_COMMIT_FILES}) GROUP BY 1, 2) GROUP BY login"""
+_FIRST = f"""SELECT login, avg((epoch_us(seen) - epoch_us(created_at)) / 3.6e9) AS avg_time_to_first_review FROM (SELECT repo_id, number, login, min(submitted_at) AS seen FROM reviews WHERE {PEOPLE} GROUP BY ALL) v
+    JOIN (SELECT repo_id, number, created_at FROM prs WHERE {PEOPLE}) p USING (repo_id, number) GROUP BY login"""
+q("d6_all_user_awards", f"""SELECT * FROM (WITH us AS (SELECT * FROM merged FULL JOIN ({_EXTRAS}) x USING (login) FULL JOIN ({_FIRST}) y USING (login)
+    FULL JOIN (SELECT login, count(DISTINCT period) AS active_weeks FROM weekly GROUP BY login) z USING (login)) {_award_sql(ranking.USER_AWARDS, "us", "login")})""")(
+    lambda s: ranking.give_awards(
+        contributors.merge_metrics(counts(s)).join(metrics.user_extras(normalize.fact_commit_files(commits(s))), "login", "full").join(metrics.first_review_of_people(s.reviews, s.prs), "login", "full")
+        .join(metrics.active_weeks(s.facts(*metrics.SERIES, timed=True), YEAR), "login", "full").withColumn("is_bot", F.lit(False)), ranking.USER_AWARDS,
+    )
+)
+q("d6_all_repo_awards", f"""SELECT * FROM (WITH rs AS (SELECT *, pr_count AS prs_opened, pr_count + issue_count + review_count + comment_count AS total_activity_score, score AS hygiene_score,
+    (pr_count + issue_count + review_count + comment_count) / bus_factor AS bus_factor_risk_score FROM health LEFT JOIN (SELECT repo_id, score FROM scored) USING (repo_id)
+    LEFT JOIN (SELECT repo_id, count(*) FILTER (state = 'open' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY) AS stale_pr_count FROM prs GROUP BY 1) USING (repo_id)
+    LEFT JOIN (SELECT repo_id, count(*) FILTER (b < 0.5 * t) AS bus_factor FROM (SELECT repo_id, coalesce(sum(v) OVER (PARTITION BY repo_id ORDER BY v DESC, login ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
+        sum(v) OVER (PARTITION BY repo_id) AS t FROM (SELECT repo_id, login, count(*) AS v FROM events_long WHERE metric_key = 'prs_merged' GROUP BY ALL)) GROUP BY repo_id) USING (repo_id))
+    {_award_sql(ranking.REPO_AWARDS, "rs", "repo_id")})""")(
+    lambda s: ranking.give_awards(metrics.repo_standing(health(s), scored(s), s.prs, metrics.leaderboard_counts(s.facts("prs_merged"), "repo_id").drop("metric_key"), end()), ranking.REPO_AWARDS, "repo_id")
+)
