@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: files that count, and where CI lives
@@ -141,16 +141,17 @@ RISKS = (
 
 
 def risks(
-    hygiene: DataFrame, health: DataFrame, score_below: int = 60, review_hours: float = 48, coverage_below: float = 50, stale_above: int = 5, people_below: int = 2, compat: bool = False
+    hygiene: DataFrame, health: DataFrame, score_below: int = 60, review_hours: float = 48, coverage_below: float = 50, stale_above: int = 5, people_below: int = 2, compat: bool = False, shown: int = 20
 ) -> DataFrame:
     """rule, severity, title, repo_count, repos: a row for each rule that any repository breaks.
 
-    Review times are compared in hours; compat=True holds hours against the limit in seconds instead. Repositories come
-    as one comma-joined sorted text, so that a rule broken by very many should be read from `risk_rows`.
+    Review times are compared in hours; compat=True holds hours against the limit in seconds instead. repos is a display: the first
+    `shown` by name as one comma-joined text, cut in each task before anything is shuffled; `risk_rows` has all of them.
     """
     rows = risk_rows(hygiene, health, score_below, review_hours, coverage_below, stale_above, people_below, compat)
-    named = rows.groupBy("rule", "severity", "title").agg(F.count("*").alias("repo_count"), F.array_join(F.sort_array(F.collect_list("repo_id")), ",").alias("repos"))
-    return named
+    first = rows.withColumn("_place", F.row_number().over(Window.partitionBy("rule").orderBy("repo_id"))).where(F.col("_place") <= shown)
+    first = first.groupBy("rule").agg(F.array_join(F.sort_array(F.collect_list("repo_id")), ",").alias("repos"))
+    return rows.groupBy("rule", "severity", "title").agg(F.count("*").alias("repo_count")).join(first, "rule").select("rule", "severity", "title", "repo_count", "repos")
 
 
 def risk_rows(hygiene: DataFrame, health: DataFrame, score_below: int = 60, review_hours: float = 48, coverage_below: float = 50, stale_above: int = 5, people_below: int = 2, compat: bool = False) -> DataFrame:

@@ -55,12 +55,12 @@ def events_long(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments:
     return reduce(DataFrame.unionByName, [_events(df, kinds, "number") for df, kinds in _kinds(prs, issues, reviews, comments, metrics)])
 
 
-def facts_wide(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments: DataFrame, metrics: tuple[str, ...] = METRICS, timed: bool = False) -> DataFrame:
+def facts_wide(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments: DataFrame, metrics: tuple[str, ...] = METRICS, timed: bool = False, before: Column | None = None) -> DataFrame:
     """repo_id, login and a 0 or 1 per named metric: one row per fact of a person that counts for any of them.
 
     What is counted needs no row per metric: a fact stays one row into the grouping. timed adds ts; a table whose metrics
-    have different times then gives a scan for each, with that time's conditions pushed into it. The counting operators
-    take this table or events_long.
+    have different times then gives a scan for each, with that time's conditions pushed into it. before adds last, the latest of a fact's
+    times before a moment, from the same scan. The counting operators take this table or events_long.
     """
     parts = []
     for df, kinds in _kinds(prs, issues, reviews, comments, metrics):
@@ -68,7 +68,11 @@ def facts_wide(prs: DataFrame, issues: DataFrame, reviews: DataFrame, comments:
         for at in dict.fromkeys(k[2] for k in kinds) if timed else (None,):
             on = {name: cond for name, cond, time in kinds if at in (None, time)}
             flags = [F.when(on[m], 1).otherwise(0).alias(m) if m in on else F.lit(0).alias(m) for m in METRICS if m in metrics]
-            parts.append(people.where(reduce(lambda a, b: a | b, on.values())).select("repo_id", "login", *([F.col(at).alias("ts")] if at else []), *flags))
+            extra = [F.col(at).alias("ts")] if at else []
+            if before is not None:
+                times = [F.when(cond & (F.col(time) < before), F.col(time)) for name, cond, time in kinds if name in on]
+                extra.append((F.greatest(*times) if len(times) > 1 else times[0]).cast("timestamp").alias("last"))
+            parts.append(people.where(reduce(lambda a, b: a | b, on.values())).select("repo_id", "login", *extra, *flags))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -92,7 +96,8 @@ def _per_person(rows: DataFrame, kinds: tuple[str, ...], *keys: str) -> DataFram
     if _is_long(rows):
         return rows.where(F.col("metric_key").isin(*kinds)).groupBy(*keys, "login").agg(*[F.count_if(F.col("metric_key") == k).alias(k) for k in kinds])
     some = [k for k in kinds if k in rows.columns]
-    counted = rows.groupBy(*keys, "login").agg(*[F.sum(k).alias(k) if k in some else F.lit(0).cast("long").alias(k) for k in kinds])
+    last = [F.max("last").alias("last")] if "last" in rows.columns else []
+    counted = rows.groupBy(*keys, "login").agg(*[F.sum(k).alias(k) if k in some else F.lit(0).cast("long").alias(k) for k in kinds], *last)
     return counted.where(reduce(lambda a, b: a | b, [F.col(k) > 0 for k in some], F.lit(False)))
 
 
@@ -148,11 +153,19 @@ def time_series(events: DataFrame, year: int, period_type: str = "week", *extra:
     return kept.groupBy("metric_key", key(F.col("ts")).alias("period"), *extra, "login").agg(F.count("*").alias("count"))
 
 
-def repo_counters(events: DataFrame, repos: DataFrame) -> DataFrame:
-    """Per registered repository: pull requests, issues, reviews, comments, distinct people; zeros without events."""
+def repo_counters(events: DataFrame, repos: DataFrame, end: Column | None = None, days: tuple[int, ...] = (30, 90, 365)) -> DataFrame:
+    """Per registered repository: pull requests, issues, reviews, comments, distinct people; zeros without events.
+
+    With end, events must be facts_wide(before=end): the people of the last days before it are counted in the same grouping.
+    """
     by_person = _per_person(events, COUNTED, "repo_id")
-    names = ("pr_count", "issue_count", "review_count", "comment_count")
-    counted = by_person.groupBy("repo_id").agg(F.count("*").alias("contributor_count"), *[F.sum(k).alias(c) for k, c in zip(COUNTED, names, strict=True)])
+    names = ["pr_count", "issue_count", "review_count", "comment_count"]
+    sums = [F.sum(k).alias(c) for k, c in zip(COUNTED, names, strict=True)]
+    if end is not None:
+        recent = [f"active_contributors_{d}d" for d in days]
+        sums += [F.count_if(F.col("last") >= end - F.expr(f"INTERVAL {d} DAYS")).alias(c) for d, c in zip(days, recent, strict=True)]
+        names += recent
+    counted = by_person.groupBy("repo_id").agg(F.count("*").alias("contributor_count"), *sums)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return repos.select("repo_id").distinct().join(counted, "repo_id", "left").select("repo_id", *[zero(c) for c in ("contributor_count", *names)])
 
@@ -190,21 +203,25 @@ def review_times(prs: DataFrame, reviews: DataFrame, exact: bool = True) -> Data
     return first_review_hours(prs, reviews).groupBy("repo_id").agg(_middle("hours", exact).alias("median_time_to_first_review"))
 
 
-def repo_health(events: DataFrame, prs: DataFrame, reviews: DataFrame, repos: DataFrame) -> DataFrame:
+def repo_health(events: DataFrame, prs: DataFrame, reviews: DataFrame, repos: DataFrame, end: Column | None = None, stale_days: int = 30) -> DataFrame:
     """The health row of every registered repository.
 
     Every fact table is read once for the counters; the times and the coverage come from one grouping of reviews by pull request.
+    With end (and events from facts_wide(before=end)) the recently active people and the stale pull requests before it come
+    from the same two groupings.
     """
     first = people_only(reviews).groupBy("repo_id", "number").agg(F.min("submitted_at").alias("first_review"))
     reviewed = first.groupBy("repo_id").agg(F.count("*").alias("reviewed"))
-    opened = people_only(prs).select("repo_id", "number", "created_at", "merged_at").join(first, ["repo_id", "number"], "left")
-    times = opened.groupBy("repo_id").agg(
-        F.median(hours_between(F.col("created_at"), F.col("merged_at"))).alias("median_time_to_merge"),
-        F.median(hours_between(F.col("created_at"), F.col("first_review"))).alias("median_time_to_first_review"),
-    )
-    counters = repo_counters(events, repos)
+    person = F.col("_person")
+    rows = people_only(prs).withColumn("_person", F.lit(True)) if end is None else prs.withColumn("_person", F.coalesce((F.col("login") != "") & ~is_bot(F.col("login"), F.col("user_type")), F.lit(False)))
+    opened = rows.select("repo_id", "number", "created_at", "merged_at", "_person", *(["state"] if end is not None else [])).join(first, ["repo_id", "number"], "left")
+    middle = lambda at, name: F.median(F.when(person, hours_between(F.col("created_at"), F.col(at)))).alias(name)
+    stale = [] if end is None else [F.count_if((F.col("state") == "open") & (F.col("created_at") < end - F.expr(f"INTERVAL {stale_days} DAYS"))).alias("stale_pr_count")]
+    times = opened.groupBy("repo_id").agg(middle("merged_at", "median_time_to_merge"), middle("first_review", "median_time_to_first_review"), *stale)
+    counters = repo_counters(events, repos, end)
     joined = counters.join(reviewed, "repo_id", "left").join(times, "repo_id", "left")
-    return joined.select(*counters.columns, _coverage(F.col("reviewed"), F.nullif("pr_count", F.lit(0))), "median_time_to_merge", "median_time_to_first_review")
+    more = ["stale_pr_count"] if end is not None else []
+    return joined.select(*counters.columns, _coverage(F.col("reviewed"), F.nullif("pr_count", F.lit(0))), "median_time_to_merge", "median_time_to_first_review", *more)
 
 
 def summary(events: DataFrame, repos: DataFrame) -> DataFrame:
@@ -282,15 +299,14 @@ def activity_score(counters: DataFrame) -> DataFrame:
     return counters.select("repo_id", activity_of().alias("total_activity_score"))
 
 
-def repo_standing(health: DataFrame, hygiene: DataFrame, prs: DataFrame, merged: DataFrame, end: Column) -> DataFrame:
-    """What repository awards look at: health with prs_opened, total_activity_score, stale_pr_count, hygiene_score and bus_factor_risk_score.
+def repo_standing(health: DataFrame, hygiene: DataFrame, merged: DataFrame) -> DataFrame:
+    """What repository awards look at: health (with stale_pr_count) and prs_opened, total_activity_score, hygiene_score and bus_factor_risk_score.
 
     merged: repo_id, login, value of merged pull requests. The risk score is the activity per person of the bus factor; null where nobody merged.
     """
-    stale = stale_counts(prs, end).withColumnRenamed("stale", "stale_pr_count")
     scores = hygiene.groupBy("repo_id").agg(F.max("score").alias("hygiene_score"))
     rows = health.withColumns({"prs_opened": F.col("pr_count"), "total_activity_score": activity_of()})
-    rows = rows.join(stale, "repo_id", "left").join(scores, "repo_id", "left").join(bus_factor(merged, "repo_id"), "repo_id", "left")
+    rows = rows.join(scores, "repo_id", "left").join(bus_factor(merged, "repo_id"), "repo_id", "left")
     return rows.withColumn("bus_factor_risk_score", F.try_divide(F.col("total_activity_score").cast("double"), F.col("bus_factor").cast("double"))).withColumn("is_bot", F.lit(False))
 
 

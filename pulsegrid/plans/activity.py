@@ -461,12 +461,13 @@ _RISK_SQL = " UNION ALL ".join(
 
 
 def risk_health(s: Star) -> DataFrame:
-    stale = metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count")
-    return health(s).join(stale, "repo_id", "left").join(metrics.active_within(s.facts(*metrics.SERIES, timed=True), end()), "repo_id", "left")
+    """Health with stale pull requests and recently active people."""
+    return metrics.repo_health(s.facts(*metrics.SERIES, before=end()), s.prs, s.reviews, s.repos, end())
 
 
 q("i21_risk_rows", _RISK_SQL)(lambda s: hygiene.risk_rows(scored(s), risk_health(s)))
-q("i21_risks", f"SELECT rule, severity, title, count(*) AS repo_count, string_agg(repo_id, ',' ORDER BY repo_id) AS repos FROM ({_RISK_SQL}) GROUP BY ALL")(lambda s: hygiene.risks(scored(s), risk_health(s)))
+q("i21_risks", f"""SELECT rule, severity, title, count(*) AS repo_count, string_agg(repo_id, ',' ORDER BY repo_id) FILTER (place <= 20) AS repos
+    FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY repo_id) AS place FROM ({_RISK_SQL})) GROUP BY ALL""")(lambda s: hygiene.risks(scored(s), risk_health(s)))
 q("w8_first_items", """SELECT rule, string_agg(repo_id, ', ' ORDER BY repo_id) FILTER (r <= 3) AS shown, greatest(count(*) - 3, 0) AS more FROM (SELECT rule, repo_id, row_number() OVER (PARTITION BY rule ORDER BY repo_id) AS r FROM (
     SELECT 'R1' AS rule, repo_id FROM scored WHERE NOT has_security_md UNION ALL SELECT 'R2', repo_id FROM scored WHERE NOT has_ci_workflows)) GROUP BY rule""")(
     lambda s: ranking.first_items(hygiene.risk_rows(scored(s), s.repos.select("repo_id", F.lit(0.0).alias("median_time_to_first_review"), F.lit(60.0).alias("review_coverage"), F.lit(0).alias("stale_pr_count"), F.lit(9).alias("active_contributors_90d"))).where("rule IN ('R1', 'R2')"), "rule", "repo_id", 3)
@@ -695,8 +696,7 @@ q("d6_repo_awards", """SELECT * FROM (WITH h AS (SELECT *, pr_count + issue_coun
     UNION ALL (SELECT 'most_active', 'Most Active Repository', repo_id, total_activity_score::DOUBLE FROM h ORDER BY total_activity_score DESC, repo_id LIMIT 1)
     UNION ALL (SELECT 'stale_queue_dragon', 'Stale Queue Dragon', repo_id, stale_pr_count::DOUBLE FROM h WHERE stale_pr_count IS NOT NULL ORDER BY stale_pr_count DESC, repo_id LIMIT 1))""")(
     lambda s: ranking.give_awards(
-        health(s).withColumns({"prs_opened": F.col("pr_count"), "total_activity_score": metrics.activity_of()})
-        .join(metrics.stale_counts(s.prs, end()).withColumnRenamed("stale", "stale_pr_count"), "repo_id", "left"), SMALL_AWARDS, "repo_id",
+        risk_health(s).withColumns({"prs_opened": F.col("pr_count"), "total_activity_score": metrics.activity_of()}), SMALL_AWARDS, "repo_id",
     )
 )
 
@@ -728,5 +728,5 @@ q("d6_all_repo_awards", f"""SELECT * FROM (WITH rs AS (SELECT *, pr_count AS prs
     LEFT JOIN (SELECT repo_id, count(*) FILTER (b < 0.5 * t) AS bus_factor FROM (SELECT repo_id, coalesce(sum(v) OVER (PARTITION BY repo_id ORDER BY v DESC, login ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
         sum(v) OVER (PARTITION BY repo_id) AS t FROM (SELECT repo_id, login, count(*) AS v FROM events_long WHERE metric_key = 'prs_merged' GROUP BY ALL)) GROUP BY repo_id) USING (repo_id))
     {_award_sql(ranking.REPO_AWARDS, "rs", "repo_id")})""")(
-    lambda s: ranking.give_awards(metrics.repo_standing(health(s), scored(s), s.prs, metrics.leaderboard_counts(s.facts("prs_merged"), "repo_id").drop("metric_key"), end()), ranking.REPO_AWARDS, "repo_id")
+    lambda s: ranking.give_awards(metrics.repo_standing(risk_health(s), scored(s), metrics.leaderboard_counts(s.facts("prs_merged"), "repo_id").drop("metric_key")), ranking.REPO_AWARDS, "repo_id")
 )

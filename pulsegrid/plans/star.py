@@ -6,7 +6,7 @@ hygiene and file trees.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.people import BOT_PARTS
 from ..operators.metrics import METRICS, events_long, facts_wide
@@ -80,9 +80,9 @@ class Star:
         """The long table of the named metrics, or of all."""
         return events_long(self.prs, self.issues, self.reviews, self.comments, metrics or METRICS)
 
-    def facts(self, *metrics: str, timed: bool = False) -> DataFrame:
+    def facts(self, *metrics: str, timed: bool = False, before: Column | None = None) -> DataFrame:
         """One row per fact with a flag for each of the named metrics, or of all."""
-        return facts_wide(self.prs, self.issues, self.reviews, self.comments, metrics or METRICS, timed)
+        return facts_wide(self.prs, self.issues, self.reviews, self.comments, metrics or METRICS, timed, before)
 
 
 _BOT = " OR ".join(f"contains(lower(login), '{p}')" for p in BOT_PARTS)
