@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.numbers import percentage, ratio
 from ..functions.texts import duration_long, number_text
 from ..functions.times import date_label, month_label, period_to_date
+from .metrics import per_person
 
 
 def insights(events: DataFrame, summary: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row: reviewers per pull request, share of people who review, merges a week, median size, merge rate."""
-    people = events.where(F.col("metric_key").isin("prs_opened", "issues_opened", "reviews_submitted")).groupBy("login").agg(F.bool_or(F.col("metric_key") == "reviews_submitted").alias("reviews"))
+    """One row: reviewers per pull request, share of people who review, merges a week, median size, merge rate. events: facts_wide or events_long."""
+    kinds = ("prs_opened", "issues_opened", "reviews_submitted")
+    people = per_person(events, kinds).select((F.col("reviews_submitted") > 0).alias("reviews"))
     part = people.agg(F.count_if("reviews").alias("reviewers"), F.count("*").alias("people"))
     return summary.join(part, F.lit(True)).join(sizes, F.lit(True)).select(
         ratio(F.col("total_reviews"), F.col("total_prs")).alias("avg_reviewers_per_pr"),

@@ -91,7 +91,7 @@ def _sums(rows: DataFrame) -> list[Column]:
     return [F.sum(m).alias(m) for m in METRICS if m in rows.columns]
 
 
-def _per_person(rows: DataFrame, kinds: tuple[str, ...], *keys: str) -> DataFrame:
+def per_person(rows: DataFrame, kinds: tuple[str, ...], *keys: str) -> DataFrame:
     """keys, login and a count per kind, of people with any of them; rows are events_long or facts_wide."""
     if _is_long(rows):
         return rows.where(F.col("metric_key").isin(*kinds)).groupBy(*keys, "login").agg(*[F.count_if(F.col("metric_key") == k).alias(k) for k in kinds])
@@ -158,7 +158,7 @@ def repo_counters(events: DataFrame, repos: DataFrame, end: Column | None = None
 
     With end, events must be facts_wide(before=end): the people of the last days before it are counted in the same grouping.
     """
-    by_person = _per_person(events, COUNTED, "repo_id")
+    by_person = per_person(events, COUNTED, "repo_id")
     names = ["pr_count", "issue_count", "review_count", "comment_count"]
     sums = [F.sum(k).alias(c) for k, c in zip(COUNTED, names, strict=True)]
     if end is not None:
@@ -231,7 +231,7 @@ def summary(events: DataFrame, repos: DataFrame) -> DataFrame:
     """
     kinds = ("prs_opened", "issues_opened", "reviews_submitted", "comments_total", "prs_merged", "issues_closed")
     names = ("total_prs", "total_issues", "total_reviews", "total_comments", "prs_merged", "issues_closed")
-    by_person = _per_person(events, kinds)
+    by_person = per_person(events, kinds)
     active = F.col("prs_opened") + F.col("issues_opened") + F.col("reviews_submitted") > 0
     totals = by_person.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(c) for k, c in zip(kinds, names, strict=True)], F.count_if(active).alias("total_contributors"))
     return totals.join(repos.select("repo_id").distinct().agg(F.count("*").alias("total_repos")), F.lit(True))

@@ -264,12 +264,13 @@ def fact_commit_files(commits: DataFrame) -> DataFrame:
     )
 
 
-def dim_time(spark, first: str, last: str) -> DataFrame:
-    """A row per day: date, year, month, ISO week, weekday (1 is Monday)."""
+def dim_time(df: DataFrame, column: str) -> DataFrame:
+    """A row per day from the first to the last of a column: date, year, month, ISO week, weekday (1 is Monday). No row without a date."""
     from ..functions.times import iso_week_key, month_key
 
-    day = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date")
-    return spark.range(1).select(day).select("date", F.year("date").alias("year"), month_key(F.col("date")).alias("month"), iso_week_key(F.col("date")).alias("week"), (F.weekday("date") + 1).alias("weekday"))
+    ends = df.agg(F.to_date(F.min(column)).alias("first"), F.to_date(F.max(column)).alias("last"))
+    days = ends.select(F.explode(F.sequence("first", "last")).alias("date"))
+    return days.select("date", F.year("date").alias("year"), month_key(F.col("date")).alias("month"), iso_week_key(F.col("date")).alias("week"), (F.weekday("date") + 1).alias("weekday"))
 
 
 def identity_rules(users: DataFrame, reason: Column) -> DataFrame:

@@ -176,7 +176,7 @@ q(
     ).select("metric_key", "login", "scope", "n")
 )
 q("s16_rows_of_columns", "SELECT CAST(l_orderkey AS BIGINT) AS k, l_quantity AS v FROM lineitem")(
-    lambda s: charts.rows_of_columns(s.source("lineitem").groupBy("l_suppkey", "l_linenumber", "l_returnflag").agg(F.collect_list(F.struct("l_orderkey", "l_quantity")).alias("x")).select(F.col("x.l_orderkey").alias("k"), F.col("x.l_quantity").alias("v")), "k", "v")
+    lambda s: charts.rows_of_columns(s.source("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_orderkey", "l_quantity")).alias("x")).select(F.col("x.l_orderkey").alias("k"), F.col("x.l_quantity").alias("v")), "k", "v")
 )
 q("f27_period_type", "SELECT metric_key, login, period, count FROM weekly")(
     lambda s: filters.of_period_type(weekly(s).withColumn("period_type", F.lit("week")), "week").select("metric_key", "login", "period", "count")
@@ -247,7 +247,7 @@ q("a36_a35_a37_a39_insights", """SELECT CASE WHEN t.prs = 0 THEN 0 ELSE t.review
     (SELECT CAST(trunc(median(lines_changed)) AS BIGINT) FROM details WHERE lines_changed > 0) AS median_pr_size, 100.0 * t.merged / t.prs AS merge_rate
     FROM (SELECT count(*) FILTER (metric_key = 'prs_opened') AS prs, CAST(count(*) FILTER (metric_key = 'reviews_submitted') AS DOUBLE) AS reviews, CAST(count(*) FILTER (metric_key = 'prs_merged') AS DOUBLE) AS merged,
     count(DISTINCT login) FILTER (metric_key = 'reviews_submitted') AS r, count(DISTINCT login) FILTER (metric_key IN ('prs_opened', 'issues_opened', 'reviews_submitted')) AS p FROM events_long) t""")(
-    lambda s: insights.insights(s.events(), metrics.summary(s.facts(*metrics.SERIES), s.repos), metrics.size_stats(details(s)))
+    lambda s: insights.insights(s.facts("prs_opened", "issues_opened", "reviews_submitted"), metrics.summary(s.facts(*metrics.SERIES), s.repos), metrics.size_stats(details(s)))
 )
 q("a32_i9_mean_merge_text", """SELECT h AS hours, CASE WHEN h < 1 THEN format('{:.0f} minutes', h * 60) WHEN h < 24 THEN format('{:.1f} hours', h) ELSE format('{:.1f} days', h / 24) END AS label
     FROM (SELECT avg(median_time_to_merge) FILTER (median_time_to_merge > 0) AS h FROM health)""")(lambda s: insights.mean_merge_text(metrics.merge_times(s.prs).join(s.repos.select("repo_id"), "repo_id", "left_semi")))
@@ -528,7 +528,7 @@ q("d8_user_extras", f"SELECT login, count(*) AS commits, count(*) FILTER (h < 8
 )
 q("d3_dim_time", dates=("date",), sql="""SELECT CAST(d AS DATE) AS date, CAST(year(d) AS INTEGER) AS year, strftime(d, '%Y-%m') AS month, strftime(d, '%G-W%V') AS week, CAST(isodow(d) AS INTEGER) AS weekday
     FROM (SELECT unnest(generate_series((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY)) AS d)""")(
-    lambda s: (lambda r: normalize.dim_time(s.spark, str(r[0]), str(r[1])))(s.source("orders").agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first())
+    lambda s: normalize.dim_time(s.source("orders"), "o_orderdate")
 )
 q("p14_flatten_protection", doubles=("required_review_count",), sql="""SELECT repo_id AS repo, CASE WHEN k % 4 = 0 THEN true WHEN k % 4 = 1 THEN false END AS protection_enabled, CASE WHEN k % 4 = 2 THEN '403: permission denied' WHEN k % 4 = 3 THEN '500: error' END AS error,
     CASE WHEN k % 4 = 0 THEN k % 3 = 0 END AS enforce_admins, CASE WHEN k % 4 = 0 THEN CAST(k % 5 AS INTEGER) END AS required_review_count FROM (SELECT repo_id, id AS k FROM repos)""")(
