@@ -103,3 +103,13 @@ def test_stages_on_messy_and_empty_tables(spark, messy, empty):
         assert None in ids and {3, 6, 7, 8} <= set(ids), name
         if name in ("toxicity", "decontamination"):
             assert len(ids) == messy.count()
+
+
+def test_a_run_in_a_scope_leaves_nothing(spark, tmp_path, monkeypatch):
+    from pulsegrid.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    with scratch.scope():
+        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+        assert len(list(tmp_path.glob("pipeline-*"))) == 1  # what the last stage reads
+    assert list(tmp_path.iterdir()) == []
