@@ -3,12 +3,13 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.decontaminate import find_leaks
 from pulsegrid.llm.toxicity import score_held_out
+from pulsegrid.sources import scratch
 
 from .conftest import documents
 from .test_dedup import brute
 
 
-def test_every_stage_acts_on_what_the_last_one_kept(spark, tmp_path):
+def test_every_stage_acts_on_what_the_last_one_kept(spark, tmp_path, monkeypatch):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
@@ -34,7 +35,13 @@ def test_every_stage_acts_on_what_the_last_one_kept(spark, tmp_path):
         if name != "bpe":
             assert docs.columns == columns
     final = {r["doc_id"]: r["n_tokens"] for r in docs.collect()}
-    assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == final
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{shared}")
+    with scratch.scope():
+        assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == final
+        assert len(list(shared.glob("pipeline-*"))) == 1  # what the last stage reads
+    assert list(shared.iterdir()) == []
 
 
 def test_copies_stage_leaves_one_of_repeated_rows(spark, messy, empty):
@@ -103,13 +110,3 @@ def test_stages_on_messy_and_empty_tables(spark, messy, empty):
         assert None in ids and {3, 6, 7, 8} <= set(ids), name
         if name in ("toxicity", "decontamination"):
             assert len(ids) == messy.count()
-
-
-def test_a_run_in_a_scope_leaves_nothing(spark, tmp_path, monkeypatch):
-    from pulsegrid.sources import scratch
-
-    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
-    with scratch.scope():
-        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
-        assert len(list(tmp_path.glob("pipeline-*"))) == 1  # what the last stage reads
-    assert list(tmp_path.iterdir()) == []
