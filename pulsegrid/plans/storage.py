@@ -124,12 +124,12 @@ _SEQUENCE = "(number * 7919) % 1000003"
 @q("p3_w5_first_seen_over_loads", f"""SELECT login, arg_min(avatar_url || '?v=' || number, {_SEQUENCE}) AS avatar_url, arg_min(user_type, {_SEQUENCE}) AS user_type, min({_SEQUENCE}) AS sequence FROM prs
     WHERE login IS NOT NULL GROUP BY login""")
 def _(s: Star, root: str) -> DataFrame:
-    """Users over three loads, each given twice. What a later load saw earlier wins; the order of sights is not that of the values."""
-    users = StoredDimension(s.spark, root, "login string, avatar_url string, user_type string, sequence long", "login", "sequence")
+    """Users over three loads, each given twice. What a later load saw earlier wins; the order of sights is not that of the values, and of equal ones the smallest number is first."""
+    users = StoredDimension(s.spark, root, "login string, avatar_url string, user_type string, sequence long, number long", "login", "sequence", ties=("number",))
     seen = s.prs.select("login", F.concat("avatar_url", F.lit("?v="), "number").alias("avatar_url"), "user_type", F.expr(_SEQUENCE).alias("sequence"), "number")
     for load in (0, 1, 2, 0, 1, 2):
         users.load(seen.where(F.col("number") % 3 == load), load)
-    return users.read()
+    return users.read().drop("number")
 
 
 @q("p2_first_seen_repos_over_loads", f"SELECT repo_id, arg_min(title || ' ' || number, {_SEQUENCE}) AS description, min({_SEQUENCE}) AS sequence FROM prs GROUP BY repo_id")

@@ -30,6 +30,26 @@ def test_first_sights_over_loads(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "data")).count() == 4  # nothing new was appended
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_equal_sequences_over_loads_have_one_winner(spark, tmp_path, order):
+    loads = [("ann", "b", 5, 10), ("ann", "a", 5, 9), ("ann", "c", 6, 1)], [("ann", "z", 5, 2), ("bob", "x", 1, None)], [("bob", "w", 1, None), ("bob", "v", 1, 3)]
+    for ties, expected in (("number",), [("ann", "z", 5, 2), ("bob", "w", 1, None)]), ((), [("ann", "a", 5, 9), ("bob", "v", 1, 3)]):
+        dim = StoredDimension(spark, str(tmp_path / f"by-{len(ties)}"), "login string, avatar string, seq long, number long", "login", "seq", ties=ties)
+        for n in order:
+            dim.load(spark.createDataFrame(loads[n], "login string, avatar string, seq long, number long"), n)
+        assert sorted(map(tuple, dim.read().collect())) == expected
+
+
+def test_first_seen_users_of_one_sequence(spark, tmp_path):
+    from pulsegrid.plans import storage
+
+    orders = spark.createDataFrame([(n, 1, "F", 1.0, "1-URGENT") for n in (1000008, 5, 2000011)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.lit("1997-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "orders.parquet"))
+    with scratch.scope():
+        got = storage.QUERIES["p3_w5_first_seen_over_loads"](spark, str(tmp_path)).collect()
+    assert list(map(tuple, got)) == [("user1", "https://avatars/1?v=5", "User", 5 * 7919)]
+
+
 def test_years_are_replaced_and_pruned_alone(spark, tmp_path):
     root = str(tmp_path / "t")
     records.write_years(spark.createDataFrame([(1, 2023), (2, 2024), (3, 2024), (4, 1999)], "n int, year int"), root)
