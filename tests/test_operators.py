@@ -148,6 +148,17 @@ def test_long_review_rule_and_its_switch(spark):
     assert [r["rule"] for r in hygiene.risks(none, health, compat=True).collect()] == ["R6"]
 
 
+@pytest.mark.parametrize("piece", [7, 10_000])
+def test_a_rule_names_all_its_repositories(spark, monkeypatch, piece):
+    monkeypatch.setattr(hygiene, "NAMES_PER_PIECE", piece)
+    names = [f"o/{n}" for n in range(50)]
+    hyg = spark.createDataFrame([(n, 90, i % 2 == 0 and i < 50, *[True] * 5) for i, n in enumerate([*names, "o/1", None])], "repo_id string, score int, " + ", ".join(f"{f} boolean" for f in ("has_security_md", "has_ci_workflows", "has_codeowners", "dependabot_enabled", "secret_scanning_enabled", "branch_protection_enabled")))
+    health = spark.createDataFrame([(n, 1.0, 10.0, 0, 9) for n in names], "repo_id string, median_time_to_first_review double, review_coverage double, stale_pr_count long, active_contributors_90d long")
+    got = sorted(map(tuple, hygiene.risks(hyg, health).collect()))
+    title = {r: (s, t) for r, s, t in hygiene.RISKS}
+    assert got == [("R1", *title["R1"], 26, ",".join(sorted([*names[1::2], "o/1"]))), ("R6", *title["R6"], 50, ",".join(sorted(names)))]
+
+
 def test_weekly_charts(spark):
     weekly = spark.createDataFrame([("prs_opened", "2025-W01", u, 1) for u in "abc"] + [("reviews_submitted", "2025-W01", "a", 4), ("prs_opened", "", "z", 9)], "metric_key string, period string, login string, count long")
     assert [(str(d), n) for d, n in rows(charts.active_people(weekly))] == [("2024-12-30", 3)]
