@@ -18,6 +18,18 @@ def test_envelopes_round_trip_and_rejects(spark, tmp_path):
     assert good.select(F.count_distinct("request_id")).first()[0] == 2
 
 
+def test_envelopes_are_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "RECORDS_PER_FILE", 2_000)
+    df = spark.range(10_000).select(F.lit("o/a").alias("repo"), F.col("id").alias("number"), F.lit("APPROVED").alias("state")).coalesce(1)
+    records.write_enveloped(df, str(tmp_path / "raw"), "rest", "reviews")
+    files = list((tmp_path / "raw").glob("part-*"))
+    assert len(files) == 5 and all(f.name.endswith(".json.gz") for f in files)
+    lines = spark.read.text(str(tmp_path / "raw")).agg(F.sum(F.length("value") + 1)).first()[0]
+    assert 3 * sum(f.stat().st_size for f in files) < lines
+    good, bad = records.read_enveloped(spark, str(tmp_path / "raw"), "review")
+    assert sorted(r[0] for r in good.select("data.number").collect()) == list(range(10_000)) and bad.count() == 0
+
+
 def test_layout_tables_and_fallbacks(spark, tmp_path):
     df = spark.createDataFrame([(2024, "rest", "o/a", 1), (2023, "rest", "o/b", 2)], "year int, source string, target string, n int")
     records.write_raw(df, str(tmp_path / "raw"))
