@@ -222,3 +222,24 @@ def test_no_facts_give_no_counts(star):
     empty = metrics.facts_wide(*[df.limit(0) for df in star[:4]])
     assert metrics.leaderboard_counts(empty).count() == 0 and metrics.scoped_leaderboards(empty).count() == 0
     assert rows(metrics.summary(empty, star[4]))[0][:7] == (0,) * 7
+
+
+def test_file_presence_like_a_join(spark, monkeypatch):
+    repos = spark.createDataFrame([("r",), ("r",), ("s",), (None,)], "repo_id string")
+    tree = spark.createDataFrame(
+        [("r", "a", "blob", 1), ("r", "a", "blob", 7), ("r", "b", None, None), ("r", "z", "blob", 1), ("s", "a", "tree", None), (None, "a", "blob", 1), ("q", "a", "blob", 1), ("s", None, "blob", 1)],
+        "repo_id string, path string, type string, size long",
+    )
+    expected = {("r", "a", True, "blob", 7), ("r", "b", True, None, None), ("s", "a", True, "tree", None), ("s", "b", False, None, None), (None, "a", False, None, None), (None, "b", False, None, None)}
+    for n in (200_000, 2):
+        monkeypatch.setattr(joins, "ROWS_PER_TASK", n)
+        got = list(map(tuple, joins.file_presence(repos, ["a", "b"], tree).collect()))
+        assert len(got) == 6 and set(got) == expected
+    assert joins.file_presence(repos, [], tree).collect() == [] and joins.file_presence(repos.limit(0), ["a"], tree).collect() == []
+
+
+def test_file_presence_sorts_a_bounded_number_of_rows_a_task(spark):
+    repos = spark.range(300_000).select(F.concat(F.lit("o/"), "id").alias("repo_id")).coalesce(1)
+    found = joins.file_presence(repos, ["a", "b"], repos.select("repo_id", F.lit("a").alias("path"), F.lit("blob").alias("type"), F.lit(1).alias("size")))
+    tasks = found.groupBy(F.spark_partition_id()).agg(F.count_distinct("repo_id").alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 300_000 and max(r["n"] for r in tasks) < 100_000
